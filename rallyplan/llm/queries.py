@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyplan.llm import bpe
+from rallyplan.llm import bpe, license_scan, repetition, url_filter
 from rallyplan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,27 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op2_url_filter"] = url_filter.oracle()
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition rules on every document."""
+    return repetition.quality(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document by the tokenization automaton."""
