@@ -13,9 +13,9 @@ parts, and the table of merged pairs. ``Automaton.arc`` unwinds the gadgets that
 touch one (state, label) and memoises the answer in the transition table. The
 tests compare it with the explicit construction.
 
-Encoding walks a pre-split word from left to right. For each prefix exactly one
-token that ends there is an arc of the state before it; that token is the
-prefix's last label. Decoding concatenates the labels of the arcs.
+Encoding walks a pre-split word from left to right along arcs, longest label
+first, and steps back where no arc leads on; one path alone spells the word.
+Decoding concatenates the labels of the arcs.
 
 Defined results: null and empty texts have no tokens (the digest of no bytes);
 repeated rows give repeated rows; an empty table gives an empty table; further
@@ -40,8 +40,8 @@ from rallyplan.llm.common import per_text
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points outside these ranges may be classed otherwise by another Unicode version; such texts are split by the library.
 SETTLED = re.compile("[^\x00-՗Ḁ-₎₠-₿℀-↋←-⏿─-⭳　-〃ぁ-ゖァ-ヺ一-鿪가-힣]")
-#: Words that a task remembers at most; then it starts afresh.
-MEMO = 200_000
+#: Words that a process remembers, twice over: those met lately, and those met before them.
+MEMO = 250_000
 FOREVER = 1 << 60
 
 
@@ -60,11 +60,9 @@ class Automaton:
         self.number: dict[bytes, int] = {x: i for i, x in enumerate(self.labels)}
         self.left, self.right = list(range(256)), list(range(256))
         self.merged: dict[tuple[int, int], int] = {}
-        self.tails: set[bytes] = set()
         for u, v in merges:
             self.put_gadget(u, v)
-        for label in self.labels:
-            self.tails.update(label[i:] for i in range(len(label)))
+        self.longest = max(map(len, self.labels))
         self.arcs: dict[tuple[int, int], bool] = {}
 
     def put_gadget(self, u: bytes, v: bytes) -> None:
@@ -101,26 +99,39 @@ class Automaton:
                 return True
 
     def encode(self, word: bytes) -> list[int]:
-        """Labels of the path that spells word."""
-        whole = self.number.get(word)
-        if whole is not None and whole < 256:
-            return [whole]
-        last, number, tails, arc = [-1], self.number, self.tails, self.arc
-        for end in range(1, len(word) + 1):
-            start = end - 1
-            found = -1
-            while start >= 0 and (piece := word[start:end]) in tails:
-                token = number.get(piece)
-                if token is not None and (start == 0 or arc(last[start], token)):
-                    found = token
-                    break
-                start -= 1
-            last.append(found)
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
+        """Labels of the path that spells word.
+
+        Longest labels are tried first. The path to a place is the same however
+        one got there, so a place from which no arc leads on is left for good.
+        """
+        number, arcs, n = self.number, self.arcs, len(word)
+        if n == 1:
+            return [number[word]]
+        path: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()
+        at, end = 0, min(n, self.longest)
+        while at < n:
+            state = path[-1] if path else -1
+            while end > at:
+                if end not in dead:
+                    label = number.get(word[at:end])
+                    if label is not None:
+                        if state < 0:
+                            break
+                        open_ = arcs.get((state, label))
+                        if open_ if open_ is not None else self.arc(state, label):
+                            break
+                end -= 1
+            if end > at:
+                path.append(label)
+                starts.append(at)
+                at, end = end, min(n, end + self.longest)
+            else:
+                dead.add(at)
+                path.pop()
+                at, end = starts.pop(), at - 1
+        return path
 
 
 def merge_word(word: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
@@ -128,11 +139,19 @@ def merge_word(word: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes
     parts = [word[i : i + 1] for i in range(len(word))]
     if len(parts) > 400:  # a long word goes by a queue, to stay off the square
         return _merge_long(parts, ranks)
-    while len(parts) > 1:
-        rank, at = min((ranks.get(p, FOREVER), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == FOREVER:
+    of = ranks.get
+    rank = [of(p, FOREVER) for p in zip(parts, parts[1:], strict=False)]
+    while rank:
+        least = min(rank)
+        if least == FOREVER:
             break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        at = rank.index(least)
+        joined = parts[at] = parts[at] + parts.pop(at + 1)
+        del rank[at]
+        if at:
+            rank[at - 1] = of((parts[at - 1], joined), FOREVER)
+        if at < len(rank):
+            rank[at] = of((joined, parts[at + 1]), FOREVER)
     return parts
 
 
@@ -207,19 +226,33 @@ def automaton(path: str) -> tuple[Automaton, np.ndarray, list[bytes]]:
     return machine, ids, [by_id.get(i, b"") for i in range(max(by_id) + 1)]
 
 
-class WordIds(dict):
-    """word -> its ids, packed as little-endian unsigned 32-bit integers."""
+class Memo(dict):
+    """word -> something made from it; forgets words that weren't met for a while."""
 
-    def __init__(self, path: str):
-        self.machine, self.ids, _ = automaton(path)
+    def __init__(self, make, first: dict | None = None):
+        self.make, self.first = make, first or {}
+        self.old: dict = {}
+        self.update(self.first)
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > MEMO:
+    def __missing__(self, word: str):
+        if len(self) > MEMO + len(self.first):
+            self.old = dict(self)
             self.clear()
-        packed = self.ids[self.machine.encode(word.encode())].tobytes()
+            self.update(self.first)
+        made = self.old.get(word)
+        if made is None:
+            made = self.make(word.encode())
         if len(word) < 256:
-            self[word] = packed
-        return packed
+            self[word] = made
+        return made
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> Memo:
+    """word -> its ids, packed as little-endian unsigned 32-bit integers; one memo a process."""
+    machine, ids, _ = automaton(path)
+    packed = [i.tobytes() for i in ids]
+    return Memo(lambda word: b"".join([packed[x] for x in machine.encode(word)]))
 
 
 class Codec:
@@ -227,7 +260,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocabulary = vocabulary(path)
-        self.memo = WordIds(path)
+        self.memo = word_ids(path)
         self.arc_labels = automaton(path)[2].__getitem__
 
     def encode(self, text: str) -> bytes:
@@ -279,30 +312,17 @@ def proven_singles(path: str) -> frozenset[bytes]:
     return frozenset(x for x in v.ids if len(merge_word(x, ranks)) == 1)
 
 
-class WordCounts(dict):
-    """word -> number of tokens; filled with the proven singles, the rest by merging."""
-
-    def __init__(self, path: str):
-        self.ranks = {pair: i for i, pair in enumerate(vocabulary(path).merges)}
-        self.singles = proven_singles(path)
-        self.fill()
-
-    def fill(self) -> None:
-        for x in self.singles:
-            try:
-                self[x.decode()] = 1
-            except UnicodeDecodeError:
-                pass  # part of a character: never a whole word
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > MEMO + len(self.singles):
-            self.clear()
-            self.fill()
-        raw = word.encode()
-        n = len(merge_word(raw, self.ranks))
-        if len(word) < 256:
-            self[word] = n
-        return n
+@lru_cache(maxsize=2)
+def word_counts(path: str) -> Memo:
+    """word -> number of tokens: the proven singles at once, the rest by merging; one memo a process."""
+    ranks = {pair: i for i, pair in enumerate(vocabulary(path).merges)}
+    singles = {}
+    for x in proven_singles(path):
+        try:
+            singles[x.decode()] = 1
+        except UnicodeDecodeError:
+            pass  # part of a character: never a whole word
+    return Memo(lambda word: len(merge_word(word, ranks)), singles)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,8 +333,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
     """
 
     def row():
-        v, counts = vocabulary(path), WordCounts(path)
-        of_word = counts.__getitem__
+        v, of_word = vocabulary(path), word_counts(path).__getitem__
 
         def of(raw: bytes) -> tuple:
             n = 0
