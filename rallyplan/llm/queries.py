@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyplan.llm import bpe, decontaminate, license_scan, quality_model, repetition, sharding, simhash, url_filter
+from rallyplan.llm import bpe, decontaminate, license_scan, pii, quality_model, repetition, sharding, simhash, url_filter
 from rallyplan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
     return sharding.balanced_shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.detect(table(spark, sf_dir, "documents"))

@@ -1,0 +1,97 @@
+"""Base spans by brute force, reliabilities on made votes, redaction."""
+
+import hashlib
+import random
+import re
+
+from rallyplan.llm import pii as P, queries
+
+BRUTE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def good(kind, m):
+    d = [int(c) for c in m if "0" <= c <= "9"]
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        return 12 <= len(d) <= 19 and sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(d[::-1])) % 10 == 0
+    return kind != "phone" or 9 <= len(d) <= 15
+
+
+def brute(text):
+    out = [(m.start(), i, m.end(), k) for i, (k, p) in enumerate(BRUTE.items()) for m in re.finditer(p, text or "") if good(k, m.group(0))]
+    return sorted(out)
+
+
+def told(spans):
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+
+
+TEXTS = [
+    "", "a@b.c", "x a.b+c@d-e.f.g, é🙂 a@b@c.d a@b.cd_e@f.g .a@b..c", "1.2.3.4.5.6.7.8 256.1.1.1 0001.002.3.4 1.2.3 4.5.6.7 00000255.0.0.0", "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111", "2353820953013749 4550997810720808",
+    "+1 (826) 555-4081 190.137.223.204 +1 (017) 555-7713 x +49 123 +4912345678901234567", "mail me: é@x.de or joe@x.de", "1" * 30_000, "a" * 30_000, "1 " * 9_000, "1.2." * 5_000, "a@b." * 4_000, "+1" + "(" * 20_000, "\n4111\n1111 1111 1111 1111",
+    "token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\" Mr John Smith 123-45-6789",
+]
+
+
+def made_up():
+    pick = random.Random(8)
+    parts = ["a", "b@", "@", "c.d", ".", "-", " ", "+", "(", ")", "1", "23", "4111111111111111", "255", "é", "🙂", "\n", "_", "+1 555 0100 99", "x@y.zz"]
+    return ["".join(pick.choice(parts) for _ in range(pick.randrange(1, 40))) for _ in range(300)]
+
+
+def test_base_spans_by_brute_force(spark):
+    rows = [(i, x) for i, x in enumerate(TEXTS + made_up())] + [(9000, None), (None, TEXTS[1]), (1, TEXTS[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS spans", "1 AS x")
+    got = P.detect(docs).collect()
+    assert len(got) == len(rows)
+    of = dict(rows)
+    for r in got:
+        want = brute(of[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[3] == k for s in want) for k in BRUTE], of[r.doc_id][:80]
+        assert r.base_sha256 == hashlib.sha256(told(want).encode()).hexdigest(), of[r.doc_id][:80]
+        spans = r.spans.split(",") if r.spans else []
+        assert set(filter(None, told(want).split(","))) <= set(spans)
+        places = [(int(s), P.KINDS.index(k), int(e)) for k, s, e in (x.split(":") for x in spans)]
+        assert places == sorted(places)
+    assert P.detect(docs.limit(0)).count() == 0
+
+
+def test_sample_documents(spark):
+    d = "/root/testdata/sf0.01"
+    of = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    added = 0
+    for r in queries.QUERIES["op8_pii_spans"](spark, d).collect():
+        want = told(brute(of[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        added += len(r.spans.split(",")) - len(want.split(",")) if r.spans else 0
+        for secret in re.finditer(r'token = "[0-9a-f]{40}"', of[r.doc_id]):
+            assert f"secret:{secret.start()}:{secret.end()}" in r.spans
+    assert added > 0
+
+
+def test_maximisation_finds_the_reliabilities():
+    pick = random.Random(3)
+    right = {"form": 0.9, "gazetteer": 0.8, "context": 0.6, "border": 0.75}
+    counts = {}
+    for _ in range(20_000):
+        true = pick.random() < 0.6
+        votes = tuple((1 if true == (pick.random() < right[x]) else -1) for x in P.LABELERS)
+        counts[votes] = counts.get(votes, 0) + 1
+    rows = [{"kind": "email", "length": 1, "digits": 1, "n": n} | dict(zip(P.LABELERS, v, strict=True)) for v, n in counts.items()]
+    rates, _ = P.maximise(rows, 200)
+    for x, p in right.items():
+        assert abs(rates[x][1][0] - p) < 0.06 and abs(rates[x][-1][1] - p) < 0.06
+    model = P.fit(rows)
+    assert model.p(rows[0] | dict.fromkeys(P.LABELERS, 1)) > 0.9 and model.p(rows[0] | dict.fromkeys(P.LABELERS, -1)) < 0.1
+
+
+def test_redaction(spark):
+    rows = [(1, "Write to joe@x.de or é +1 (826) 555-4081 now", 44), (2, "clean", 5), (3, None, None), (4, "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").selectExpr("*", "1 AS __spans")
+    out = P.redact(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got == {1: ("Write to <email> or é <phone> now", 33), 2: ("clean", 5), 3: (None, None), 4: ("", 0)}
