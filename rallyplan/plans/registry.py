@@ -1,6 +1,8 @@
-"""Registry of the engine's queries and their oracle SQL."""
+"""All queries of the engine and their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rallyplan.plans import insight_queries, rally_queries  # noqa: F401
+from rallyplan.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
