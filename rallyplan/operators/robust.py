@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def half_even(x: Column, digits: int) -> Column:
     """Round half to even; noise beyond nine digits doesn't decide a tie."""
-    return F.bround(F.bround(x, 9), digits)
+    nine = F.rint(x.cast("double") * F.lit(1e9)) / F.lit(1e9)
+    return F.rint(nine * F.lit(float(f"1e{digits}"))) / F.lit(float(f"1e{digits}")) + F.lit(0.0)
 
 
 def least_support(n: int, of: str, value: Column) -> Column:

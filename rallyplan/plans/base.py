@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 
 def settled(sql: str) -> str:
-    """Each ``round_even(x, n)`` as ``round_even(round_even(x, 9), n)``, as operators.robust.half_even does: sums in another order differ in the last bits, which may not decide a tie."""
+    """Each ``round_even(x, n)`` spelled out as operators.robust.half_even does it: first to nine digits, as sums in another order differ in the last bits, then by the same products."""
     out, at = [], 0
     while (i := sql.find("round_even(", at)) >= 0:
         start, depth, comma = i + len("round_even("), 1, -1
@@ -23,7 +23,8 @@ def settled(sql: str) -> str:
             if sql[j] == "," and depth == 1:
                 comma = j
             j += 1
-        out.append(f"{sql[at:i]}round_even(round_even({settled(sql[start:comma])}, 9){sql[comma:j]}")
+        n = sql[comma + 1 : j - 1].strip()
+        out.append(f"{sql[at:i]}(round_even(round_even(CAST({settled(sql[start:comma])} AS DOUBLE) * 1e9, 0) / 1e9 * 1e{n}, 0) / 1e{n} + 0e0)")
         at = j
     return "".join(out) + sql[at:]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rallyplan.plans import insight_queries, rally_queries  # noqa: F401
+from rallyplan.plans import insight_queries, rally_queries, time_queries  # noqa: F401
 from rallyplan.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
