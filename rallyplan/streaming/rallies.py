@@ -31,7 +31,7 @@ def fixed_gap_rallies(hits: DataFrame, late: str = "1 minute") -> DataFrame:
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rallies that end with these rows; the open one stays in the state until a pause or, at last, a time-out."""
+    """Rallies that end with these rows; the open one stays in the state until the next one starts, or the watermark is past any hit that could go on with it."""
     rally, start, last, side, n = state.get if state.exists else (-1, 0.0, float("-inf"), 0, 0)
     ended = []
     if state.hasTimedOut:
@@ -49,14 +49,15 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
                 rally, start, n = rally + 1, t, 0
             last, side, n = float(t), int(s), n + 1
         state.update((int(rally), float(start), last, side, int(n)))
-        state.setTimeoutDuration(60_000)
+        over = int(rows["at"].max().timestamp() * 1000) + int(LIMITS.missed_hit_gap_s * 1000) + 1
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(ended, columns=[c.split()[0] for c in RALLY.split(", ")])
 
 
-def stateful_rallies(hits: DataFrame) -> DataFrame:
+def stateful_rallies(hits: DataFrame, late: str = "1 minute") -> DataFrame:
     """Rallies by the full rule (a longer gap is allowed if the same side hits again, a serve starts one).
 
     Rows of a session have to come in order of time from trigger to trigger, as from
     one camera; the state is five numbers a session.
     """
-    return hits.groupBy("session_id").applyInPandasWithState(_advance, RALLY, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.withWatermark("at", late).groupBy("session_id").applyInPandasWithState(_advance, RALLY, STATE, "append", GroupStateTimeout.EventTimeTimeout)
