@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+HOME = str(Path(__file__).resolve().parents[1])
+
 
 def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g", name: str = "rallyplan") -> SparkSession:
     """A single-JVM session; on a cluster the caller brings its own."""
@@ -20,3 +25,12 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g", name:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it (elsewhere it is shipped with --py-files)."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if HOME not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
+    return spark
