@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rallyplan.llm import bpe, decontaminate, pii, repetition, simhash
 from rallyplan.llm.common import ready_checkpoints, table
 from rallyplan.llm.queries import vocabulary_path
+from rallyplan.session import importable
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what they write lies in the shared checkpoint folder."""
-    ready_checkpoints(spark)
+    ready_checkpoints(importable(spark))
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
