@@ -3,7 +3,7 @@
 Links: documents of equal text. The law is ``rows``: shard sizes in documents
 differ by one at most. Every document starts with the label of its own hash. In
 each round a linked unit (the documents of one text; a text with more documents
-than half a shard is dealt into units of about half a shard) counts its members'
+than 0.8 of a shard is dealt into units of at most about that) counts its members'
 labels, less a penalty for full shards, and its members move to the best one;
 of all who want into a shard, the share that its quota has room for moves.
 Members that share unit and first label always move together, so the rounds join
@@ -12,7 +12,7 @@ folder. At the end a shard keeps its labelled documents up to its exact quota,
 by whole units as far as they go, and documents without links fill what is left.
 
 Ranks are counted by (shard, bucket): no task has to hold a shard, and the
-table of bucket counts is bounded by (shards + 1) * MOST_BUCKETS rows.
+table of bucket counts is bounded by 2 * shards * MOST_BUCKETS rows.
 
 Defined results: null texts are linked with each other and have size 16 and
 the crc of no bytes; rows with a null doc_id take part like others; repeated
@@ -31,8 +31,10 @@ SHARDS = 40
 ROUNDS = 6
 #: Bytes that a document counts besides its text.
 OVERHEAD = 16
-#: Units of more documents are ranked by document.
-LARGE_UNIT = 10_000
+#: Part of a shard that one unit may fill.
+UNIT_SHARE = 0.8
+#: Documents of one unit that a bucket takes at least.
+LEAST_A_BUCKET = 16
 LEAST_BUCKETS, MOST_BUCKETS, ROWS_A_BUCKET = 64, 8192, 500_000
 
 
@@ -96,11 +98,11 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     base = cut(described(docs, key, text))
     total = base.count()
     capacity = max(1, total // shards)
-    # at most 2 * shards + 2 texts have more than capacity / 2 documents
-    large = base.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") * 2 > capacity) if capacity >= 4 else None
+    # at most 1.25 * shards + 2 texts have more than 0.8 * capacity documents
+    large = base.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > UNIT_SHARE * capacity) if capacity >= 4 else None
     units = base.withColumn("first", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
     if large is not None:
-        pieces = large.select("g", F.ceil(F.col("c") * 2 / capacity).alias("pieces"))
+        pieces = large.select("g", F.ceil(F.col("c") / (UNIT_SHARE * capacity)).alias("pieces"))
         units = units.join(F.broadcast(pieces), "g", "left").withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(1)), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
     else:
         units = units.withColumn("chunk", F.lit(0))
@@ -112,9 +114,12 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
 
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // ROWS_A_BUCKET))
     placed = units.join(state.select("g", "chunk", "first", "m", "label"), ["g", "chunk", "first"], "left")
-    by_unit = F.col("m") <= LARGE_UNIT
-    spread = F.when(by_unit, F.xxhash64("g", "chunk")).otherwise(F.xxhash64("k", "text_crc32", F.lit(2)))
-    placed = placed.select("k", "size", "text_crc32", "g", "chunk", F.coalesce("label", F.lit(shards)).alias("at"), F.pmod(spread, F.lit(buckets)).cast("int").alias("bucket"))
+    # a unit with more documents than a bucket should have takes several buckets in a row
+    wide = F.least(F.ceil(F.coalesce("m", F.lit(1)) / max(LEAST_A_BUCKET, total // (shards * buckets))), F.lit(buckets))
+    # the documents without links are as many as several shards hold, and have as many buckets
+    own = F.when(F.col("label").isNull(), F.lit(buckets * shards)).otherwise(F.lit(buckets))
+    spread = F.pmod(F.xxhash64("g", "chunk"), own) + F.pmod(F.xxhash64("k", "text_crc32", F.lit(2)), wide)
+    placed = placed.select("k", "size", "text_crc32", "g", "chunk", F.coalesce("label", F.lit(shards)).alias("at"), F.pmod(spread, own).cast("int").alias("bucket"))
     counts = cut(placed.groupBy("at", "bucket").agg(F.count("*").alias("n")))
     load = [0] * (shards + 1)
     for r in counts.groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each shard, and one
