@@ -58,3 +58,14 @@ def clock_text(seconds: Column) -> Column:
     """Seconds as m:ss, or h:mm:ss from an hour on."""
     s = F.floor(seconds).cast("long")
     return F.when(s >= 3600, F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)).otherwise(F.format_string("%d:%02d", F.floor(s / 60), s % 60))
+
+
+def size_text(n: Column) -> Column:
+    """Bytes as B, kB or MB."""
+    scaled = lambda by, unit: F.format_string(f"%.1f {unit}", n / by)
+    return F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1_000_000, scaled(1000.0, "kB")).otherwise(scaled(1e6, "MB"))
+
+
+def duration_text(minutes: Column) -> Column:
+    m = F.floor(minutes).cast("long")
+    return F.when(m >= 60, F.format_string("%d h %d min", F.floor(m / 60), m % 60)).otherwise(F.format_string("%d min", m))

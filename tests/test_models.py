@@ -23,6 +23,17 @@ def test_rays_go_through_their_points():
         assert np.linalg.norm(np.cross(ray, (p - centre) / np.linalg.norm(p - centre))) < 1e-9
 
 
+def test_camera_is_recovered():
+    cam = camera()
+    k = np.array([[1400.0, 0, 960], [0, 1400.0, 540], [0, 0, 1]])
+    h = k @ np.column_stack([cam.rotation[:, 0], cam.rotation[:, 1], cam.shift])
+    got = physics.camera_from_homography(h / h[2, 2])
+    assert abs(got.focal - 1400) < 1e-6 and np.allclose(got.place, cam.place)
+    points = np.array([[1.0, 3.0, 0.5], [-3.0, 9.0, 1.0]])
+    assert np.allclose(got.project(points), cam.project(points))
+    assert physics.camera_from_homography(np.eye(3)) is None
+
+
 @pytest.mark.parametrize("speed, toward", [((1.5, 24.0, 4.0), 1.0), ((-2.0, 30.0, 2.5), 1.0), ((0.5, -22.0, 5.0), -1.0)])
 def test_flight_is_recovered(speed, toward):
     cam = camera()
