@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rallyplan.session import checkpointed
+
 
 def latest(df: DataFrame, by: list[str], order: str, payload: list[str]) -> DataFrame:
     """The row with the largest ``order`` of each group, by one aggregate."""
@@ -18,12 +20,22 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
 
 
 def chase(df: DataFrame, key: str, pointer: str, rounds: int = 6) -> DataFrame:
-    """(key, root): the end of each chain of pointers, by doubling: 2 ** rounds steps at most, which also ends cycles."""
+    """(key, root): the end of each chain of pointers, by doubling: 2 ** rounds steps at most, which also ends cycles.
+
+    Each round is cut into the checkpoint folder, so that plans don't double as well;
+    only keys that point on take part.
+    """
     hop = df.select(F.col(key).alias("id"), F.coalesce(pointer, key).alias("root"))
+    done = hop.where("id = root")
+    open_ = checkpointed(hop.where("id <> root"))
     for _ in range(rounds):
-        onward = hop.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        hop = hop.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-    return hop
+        onward = open_.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        new = checkpointed(open_.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+        moved = new.join(open_, ["id", "root"], "left_anti").head(1)
+        open_ = new
+        if not moved:
+            break
+    return done.unionByName(open_)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -41,6 +53,9 @@ def merged_maps(old: Column, new: Column) -> Column:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """How many rows only one side has, counting repeats; both 0: the same content."""
-    only = lambda x, y, n: x.exceptAll(y).agg(F.count("*").alias(n))
-    return only(a, b, "rows_only_old").join(only(b, a, "rows_only_new"))  # one row each
+    """How many rows only one side has, counting repeats; both 0: the same content. NaN equals NaN, null equals null; one shuffle."""
+    sign = "__sign"
+    both = a.withColumn(sign, F.lit(1)).unionByName(b.withColumn(sign, F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum(sign).alias("n"))
+    total = lambda n: F.coalesce(F.sum(F.greatest(F.lit(0).cast("long"), n)), F.lit(0).cast("long"))
+    return left.agg(total(F.col("n")).alias("rows_only_old"), total(-F.col("n")).alias("rows_only_new"))

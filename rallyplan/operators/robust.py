@@ -33,9 +33,8 @@ def nearest_rank(column: str, share: float) -> Column:
 def majority(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, votes: the most frequent value of each group; ties go to the smaller one."""
     counted = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    best = counted.groupBy(*by).agg(F.max_by(value, F.struct("n", F.lit(0))).alias("__any"), F.max("n").alias("votes"))
-    tied = counted.join(best.select(*by, "votes"), by).where("n = votes")
-    return tied.groupBy(*by).agg(F.min(value).alias(value), F.first("votes").alias("votes"))
+    best = counted.groupBy(*by).agg(F.min(F.struct((-F.col("n")).alias("less"), value)).alias("b"))
+    return best.select(*by, F.col(f"b.{value}").alias(value), (-F.col("b.less")).alias("votes"))
 
 
 def vector_agg(df: DataFrame, by: list[str], vector: str, agg: Column, name: str) -> DataFrame:

@@ -11,20 +11,34 @@ from rallyplan.functions import geometry as G
 from rallyplan.operators import gaps
 from rallyplan.operators.robust import half_even, least_support, upper_median
 from rallyplan.plans.base import query
-from rallyplan.schema import STROKES
-from rallyplan.sources.tracking import POINTS_SQL, SHOTS_SQL, points, rallies, shots
+from rallyplan.schema import LIMITS, STROKES
+from rallyplan.sources.tracking import POINTS_SQL, SHOTS_SQL, judged, shots
 
 METRICS = ("split_step", "recovery_m", "knee_bend_deg", "shoulder_turn")
 
 
+def with_rally_ends(s: DataFrame) -> DataFrame:
+    """Shots with their rally's shot_count, start_s, end_s, end_reason (a point's, ``fault``, ``not_a_point``) and winner.
+
+    Everything is a window within a session, so the one shuffle by session that
+    numbered the rallies is enough: the rally's facts stand on its first shot, where
+    serve rallies are judged, and go from there to the others.
+    """
+    ends = ["stroke", "player_id", "side", "hit_x", "hit_y", "in_court", "crosses_net"]
+    of_rally = Window.partitionBy("session_id", "rally")
+    last = F.max_by(F.struct(*ends), F.struct("t", "shot_id")).over(of_rally)
+    h = s.withColumns({"shot_count": F.count("*").over(of_rally), "start_s": F.min("t").over(of_rally) - LIMITS.pad_before_s, "end_s": F.max("t").over(of_rally) + LIMITS.pad_after_s, "z": last})
+    h = h.withColumns({f"first_{c}": F.col(c) for c in ends} | {f"last_{c}": F.col(f"z.{c}") for c in ends} | {"server": F.when((F.col("pos") == 0) & (F.col("stroke") == "serve"), F.col("player_id"))})
+    j = judged(h.withColumn("served", F.col("server").isNotNull()), ["session_id", "served"])
+    reason = F.when(~F.col("served"), "not_a_point").when(F.col("role") == "fault", "fault").otherwise(F.col("how"))
+    winner = F.when(F.col("served") & (F.col("role") != "fault"), F.when(F.col("p") > 0.5, F.col("server")).otherwise(F.col("session_id") * 4 + 1 - F.col("server")))
+    told = F.max(F.when(F.col("pos") == 0, F.struct(reason.alias("end_reason"), winner.alias("winner")))).over(of_rally)
+    return j.withColumn("told", told).select(*s.columns, "shot_count", "start_s", "end_s", "told.*")
+
+
 def rally_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """end_reason and winner of each rally: a point's, ``fault``, or ``not_a_point``."""
-    r = rallies(shots(spark, sf_dir))
-    p = points(r).select("session_id", "rally", "server", "role", "how", "p")
-    both = r.select("session_id", "rally", "shot_count", "start_s", "end_s").join(p, ["session_id", "rally"], "left")
-    reason = F.when(F.col("role").isNull(), "not_a_point").when(F.col("role") == "fault", "fault").otherwise(F.col("how"))
-    winner = F.when(F.col("role").isin("point", "double_fault"), F.when(F.col("p") > 0.5, F.col("server")).otherwise(F.col("session_id") * 4 + 1 - F.col("server")))
-    return both.select("session_id", "rally", "shot_count", "start_s", "end_s", reason.alias("end_reason"), winner.alias("winner"))
+    """One row for each rally: shot_count, start_s, end_s, end_reason, winner."""
+    return with_rally_ends(shots(spark, sf_dir)).where("pos = 0").select("session_id", "rally", "shot_count", "start_s", "end_s", "end_reason", "winner")
 
 
 def shot_error() -> Column:
@@ -36,7 +50,7 @@ def shot_error() -> Column:
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shots with their rally, error kind, zone, and the ball they answer."""
-    s = shots(spark, sf_dir).join(rally_ends(spark, sf_dir), ["session_id", "rally"], "left")
+    s = with_rally_ends(shots(spark, sf_dir))
     w = gaps.ordered(["session_id", "rally"], ["t", "shot_id"])
     before = F.lag(F.struct("player_id", "depth", "speed_kmh")).over(w)
     out = s.withColumn("error", shot_error()).withColumn("zone", G.zone(F.col("hit_y"))).withColumn("before", before)
@@ -106,12 +120,10 @@ def plausible_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rates(df: DataFrame, bucket: str, wanted: list) -> DataFrame:
-    """player_id, bucket, n, errors for every player and every bucket of the list, 0 where there is none."""
-    kind = df.schema[bucket].dataType
-
-    all_ = df.select("player_id").distinct().select("player_id", F.explode(F.array(*[F.lit(w).cast(kind) for w in wanted])).alias(bucket))
-    n = df.groupBy("player_id", bucket).agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"))
-    return all_.join(n, ["player_id", bucket], "left").fillna(0, ["n", "errors"]).select("player_id", F.col(bucket).alias("bucket"), "n", "errors")
+    """player_id, bucket, n, errors for every player and every bucket of the list, 0 where there is none; one aggregate."""
+    inside = lambda w: F.col(bucket) == w
+    cell = lambda w: F.struct(F.lit(w).alias("bucket"), F.count_if(inside(w)).alias("n"), F.count_if(inside(w) & F.col("error").isNotNull()).alias("errors"))
+    return df.groupBy("player_id").agg(F.array(*map(cell, wanted)).alias("x")).select("player_id", F.inline("x"))
 
 
 RATE_SQL = "WITH {ctes}, D AS (SELECT DISTINCT player_id FROM E WHERE stroke <> 'serve'), K AS (SELECT unnest({buckets}) AS bucket) SELECT D.player_id, K.bucket, count(E.shot_id) AS n, count(E.error) AS errors FROM D CROSS JOIN K LEFT JOIN E ON E.player_id = D.player_id AND E.stroke <> 'serve' AND {expr} = K.bucket GROUP BY 1, 2"
@@ -143,11 +155,11 @@ SELECT player_id, band, count(*) AS n, sum(CASE WHEN winner = player_id THEN 1 E
 def points_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points won by the number of shots."""
     n = F.col("shot_count")
-    ends = rally_ends(spark, sf_dir).where(F.col("winner").isNotNull()).withColumn("band", F.when(n <= 4, "1-4").when(n <= 8, "5-8").otherwise("9+"))
-    counts = ends.groupBy("session_id", "band", "winner").agg(F.count("*").alias("n"))
-    players = shots(spark, sf_dir).select("session_id", "player_id").distinct()
-    both = players.join(counts, "session_id")
-    return both.groupBy("player_id", "band").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("winner") == F.col("player_id"), F.col("n")).otherwise(0)).alias("won"))
+    players = F.collect_set("player_id").over(Window.partitionBy("session_id"))  # a handful
+    points_ = with_rally_ends(shots(spark, sf_dir)).withColumn("players", players).where("pos = 0 AND winner IS NOT NULL")
+    band = F.when(n <= 4, "1-4").when(n <= 8, "5-8").otherwise("9+")
+    each = points_.select(F.explode("players").alias("player_id"), band.alias("band"), "winner")
+    return each.groupBy("player_id", "band").agg(F.count("*").alias("n"), F.count_if(F.col("winner") == F.col("player_id")).alias("won"))
 
 
 @query(f"""WITH {ENRICHED_SQL} SELECT player_id, CASE WHEN abs(bounce_x) < 8.23 / 6 THEN 'T' WHEN abs(bounce_x) < 8.23 / 3 THEN 'body' ELSE 'wide' END AS target, count(*) AS n, count(*) FILTER (error IS NULL) AS landed,
@@ -208,17 +220,16 @@ def player_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT E.session_id, count(*) AS shots, count(DISTINCT rally) AS rallies FROM E JOIN KM USING (session_id) LEFT JOIN PS ON PS.session_id = E.session_id WHERE NOT is_match OR PS.session_id IS NULL OR end_reason <> 'not_a_point' GROUP BY 1""")
 def playing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shots and rallies of a session; in a match (here: even sessions) only points count, if there are any."""
-    e = enriched(spark, sf_dir)
-    some = rally_ends(spark, sf_dir).where("end_reason <> 'not_a_point'").select("session_id").distinct().withColumn("has", F.lit(True))
-    kept = e.join(some, "session_id", "left").where((F.col("session_id") % 2 != 0) | F.col("has").isNull() | (F.col("end_reason") != "not_a_point"))
-    return kept.groupBy("session_id").agg(F.count("*").alias("shots"), F.countDistinct("rally").alias("rallies"))
+    point = F.col("end_reason") != "not_a_point"
+    any_ = F.max(point).over(Window.partitionBy("session_id"))
+    kept = with_rally_ends(shots(spark, sf_dir)).withColumn("any", any_).where((F.col("session_id") % 2 != 0) | ~F.col("any") | point)
+    return kept.groupBy("session_id").agg(F.count("*").alias("shots"), F.count_if(F.col("pos") == 0).alias("rallies"))
 
 
 @query(f"WITH {ENRICHED_SQL} SELECT player_id, count(*) AS shots FROM E WHERE end_reason IS DISTINCT FROM 'not_a_point' GROUP BY 1")
 def playing_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shots for a profile: an anti join with the rallies that weren't points."""
-    idle = rally_ends(spark, sf_dir).where("end_reason = 'not_a_point'").select("session_id", "rally")
-    return shots(spark, sf_dir).join(idle, ["session_id", "rally"], "left_anti").groupBy("player_id").agg(F.count("*").alias("shots"))
+    """Shots for a profile: those of rallies that weren't points don't count."""
+    return with_rally_ends(shots(spark, sf_dir)).where("end_reason <> 'not_a_point'").groupBy("player_id").agg(F.count("*").alias("shots"))
 
 
 @query(f"""WITH {ENRICHED_SQL} SELECT session_id, rally::BIGINT AS rally, end_reason, sum(CASE WHEN end_reason NOT IN ('not_a_point', 'fault') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY rally)::BIGINT AS point_number FROM RE WHERE end_reason NOT IN ('not_a_point', 'fault')""")
@@ -263,9 +274,8 @@ METRICS_SQL = SHOTS_SQL + ", M AS (" + " UNION ALL ".join(f"SELECT shot_id, play
 @query(f"WITH {METRICS_SQL}, PP AS (SELECT DISTINCT player_id FROM S), NN AS (SELECT unnest({list(METRICS)}) AS name) SELECT PP.player_id, NN.name, count(M.value) AS n, CASE WHEN count(M.value) >= 5 THEN round_even(median(M.value), 3) END AS median FROM PP CROSS JOIN NN LEFT JOIN M ON M.player_id = PP.player_id AND M.name = NN.name GROUP BY 1, 2")
 def profile_technique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every metric of every player, with its median from five values on."""
-    s = shots(spark, sf_dir)
-    names = s.select("player_id").distinct().select("player_id", F.explode(F.array(*map(F.lit, METRICS))).alias("name"))
-    return names.join(metrics(s), ["player_id", "name"], "left").groupBy("player_id", "name").agg(F.count("value").alias("n"), least_support(5, "value", half_even(F.median("value"), 3)).alias("median"))
+    cell = lambda m: F.struct(F.lit(m).alias("name"), F.count(m).alias("n"), least_support(5, m, half_even(F.median(m), 3)).alias("median"))
+    return shots(spark, sf_dir).groupBy("player_id").agg(F.array(*map(cell, METRICS)).alias("x")).select("player_id", F.inline("x"))
 
 
 @query(f"WITH {METRICS_SQL} SELECT S.shot_id, M.name, M.value FROM S LEFT JOIN M USING (shot_id)")

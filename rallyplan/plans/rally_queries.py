@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rallyplan.operators import gaps
@@ -34,13 +34,21 @@ def serve_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kind_evidence(r: DataFrame) -> DataFrame:
-    """What tells a match from training, by session."""
-    w = gaps.ordered(["session_id"], ["rally"])
-    served = r.where(F.col("server").isNotNull()).withColumn("gap", F.col("start_s") - F.lag("start_s").over(w))
-    serves = served.groupBy("session_id").agg(F.count("*").alias("serves"), F.median("gap").alias("serve_gap"))
-    runs = gaps.run_lengths(served, ["session_id"], ["rally"], "server").groupBy("session_id").agg(F.count("*").alias("runs"), F.avg(F.col("n").between(3, 16).cast("double")).alias("game_like"))
-    all_ = r.groupBy("session_id").agg(F.count("*").alias("rallies"), F.avg((F.col("shot_count") >= 12).cast("double")).alias("long_share"))
-    out = all_.join(serves, "session_id", "left").join(runs, "session_id", "left").fillna(0, ["serves", "runs"])
+    """What tells a match from training, by session; windows within a session and one aggregate.
+
+    Serve rallies are looked at among themselves (``served``): gaps between them, and
+    runs of one server, each counted at the first rally of the run.
+    """
+    by = ["session_id", "served"]
+    w = gaps.ordered(by, ["rally"])
+    s = gaps.islands(r.withColumn("served", F.col("server").isNotNull()), by, ["rally"], "server", "run")
+    run = gaps.ordered([*by, "run"], ["rally"])
+    length = F.count("*").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    s = s.withColumns({"gap": F.when(F.col("served"), F.col("start_s") - F.lag("start_s").over(w)), "length": F.when(F.col("served") & (F.row_number().over(run) == 1), length)})
+    out = s.groupBy("session_id").agg(
+        F.count("*").alias("rallies"), F.avg((F.col("shot_count") >= 12).cast("double")).alias("long_share"), F.count("server").alias("serves"), F.median("gap").alias("serve_gap"),
+        F.count("length").alias("runs"), F.avg(F.when(F.col("length").isNotNull(), F.col("length").between(3, 16).cast("double"))).alias("game_like"),
+    )
     game = F.when(F.col("runs") >= 2, F.col("game_like")).otherwise(F.lit(0.0))
     share = F.col("serves") / F.col("rallies")
     gap = F.coalesce("serve_gap", F.lit(0.0))

@@ -99,10 +99,10 @@ def merged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {HITS_SQL}, A AS (SELECT session_id, side, CAST(floor(t) AS BIGINT) AS sec FROM H) SELECT a.session_id, a.stroke AS one, b.stroke AS other, count(*) AS seconds FROM (SELECT DISTINCT session_id, stroke, CAST(floor(t) AS BIGINT) AS sec FROM H) a JOIN (SELECT DISTINCT session_id, stroke, CAST(floor(t) AS BIGINT) AS sec FROM H) b ON a.session_id = b.session_id AND a.sec = b.sec AND a.stroke < b.stroke GROUP BY 1, 2, 3""")
 def co_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds in which each pair of tracks (strokes stand in) was seen in the same frame: an equi-join on whole frames."""
-    seen = hits(spark, sf_dir).select("session_id", "stroke", F.floor("t").alias("sec")).distinct()
-    a, b = seen.withColumnRenamed("stroke", "one"), seen.withColumnRenamed("stroke", "other")
-    return a.join(b, ["session_id", "sec"]).where("one < other").groupBy("session_id", "one", "other").agg(F.count("*").alias("seconds"))
+    """Seconds in which each pair of tracks (strokes stand in) was seen in the same frame: the few tracks of a frame are paired where they meet."""
+    frame = hits(spark, sf_dir).groupBy("session_id", F.floor("t").alias("sec")).agg(F.sort_array(F.collect_set("stroke")).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda a, i: F.transform(F.slice("s", i + 2, F.size("s")), lambda b: F.struct(a.alias("one"), b.alias("other")))))
+    return frame.select("session_id", F.inline(pairs)).groupBy("session_id", "one", "other").agg(F.count("*").alias("seconds"))
 
 
 @query(f"""WITH {HITS_SQL}, NR AS (SELECT shot_id, session_id, t, hit_x FROM H WHERE side = -1), FR AS (SELECT session_id, t, hit_x FROM H WHERE side = 1),

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 HOME = str(Path(__file__).resolve().parents[1])
 
@@ -34,3 +35,11 @@ def importable(spark: SparkSession) -> SparkSession:
     if HOME not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written to the cluster's checkpoint folder (a temporary one only where none is set, as in tests), without their lineage."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rallyplan-checkpoint-"))
+    return df.checkpoint(eager=True)

@@ -123,9 +123,14 @@ def points(rallies_: DataFrame) -> DataFrame:
     In a run of faults every second one is a double fault, a point of its own; what
     is left over counts as the fault of the rally that closes the run.
     """
-    by, order = ["session_id"], ["rally"]
+    return judged(rallies_.where(F.col("server").isNotNull()), ["session_id"])
+
+
+def judged(served: DataFrame, by: list[str]) -> DataFrame:
+    """fault, role, p, how, faults, box, end, court of serve rallies, one row each within ``by``; windows only."""
+    order = ["rally"]
     w = gaps.ordered(by, order)
-    served = rallies_.where(F.col("server").isNotNull()).withColumns({"box": box(), "end": end()})
+    served = served.withColumns({"box": box(), "end": end()})
     nxt = lambda c: F.lead(c).over(w)
     same = nxt("server").eqNullSafe(F.col("server")) & (nxt("start_s") - F.col("end_s") < LIMITS.fault_gap_s)
     boxes = F.when(F.col("box").isNull() | nxt("box").isNull(), F.col("shot_count") == 1).otherwise(F.col("box") == nxt("box"))
