@@ -63,6 +63,8 @@ AGAINST = r"version|isbn|issn|section|figure|page|chapter|license|licence|build|
 DOMAINS = r"\.(?:com|net|org|edu|gov|io|de|fr|es|uk|eu|info|co|us)$"
 #: Posterior from which on a candidate is a span.
 LEAST = 0.5
+#: Where expectation-maximisation starts: a vote is right, a span is true; and how many votes that counts for.
+FIRST_GUESS, FIRST_SHARE, PRIOR = 0.8, 0.7, 20.0
 SPAN = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
 LABELERS = ["form", "gazetteer", "context", "border"]
 FEATURES = ["kind", *LABELERS, "length", "digits"]
@@ -194,31 +196,33 @@ class Model:
 
 
 def maximise(rows: list[dict], turns: int = 50) -> tuple[dict, list[float]]:
-    """Expectation-maximisation over counted votes (kind, labelers, n): reliabilities and the posterior of each row."""
-    odds = {1: (0.6, 0.2), 0: (0.3, 0.4), -1: (0.1, 0.4)}  # first guess: P(vote | true), P(vote | false)
-    rates = {lab: dict(odds) for lab in LABELERS}
-    share = defaultdict(lambda: 0.7)
-    posterior = [0.7] * len(rows)
+    """Expectation-maximisation over counted votes (kind, labelers, n): each labeler's reliability (how often its votes are right; abstaining says nothing), and the posterior of each row.
+
+    Reliabilities come back as vote -> (P(vote | true span), P(vote | false span)).
+    """
+    right = dict.fromkeys(LABELERS, FIRST_GUESS)
+    share = defaultdict(lambda: FIRST_SHARE)
+    posterior = [FIRST_SHARE] * len(rows)
     for _ in range(turns):
         for i, r in enumerate(rows):
             yes, no = share[r["kind"]], 1 - share[r["kind"]]
             for lab in LABELERS:
-                t, f = rates[lab][r[lab]]
-                yes, no = yes * t, no * f
+                if r[lab]:
+                    yes, no = (yes * right[lab], no * (1 - right[lab])) if r[lab] > 0 else (yes * (1 - right[lab]), no * right[lab])
             posterior[i] = yes / (yes + no)
         for lab in LABELERS:
-            true, false = defaultdict(lambda: 0.5), defaultdict(lambda: 0.5)
+            good, votes = PRIOR * FIRST_GUESS, PRIOR
             for r, p in zip(rows, posterior, strict=True):
-                true[r[lab]] += r["n"] * p
-                false[r[lab]] += r["n"] * (1 - p)
-            all_true, all_false = sum(true[v] for v in odds), sum(false[v] for v in odds)
-            rates[lab] = {v: (true[v] / all_true, false[v] / all_false) for v in odds}
-        yes, all_ = defaultdict(lambda: 3.5), defaultdict(lambda: 5.0)
+                if r[lab]:
+                    good += r["n"] * (p if r[lab] > 0 else 1 - p)
+                    votes += r["n"]
+            right[lab] = min(0.999, max(0.5, good / votes))
+        yes_of, all_of = defaultdict(lambda: PRIOR * FIRST_SHARE), defaultdict(lambda: PRIOR)
         for r, p in zip(rows, posterior, strict=True):
-            yes[r["kind"]] += r["n"] * p
-            all_[r["kind"]] += r["n"]
-        share = defaultdict(lambda: 0.7, {k: yes[k] / all_[k] for k in all_})
-    return rates, posterior
+            yes_of[r["kind"]] += r["n"] * p
+            all_of[r["kind"]] += r["n"]
+        share = defaultdict(lambda: FIRST_SHARE, {k: min(0.99, max(0.01, yes_of[k] / all_of[k])) for k in all_of})
+    return {lab: {1: (a, 1 - a), 0: (1.0, 1.0), -1: (1 - a, a)} for lab, a in right.items()}, posterior
 
 
 def fit(rows: list[dict], turns: int = 200) -> Model:
