@@ -16,7 +16,7 @@ def latest(df: DataFrame, by: list[str], order: str, payload: list[str]) -> Data
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group with their rank; Spark keeps k rows a group in each task before the shuffle."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def chase(df: DataFrame, key: str, pointer: str, rounds: int = 6) -> DataFrame:

@@ -131,7 +131,7 @@ def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four groups with most hits, then time, labelled by who is seen first."""
     g = hits(spark, sf_dir).groupBy("session_id", "stroke").agg(F.count_if(F.col("hit_score") > 0.5).alias("hits"), (F.max("t") - F.min("t")).alias("seconds"), F.min("t").alias("first_t"))
     four = relational.top_k(g, ["session_id"], [F.desc("hits"), F.desc("seconds")], 4)
-    return four.select("session_id", "stroke", F.row_number().over(Window.partitionBy("session_id").orderBy("first_t")).alias("label"))
+    return four.select("session_id", "stroke", F.row_number().over(Window.partitionBy("session_id").orderBy("first_t")).cast("long").alias("label"))
 
 
 @query(f"WITH {HITS_SQL} SELECT session_id, side, arg_min(shot_id, {{'d': abs(t - 50), 't': t}}) AS shot_id FROM H WHERE t BETWEEN 45 AND 55 GROUP BY 1, 2")

@@ -57,7 +57,7 @@ def first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stranded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 worst recoveries (a top-k report), with their place."""
     worst = hits(spark, sf_dir).where("recovery_m > 2.5").select("shot_id", "recovery_m").orderBy(F.desc("recovery_m"), "shot_id").limit(200)
-    return worst.withColumn("place", F.row_number().over(Window.orderBy(F.desc("recovery_m"), "shot_id")))  # 200 rows
+    return worst.withColumn("place", F.row_number().over(Window.orderBy(F.desc("recovery_m"), "shot_id")).cast("long"))  # 200 rows
 
 
 @query("SELECT o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate END ASC NULLS LAST, o_orderkey) AS k FROM orders")
@@ -65,7 +65,7 @@ def order_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order within a session by date, unknown dates last, then id."""
     date = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))
     w = Window.partitionBy("o_custkey").orderBy(date.asc_nulls_last(), "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).alias("k"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(w).cast("long").alias("k"))
 
 
 # --- joins ----------------------------------------------------------------------------------------
@@ -149,7 +149,7 @@ def tag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distinct_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A session's strokes in the order in which they first come."""
     first = hits(spark, sf_dir).groupBy("session_id", "stroke").agg(F.min("t").alias("t"))
-    return first.select("session_id", "stroke", F.row_number().over(Window.partitionBy("session_id").orderBy("t", "stroke")).alias("place"))
+    return first.select("session_id", "stroke", F.row_number().over(Window.partitionBy("session_id").orderBy("t", "stroke")).cast("long").alias("place"))
 
 
 @query("SELECT l_partkey FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 5")

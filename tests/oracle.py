@@ -30,11 +30,16 @@ def plain(x):
     return str(x)
 
 
+KINDS = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(name, df, con, sql):
     names = sorted(df.columns)
     got = sorted([plain(r[c]) for c in names] for r in df.collect())
     rel = con.sql(sql)
     assert sorted(rel.columns) == names, (name, sorted(rel.columns), names)
+    types = dict(zip(rel.columns, map(str, rel.types), strict=True))
+    assert {c: KINDS.get(k, k) for c, k in df.dtypes} == types, name
     at = [rel.columns.index(c) for c in names]
     want = sorted([plain(r[i]) for i in at] for r in rel.fetchall())
     assert len(got) == len(want), (name, len(got), len(want))
