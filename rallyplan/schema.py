@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import types as T
 
@@ -35,6 +35,16 @@ class Thresholds:
     pad_before_s: float = 0.5
     pad_after_s: float = 1.5
 
+    @classmethod
+    def of(cls, **settings: float) -> Thresholds:
+        """Defaults with some settings changed; an unknown name or a value of another kind is an error."""
+        known = {f.name: f.type for f in fields(cls)}
+        if unknown := sorted(set(settings) - set(known)):
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        if bad := sorted(k for k, v in settings.items() if isinstance(v, bool) or not isinstance(v, (int, float))):
+            raise ValueError(f"not numbers: {', '.join(bad)}")
+        return cls(**settings)
+
 
 LIMITS = Thresholds()
 
