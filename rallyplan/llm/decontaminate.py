@@ -212,6 +212,18 @@ class Index:
         return [(self.ids[d], *x[:3], -x[3]) for d, x in sorted(best.items())]
 
 
+_built: dict[int, Index] = {}
+
+
+def index_of(block: list[tuple]) -> Index:
+    """The index of a block of items; a worker process builds it once."""
+    key = hash(tuple(block))
+    if key not in _built:
+        _built.clear()
+        _built[key] = Index(block)
+    return _built[key]
+
+
 def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
     """The items by blocks of bounded size; a row is (id, text)."""
     some = items.select(F.col(key).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
@@ -230,7 +242,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     for block in item_blocks(items, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block)
+            index = index_of(block)
             for batch in slices(batches):
                 rows, out = [], []
                 for i, raw in enumerate(raw_texts(batch.column(1))):
@@ -251,7 +263,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     for block in item_blocks(items, item_key, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block)
+            index = index_of(block)
             for batch in slices(batches):
                 yield batch.filter(pa.array([not index.matches(x) for x in raw_texts(batch.column(at))], pa.bool_()))
 
