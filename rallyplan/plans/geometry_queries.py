@@ -131,7 +131,10 @@ def own_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("shot_id", (F.col("hit_score") >= F.expr("median(hit_score) OVER (PARTITION BY session_id)") + 0.2).alias("own"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, FL AS (SELECT shot_id, 0 AS k, hit_x AS x, hit_y AS y, 1::DOUBLE AS z, 0::DOUBLE AS vx, -side * least(60, greatest(4, speed_kmh / 3.6::DOUBLE)) AS vy, 3::DOUBLE AS vz, sqrt(power(least(60, greatest(4, speed_kmh / 3.6::DOUBLE)), 2) + 9) AS f FROM H WHERE speed_kmh IS NOT NULL
+ UNION ALL SELECT shot_id, k + 1, x + ux * 0.005::DOUBLE, y + uy * 0.005::DOUBLE, z + uz * 0.005::DOUBLE, ux, uy, uz, sqrt(ux * ux + uy * uy + uz * uz) FROM (SELECT *, vx - c * f * vx * 0.005::DOUBLE AS ux, vy - c * f * vy * 0.005::DOUBLE AS uy, vz + (-c * f * vz - 9.81::DOUBLE) * 0.005::DOUBLE AS uz FROM (SELECT *, 0.5::DOUBLE * 1.21 * 0.55 * pi() * power(0.0335::DOUBLE, 2) / 0.057 AS c FROM FL WHERE k < 600 AND (z >= 0 OR vz >= 0)))),
+LA AS (SELECT shot_id, arg_max(x, k) AS x, arg_max(y, k) AS y, arg_max(z, k) AS z, arg_max(vz, k) AS vz, max(k) AS k FROM FL GROUP BY 1)
+SELECT shot_id, CASE WHEN z < 0 AND vz < 0 THEN round_even(x, 4) END AS x, CASE WHEN z < 0 AND vz < 0 THEN round_even(y, 4) END AS y, CASE WHEN z < 0 AND vz < 0 THEN round_even(k * 0.005::DOUBLE, 4) END AS seconds FROM LA""")
 def flight_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each hit's ball first lands, by simulation; a batch of flights is stepped at once."""
 
@@ -144,7 +147,7 @@ def flight_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
         places, _, bounce = fly(place, np.stack([np.zeros(len(x)), -side * pace, np.full(len(x), 3.0)], axis=1), 3.0)
         at = places[np.arange(len(x)), bounce]
         none = bounce < 0
-        return pd.DataFrame({"x": np.where(none, np.nan, at[:, 0].round(4)), "y": np.where(none, np.nan, at[:, 1].round(4)), "seconds": np.where(none, np.nan, bounce * STEP_S)})
+        return pd.DataFrame({"x": np.where(none, np.nan, at[:, 0]), "y": np.where(none, np.nan, at[:, 1]), "seconds": np.where(none, np.nan, bounce * STEP_S)})
 
     h = hits(spark, sf_dir).where("speed_kmh IS NOT NULL")
-    return h.select("shot_id", land("hit_x", "hit_y", "speed_kmh", "side").alias("l")).select("shot_id", "l.*")
+    return h.select("shot_id", land("hit_x", "hit_y", "speed_kmh", "side").alias("l")).select("shot_id", *[half_even(F.col(f"l.{c}"), 4).alias(c) for c in ("x", "y", "seconds")])

@@ -53,7 +53,10 @@ def merge_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.per_group(h, ["session_id"], ["t", "shot_id"], f, "session_id long, shot_id long, views long, speed_kmh double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, LB AS (SELECT session_id, shot_id, t - 1.5 AS lo, t + 2.5 AS hi, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY t, shot_id) AS i FROM H WHERE stroke = 'forehand'), DT AS (SELECT session_id, shot_id, t, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY t, shot_id) AS j FROM H WHERE stroke = 'backhand'),
+ST AS (SELECT session_id, 0 AS i, 0::BIGINT AS used, NULL::BIGINT AS label_id FROM LB WHERE i = 1
+ UNION ALL SELECT n.session_id, n.i, CASE WHEN n.j IS NOT NULL THEN n.j ELSE n.used END, CASE WHEN n.j IS NOT NULL THEN n.shot_id END FROM (SELECT k.session_id, b.i, k.used, b.shot_id, min(d.j) AS j FROM ST k JOIN LB b ON b.session_id = k.session_id AND b.i = k.i + 1 LEFT JOIN DT d ON d.session_id = k.session_id AND d.j > k.used AND d.t >= b.lo AND d.t <= b.hi GROUP BY 1, 2, 3, 4) n)
+SELECT ST.session_id, label_id, DT.shot_id AS found_id FROM ST JOIN DT ON DT.session_id = ST.session_id AND DT.j = ST.used WHERE label_id IS NOT NULL""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels (forehands) one to one with detections (backhands) in their windows."""
 
@@ -65,7 +68,10 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.per_group(hits(spark, sf_dir).select("session_id", "shot_id", "t", "stroke"), ["session_id"], ["t", "shot_id"], f, "session_id long, label_id long, found_id long")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, EV AS (SELECT session_id, t, hit_score AS s, CASE shot_id % 3 WHEN 0 THEN 'audio' WHEN 1 THEN 'ball' ELSE 'pose' END AS source, CASE shot_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS r, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY t, shot_id) AS i FROM H),
+ST AS (SELECT session_id, i, 1 AS g, t AS mt, r AS best, s, source FROM EV WHERE i = 1
+ UNION ALL SELECT e.session_id, e.i, CASE WHEN e.t - k.mt <= 1 THEN k.g ELSE k.g + 1 END, CASE WHEN e.t - k.mt <= 1 AND e.r <= k.best THEN k.mt ELSE e.t END, CASE WHEN e.t - k.mt <= 1 THEN greatest(k.best, e.r) ELSE e.r END, e.s, e.source FROM ST k JOIN EV e ON e.session_id = k.session_id AND e.i = k.i + 1)
+SELECT session_id, arg_max(mt, i) AS t, max(s) AS loudness, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM ST GROUP BY session_id, g""")
 def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate moments of three sources as one list: what is within a second is the same."""
 
@@ -77,14 +83,20 @@ def merged_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.per_group(hits(spark, sf_dir).select("session_id", "shot_id", "t", "hit_score", source.alias("source")), ["session_id"], ["t", "shot_id"], f, "session_id long, t double, loudness double, sources string")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, EV AS (SELECT session_id, shot_id, t, hit_score AS s, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY t, shot_id) AS i FROM H),
+ST AS (SELECT session_id, i, shot_id AS last_id, t AS last_t, s AS last_s, NULL::BIGINT AS dropped FROM EV WHERE i = 1
+ UNION ALL SELECT e.session_id, e.i, CASE WHEN e.t - k.last_t >= 2 OR e.s > k.last_s THEN e.shot_id ELSE k.last_id END, CASE WHEN e.t - k.last_t >= 2 OR e.s > k.last_s THEN e.t ELSE k.last_t END, CASE WHEN e.t - k.last_t >= 2 OR e.s > k.last_s THEN e.s ELSE k.last_s END,
+  CASE WHEN e.t - k.last_t >= 2 THEN NULL WHEN e.s > k.last_s THEN k.last_id ELSE e.shot_id END FROM ST k JOIN EV e ON e.session_id = k.session_id AND e.i = k.i + 1)
+SELECT session_id, shot_id FROM EV WHERE shot_id NOT IN (SELECT dropped FROM ST WHERE dropped IS NOT NULL)""")
 def separated_onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of onsets closer than 2 s the stronger."""
     f = lambda r: _ids(r, np.flatnonzero(sequence.keep_apart(r.t.to_numpy(), r.hit_score.to_numpy(), 2.0)))
     return sequence.per_group(hits(spark, sf_dir).select("session_id", "shot_id", "t", "hit_score"), ["session_id"], ["t", "shot_id"], f, "session_id long, shot_id long")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, EV AS (SELECT session_id, shot_id, t, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY t, shot_id) AS i FROM H WHERE crosses_net),
+NX AS (SELECT a.session_id, a.shot_id, a.i, min(b.i) AS nxt FROM EV a LEFT JOIN EV b ON a.session_id = b.session_id AND b.t - a.t >= 5 AND b.i > a.i GROUP BY 1, 2, 3),
+KE AS (SELECT session_id, shot_id, nxt FROM NX WHERE i = 1 UNION ALL SELECT NX.session_id, NX.shot_id, NX.nxt FROM KE JOIN NX ON NX.session_id = KE.session_id AND NX.i = KE.nxt) SELECT session_id, shot_id FROM KE""")
 def turn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events at least 5 s after the last kept one."""
     f = lambda r: _ids(r, np.flatnonzero(sequence.suppress_after(r.t.to_numpy(), 5.0)))
@@ -102,7 +114,12 @@ def smoothed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.per_group(hits(spark, sf_dir).select("session_id", "side", "shot_id", "t", "hit_x"), ["session_id", "side"], ["t", "shot_id"], f, "shot_id long, euro double, savgol double")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, EV AS (SELECT session_id, shot_id, hit_x, hit_y, bounce_x, bounce_y, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY t, shot_id) AS i FROM H),
+ST AS (SELECT session_id, i, shot_id, hit_x AS ax, hit_y AS ay, bounce_x AS bx, bounce_y AS by_, false AS swapped FROM EV WHERE i = 1
+ UNION ALL SELECT session_id, i, shot_id, CASE WHEN sw THEN cx ELSE hx END, CASE WHEN sw THEN cy ELSE hy END, CASE WHEN sw THEN hx ELSE cx END, CASE WHEN sw THEN hy ELSE cy END, sw FROM (
+  SELECT e.session_id, e.i, e.shot_id, e.hit_x AS hx, e.hit_y AS hy, e.bounce_x AS cx, e.bounce_y AS cy, COALESCE(sqrt((e.bounce_x - k.ax) ** 2 + (e.bounce_y - k.ay) ** 2) + sqrt((e.hit_x - k.bx) ** 2 + (e.hit_y - k.by_) ** 2) < 0.8::DOUBLE * (sqrt((e.hit_x - k.ax) ** 2 + (e.hit_y - k.ay) ** 2) + sqrt((e.bounce_x - k.bx) ** 2 + (e.bounce_y - k.by_) ** 2)), false) AS sw
+  FROM ST k JOIN EV e ON e.session_id = k.session_id AND e.i = k.i + 1))
+SELECT shot_id, ax AS x, swapped FROM ST""")
 def swap_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left and right keypoints (hit and bounce stand in) with swaps undone."""
 
