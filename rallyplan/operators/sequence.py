@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 
 from rallyplan.schema import LIMITS
 
+# Least gap between hits, silence that ends a rally, least score.
 MIN_GAP_S, BREAK_S, THRESHOLD = 0.55, 4.0, 0.5
 
 
@@ -120,6 +121,7 @@ def suppress_after(t: np.ndarray, quiet: float) -> np.ndarray:
     return keep
 
 
+# What one view may take from another.
 VIEW_FIELDS = ("speed_kmh", "hit_x", "hit_y", "bounce_x", "bounce_y", "in_court", "depth", "direction", "net_clearance_m", "contact_height_m", "crosses_net")
 
 

@@ -286,7 +286,7 @@ def shots_with_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("shot_id").join(nested, "shot_id", "left").select("shot_id", F.explode_outer("metrics").alias("name", "value"))
 
 
-#: (condition on the profile columns, text, level), in order of the report.
+# Fixed values: (condition on the profile columns, text, level), in order of the report.
 RULES = [
     ("fs > bs * 1.15", "The forehand is the weapon", "info"), ("bs > fs * 1.1", "The backhand is faster than the forehand", "work"), ("fs <= bs * 1.15 AND bs <= fs * 1.1", "Forehand and backhand are balanced", "good"),
     ("fh_n_in >= 10 AND fh_in < 0.6", "Few measured forehands landed in", "work"), ("fh_n_in >= 10 AND fh_in > 0.8", "Most measured forehands landed in", "good"),

@@ -13,7 +13,7 @@ HALF_LENGTH, HALF_DOUBLES, HALF_SINGLES = LENGTH / 2, DOUBLES_WIDTH / 2, SINGLES
 NET_CENTRE, NET_POST, NET_POST_X = 0.914, 1.07, 6.40
 # Strokes in the order in which reports list them.
 STROKES = ("serve", "forehand", "backhand", "volley_forehand", "volley_backhand", "overhead")
-#: Keypoints of a pose, in order.
+# Keypoints of a pose, in order.
 KEYPOINTS = (
     "nose", "l_eye", "r_eye", "l_ear", "r_ear", "l_shoulder", "r_shoulder", "l_elbow", "r_elbow",
     "l_wrist", "r_wrist", "l_hip", "r_hip", "l_knee", "r_knee", "l_ankle", "r_ankle",
