@@ -19,12 +19,18 @@ MIN_GAP_S, BREAK_S, THRESHOLD = 0.55, 4.0, 0.5
 
 
 def per_group(df: DataFrame, by: list[str], order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """f over each group's rows in order."""
+    """f over each group's rows in order.
+
+    Groups are dealt out to the session's number of shuffle partitions: their rows
+    are few bytes but much work, so partitions that were joined by size would
+    leave cores idle.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         return f(rows.sort_values(order, kind="stable", ignore_index=True))
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(tasks, *by).groupBy(*by).applyInPandas(run, schema)
 
 
 def best_hits(t: np.ndarray, side: np.ndarray, score: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
