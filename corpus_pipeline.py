@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rallyplan.llm import bpe, decontaminate, pii, repetition, simhash
+from rallyplan.llm import bpe, decontaminate, near_copies, pii, repetition
 from rallyplan.llm.common import ready_checkpoints, table
 from rallyplan.llm.queries import vocabulary_path
 from rallyplan.session import importable
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,6 +288,20 @@ def _free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def keep_first(docs: DataFrame, rooted: DataFrame, key: str) -> DataFrame:
+    """Of the rows of each root one: with the smallest key (null last), then the smallest hash of the columns.
+
+    rooted: (key, content, root) of every row; content is xxhash64 of all columns.
+    """
+    content, rank, bare, least = (_free_name(x, docs.columns) for x in ("__content", "__rank", "__bare", "__least"))
+    first = F.min(F.struct(F.col(key).isNull().alias(bare), F.col(key).alias(least), F.col("content").alias(content))).alias("w")
+    winners = rooted.groupBy("root").agg(first).select(f"w.{least}", f"w.{content}")
+    marked = docs.withColumn(content, F.xxhash64(*docs.columns))
+    kept = marked.join(winners, (marked[content] == winners[content]) & marked[key].eqNullSafe(winners[least]), "left_semi")
+    one = Window.partitionBy(content, key).orderBy(content)
+    return kept.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(docs.columns)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows, with all their columns, such that one document of each component stays.
 
