@@ -314,7 +314,7 @@ def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, role, length(text) AS n FROM conversations WHERE turn = 0 OR turn % 2 = 1")
 def serialised_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as nested documents and back."""
-    c = table(spark, sf_dir, "conversations").where("turn = 0 OR turn % 2 = 1")
+    c = table(spark, sf_dir, "conversations")
     doc = c.select(F.to_json(F.struct("conv_id", "turn", F.struct("role", F.length("text").cast("long").alias("n")).alias("said"))).alias("j"))
     kind = f"conv_id {c.schema['conv_id'].dataType.simpleString()}, turn {c.schema['turn'].dataType.simpleString()}, said struct<role:string,n:long>"
     return doc.select(F.from_json("j", kind).alias("x")).select("x.conv_id", "x.turn", "x.said.role", "x.said.n")

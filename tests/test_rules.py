@@ -250,3 +250,12 @@ def test_parsing(spark):
     assert one("7-6 4-3, 30-15", lambda c: X.games(c, 0)) == 11 and one("7-6 x-y", lambda c: X.games(c, 1)) == 6
     assert one("1970-01-01T00:00:00Z", X.iso_time) is None and one("2024-05-01T10:00:00", X.iso_time).year == 2024
     assert one("..a b/c.mp4", X.safe_name) == "a_b_c.mp4" and one("Ann Lee", X.initials) == "AN"
+
+
+def test_every_row_is_serialised(spark):
+    from rallyplan.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", "role", "CAST(length(text) AS BIGINT) AS n")
+    got = QUERIES["serialised_rows"](spark, d)
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect())) and got.where("turn > 0 AND turn % 2 = 0").count() > 0
