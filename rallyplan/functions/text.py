@@ -61,8 +61,8 @@ def clock_text(seconds: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    """Bytes as B, kB or MB."""
-    scaled = lambda by, unit: F.format_string(f"%.1f {unit}", n / by)
+    """Bytes as B, kB or MB; the quotient's exact value is rounded, ties to even (%.1f rounds its shortest decimal text, ties up)."""
+    scaled = lambda by, unit: F.concat(F.call_function("format_number", n / by, F.lit("0.0")), F.lit(f" {unit}"))
     return F.when(n < 1000, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1_000_000, scaled(1000.0, "kB")).otherwise(scaled(1e6, "MB"))
 
 

@@ -259,3 +259,14 @@ def test_every_row_is_serialised(spark):
     rows = spark.read.parquet(f"{d}/conversations.parquet").selectExpr("conv_id", "turn", "role", "CAST(length(text) AS BIGINT) AS n")
     got = QUERIES["serialised_rows"](spark, d)
     assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect())) and got.where("turn > 0 AND turn % 2 = 0").count() > 0
+
+
+def test_every_size_is_formatted(spark):
+    from rallyplan.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    got = {r.event_id: r.size for r in QUERIES["format_texts"](spark, d).collect()}
+    ids = [r.event_id for r in spark.read.parquet(f"{d}/events.parquet").collect()]
+    assert got == {i: f"{i} B" if i < 1000 else f"{i / 1000:.1f} kB" for i in ids} and [got[i] for i in (50, 1050, 1150, 1250)] == ["50 B", "1.1 kB", "1.1 kB", "1.2 kB"]
+    large = spark.createDataFrame([(999_950,), (1_250_000,), (1_234_567_890,)], "n long")
+    assert [r[0] for r in large.select(X.size_text(F.col("n"))).collect()] == ["1000.0 kB", "1.2 MB", "1234.6 MB"]
