@@ -12,10 +12,12 @@ are left aside, and the others' impacts don't reach the threshold less the
 item's mass in the words left aside (a MaxScore bound for each item). The rest
 go through block-max WAND; all items from ``LEAST_SCORE`` on are retrieved.
 
-Check: an item is question and answer: its last line, or else its last sentence,
-or else its last third of words, is the answer. Both have to stand in the
-passage in order (longest common subsequence) to ``LEAST_QUESTION`` and
-``LEAST_ANSWER`` of their words.
+Check: every retrieved item is looked for in windows of its own width, twice its
+words (``LEAST_PASSAGE`` at least), however wide the passage is; one starts at each
+of its words in the passage. An item is question and answer: its last line, or else
+its last sentence, or else its last third of words, is the answer. The window has to
+hold ``LEAST_SCORE`` of the item's mass, and both parts in order (longest common
+subsequence) to ``LEAST_QUESTION`` and ``LEAST_ANSWER`` of their words.
 
 Items are held by blocks of at most ``BLOCK_BYTES`` of text, with a pass over the
 documents for each, so that what a task holds is bounded.
@@ -90,6 +92,7 @@ class Index:
         self.parts = [question_and_answer(t) for _, t, _ in own]
         lengths = [sum(c.values()) for _, _, c in own]
         self.half = max([LEAST_PASSAGE // 2, *lengths])
+        self.widths = [max(LEAST_PASSAGE, 2 * x) for x in lengths]
         held = Counter(w for _, _, c in own for w in c)
         n, mean = len(own), sum(lengths) / max(1, len(own))
         impacts: dict[bytes, list[tuple[int, float]]] = {w: [] for w in sorted(held)}
@@ -99,6 +102,7 @@ class Index:
             for w, x in mass.items():
                 impacts[w].append((d, x / total))
         self.number = {w: t + 1 for t, w in enumerate(impacts)}  # 0: any other word
+        self.terms = [np.array(sorted(self.number[w] for w in c), np.int64) for _, _, c in own]
         self.docs = [np.zeros(0, np.int64), *(np.array([d for d, _ in p]) for p in impacts.values())]
         self.impact = [np.zeros(0), *(np.array([x for _, x in p]) for p in impacts.values())]
         self.most = np.array([p.max(initial=0) for p in self.impact])
@@ -194,8 +198,25 @@ class Index:
             lists = sorted(moved)
         return out
 
+    def windows(self, d: int, numbers: np.ndarray, places: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
+        """(score, places of the item's words) of the item's windows with score >= LEAST_SCORE that start at one of the places.
+
+        places: those of the item's words, in order. A window whose words all stand in the one before it is left out.
+        """
+        terms = numbers[places]
+        mass = np.array([self.impact[t][np.searchsorted(self.docs[t], d)] for t in self.terms[d].tolist()])[np.searchsorted(self.terms[d], terms)]
+        ends = np.searchsorted(places, places + self.widths[d])
+        sums = np.concatenate(([0.0], np.cumsum(mass)))
+        # a word that stands several times is counted each time at first: a bound
+        able = (np.diff(ends, prepend=0) > 0) & (sums[ends] - sums[:-1] >= LEAST_SCORE - 1e-6)
+        for i in np.flatnonzero(able).tolist():
+            _, first = np.unique(terms[i : ends[i]], return_index=True)
+            score = float(mass[i : ends[i]][first].sum())
+            if score >= LEAST_SCORE - 1e-9:
+                yield score, places[i : ends[i]]
+
     def matches(self, raw: bytes) -> list[tuple]:
-        """(item_id, score, question overlap, answer overlap, first word of the passage), the best passage of each verified item."""
+        """(item_id, score, question overlap, answer overlap, first word of the window), the best window of each verified item."""
         words = folded_words(raw)
         if not words or not self.ids:
             return []
@@ -203,12 +224,18 @@ class Index:
         numbers = np.array([of(w, 0) for w in words], np.int64)
         best: dict[int, tuple] = {}
         for first, end in self.passages(numbers):
-            terms = np.unique(numbers[first:end])
-            for d, score in self.retrieve(terms[terms > 0].tolist()):
+            order = np.argsort(numbers[first:end], kind="stable")
+            ranked = numbers[first:end][order]
+            terms = np.unique(ranked)
+            for d, _ in self.retrieve(terms[terms > 0].tolist()):
                 question, answer = self.parts[d]
-                q, a = in_order(question, words[first:end]), in_order(answer, words[first:end])
-                if q >= LEAST_QUESTION and a >= LEAST_ANSWER:
-                    best[d] = max(best.get(d, (0.0, 0.0, 0.0, 0)), (round(min(score, 1.0), 6), round(q, 6), round(a, 6), -first))
+                low, high = np.searchsorted(ranked, self.terms[d]), np.searchsorted(ranked, self.terms[d], side="right")
+                places = first + np.sort(np.concatenate([order[x:y] for x, y in zip(low.tolist(), high.tolist(), strict=True)]))
+                for score, at in self.windows(d, numbers, places):
+                    own = [words[i] for i in at.tolist()]
+                    q, a = in_order(question, own), in_order(answer, own)
+                    if q >= LEAST_QUESTION and a >= LEAST_ANSWER:
+                        best[d] = max(best.get(d, (0.0, 0.0, 0.0, 0)), (round(min(score, 1.0), 6), round(q, 6), round(a, 6), -int(at[0])))
         return [(self.ids[d], *x[:3], -x[3]) for d, x in sorted(best.items())]
 
 

@@ -101,3 +101,39 @@ def test_odd_rows(spark):
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3, 4]
     assert D.contaminated(docs, items.limit(0)).count() == 0 and D.contaminated(docs.limit(0), items).count() == 0
     assert D.keep_clean(docs, items.limit(0)).count() == len(rows)
+
+
+def by_every_window(index, raw):
+    """Items that some window of twice their words holds."""
+    words, out = D.folded_words(raw), set()
+    for d, (question, answer) in enumerate(index.parts):
+        width = max(D.LEAST_PASSAGE, 2 * (len(question) + len(answer)))
+        for i in range(len(words)):
+            part = words[i : i + width]
+            if scores(index, {index.number[w] for w in part if w in index.number})[d] >= D.LEAST_SCORE - 1e-9 and lcs(question, part) >= D.LEAST_QUESTION * len(question) - 1e-9 and lcs(answer, part) >= D.LEAST_ANSWER * len(answer) - 1e-9:
+                out.add(index.ids[d])
+                break
+    return out
+
+
+def test_a_long_item_doesnt_loosen_the_others():
+    pick = random.Random(4)
+    bench = [(0, "Which bird sleeps under the wooden pier near the river delta at night?\nThe old grey heron of the marsh")]
+    bench += [(1, " ".join(f"l{pick.randrange(600)}" for _ in range(1500)))]
+    index = D.Index(bench)
+    words = [w.decode() for w in D.folded_words(bench[0][1].encode())]
+    spread = " ".join(f"{w} " + " ".join(f"x{pick.randrange(99)}" for _ in range(40)) for w in words)
+    near = "before " * 200 + " ".join(f"{w} y" for w in words) + " after" * 200
+    assert index.matches(spread.encode()) == []
+    assert [x[0] for x in index.matches(near.encode())] == [0] and [x[0] for x in index.matches(bench[1][1].encode())] == [1]
+
+
+def test_matches_are_those_of_every_window():
+    bench, texts = items_and_texts(7, 12)
+    bench.append((99, " ".join(t for _, t in bench) * 3))
+    index, met = D.Index(bench), 0
+    for text in texts[:25]:
+        got = {x[0] for x in index.matches(text.encode())}
+        assert got - {99} == by_every_window(index, text.encode()) - {99}
+        met += len(got)
+    assert met
