@@ -43,9 +43,11 @@ BASE = {
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 FORENAMES = "Anna|Maria|John|James|Mary|Peter|Paul|Hans|Klaus|Ursula|Jean|Pierre|Marie|Claire|Luis|Carlos|Carmen|Ana|David|Sarah|Laura|Thomas|Michael|Julia"
 TITLES = r"Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
+#: What stands before a secret's value.
+SECRET = r"\b(?i:token|secret|passwo?r?d|api[_-]?key|access[_-]?key|auth)[ ]{0,2}[=:]"
 #: Candidates beside the base patterns.
 WIDE = {
-    "secret": r"\b(?i:token|secret|passwo?r?d|api[_-]?key|access[_-]?key|auth)[ ]{0,2}[=:][ ]{0,2}[\"']?[A-Za-z0-9_+/-]{12,128}+[\"']?",
+    "secret": SECRET + r"[ ]{0,2}[\"']?[A-Za-z0-9_+/-]{12,}+[\"']?",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+?[0-9]{0,3} ?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -160,7 +162,7 @@ def candidates(text: Column) -> Column:
         return F.transform(good, lambda x: voted(x, F.lit(kind), F.lit(True)))
 
     base = F.concat(*map(base_spans, BASE))
-    wide = spans_of(text, WIDE_ALL, numeric | text.rlike(rf"\b(?:{TITLES})\b"))
+    wide = spans_of(text, WIDE_ALL, numeric | text.rlike(rf"\b(?:{TITLES})\b") | text.rlike(SECRET))
 
     def kind_of(m: Column) -> Column:
         out = F.lit(next(iter(WIDE)))

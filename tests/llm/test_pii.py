@@ -95,3 +95,10 @@ def test_redaction(spark):
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert got == {1: ("Write to <email> or é <phone> now", 33), 2: ("clean", 5), 3: (None, None), 4: ("", 0)}
+
+
+def test_secrets_of_letters_and_of_any_length(spark):
+    texts = ["my password: correcthorsebattery", "x token=" + "ab1" * 3000 + " y", "no secret here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.c] for r in docs.select("doc_id", P.candidates(docs.text).alias("c")).collect()}
+    assert got == {0: [("secret", 3, len(texts[0]))], 1: [("secret", 2, len(texts[1]) - 2)], 2: []}
