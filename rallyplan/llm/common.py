@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that are parts of words (digits, letters, all above ASCII); A-Z become a-z, the rest blanks.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -23,11 +25,14 @@ def folded_words(raw: bytes) -> list[bytes]:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; set one only where none is named (tests)."""
+    """Use the cluster's checkpoint folder; a folder of this machine only in local mode and where none is named (tests)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rallyplan-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rallyplan-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,6 +41,64 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is heavy with more than 1 / HEAVY of the rows, and at least LEAST_HEAVY: there are fewer than HEAVY of them.
+HEAVY, LEAST_HEAVY = 1000, 10_000
+#: Rows of (hash, key) that are broadcast at most; more go by a shuffle.
+FEW = 1_000_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join on a key that has one row in right; the rows of a heavy key of left don't meet in one task.
+
+    Heavy keys are fewer than HEAVY, so their rows of right are broadcast; the others meet by a shuffle.
+    Rows with a null key have no match.
+    """
+    least = max(LEAST_HEAVY, left.count() // HEAVY)
+    heavy = [r[0] for r in left.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > least) & F.col(key).isNotNull()).select(key).collect()]
+    if not heavy:
+        return left.join(right, key)
+    hot = F.col(key).isin(heavy)
+    return left.where(~hot).join(right, key).unionByName(left.where(hot).join(F.broadcast(right.where(hot)), key))
+
+
+def matched(rows: DataFrame, few: DataFrame, same: Callable[[DataFrame, DataFrame], Column], how: str = "left_semi") -> DataFrame:
+    """The rows that meet one of ``few`` (narrow rows): broadcast if they are at most FEW, else by a shuffle."""
+    few = F.broadcast(few) if few.count() <= FEW else few
+    return rows.join(few, same(rows, few), how)
+
+
+def unmatched(rows: DataFrame, few: DataFrame, same: Callable[[DataFrame, DataFrame], Column]) -> DataFrame:
+    """The rows that meet none of ``few``."""
+    return matched(rows, few, same, "left_anti")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[list[np.ndarray]]]]:
+    """(key, parts) of the runs of rows that are equal in the first ``keys`` columns, for sorted rows.
+
+    A part is a list of columns; runs of one row may be left out.
+    """
+    held: list[list[np.ndarray]] = []
+    last: tuple = ()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])
+        edges = np.concatenate(([0], np.flatnonzero(new) + 1, [batch.num_rows]))
+        # the first and the last run may go on in other batches; of the others those of one row don't matter
+        for g in sorted({0, len(edges) - 2, *np.flatnonzero(np.diff(edges) > 1).tolist()}):
+            part = [c[edges[g] : edges[g + 1]] for c in columns]
+            key = tuple(c[0] for c in part[:keys])
+            if held and key == last:
+                held.append(part)
+                continue
+            if held:
+                yield last, held
+            held, last = [part], key
+    if held:
+        yield last, held
+
+
 def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

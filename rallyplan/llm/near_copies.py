@@ -1,27 +1,32 @@
-"""Near copies by exact Jaccard similarity of word shingles (the pipeline's near-dedup stage).
+"""Near copies by the Gray-order SimHash index and exact similarity (the pipeline's near-dedup stage).
 
 Two texts are near copies if the sets of their ``SHINGLE``-word shingles have a
 Jaccard similarity of ``LEAST_JACCARD`` or more; near copies of near copies are in
 one component. Words are those of the SimHash operator; a text of fewer words is
 one shingle, all texts without words are equal.
 
-1. One pass over the texts: a code of the shingle set, its size, and ``BANDS``
-   hashes of ``ROWS`` MinHash values each. Two sets of similarity s share a band
-   with probability 1 - (1 - s ** ROWS) ** BANDS: 0.99978 at s = 0.8. (A 64-bit
-   SimHash of such a pair differs in 10 bits on average, which no choice of
-   agreeing blocks separates from other pairs.)
-2. Distinct sets, however many texts share one. Sets of a band that are neighbours
-   by size are compared; then, where a band still has several components, all its
-   pairs between them that their sizes allow. Only sets that share a band have
-   their shingles read again.
-3. Components over the pairs that pass.
-
-No pair is linked without the exact comparison, and no group is capped: m sets
-that share a band and have similar sizes but aren't linked cost m ** 2 / 2 of them.
+1. One pass over the texts: a code of the shingle set, its size, its SimHash of
+   ``WORDS`` * 64 bits, and ``BANDS`` hashes of ``ROWS`` MinHash values each.
+2. Bands deal the distinct sets (however many texts share one). Sets of similarity
+   0.8 differ in 0.15 of their SimHash bits on average, far more than blocks of
+   agreeing bits can deal, as they do within 2 bits for operator 10; they share a
+   band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99978.
+3. In each band, the Gray-order index of ``simhash``: at first neighbours in Gray
+   order within ``RADIUS`` bits, the nearest of each set only, are compared, for
+   ``TURNS`` orders. Then, where a band still has several components, the
+   hierarchical index finds all pairs of different components within the radius.
+   A band of many sets is cut into chunks of ``CHUNK_ROWS``, ordered by component
+   and Gray rank; pairs of chunks are searched, but for those of one component.
+4. Exact comparison of the shingles of these pairs; components of those that pass.
+
+No pair is linked without the exact comparison and none is left out for the size
+of its band: m sets of one band that are within the radius but in other components
+cost m ** 2 / 2 comparisons. ``RADIUS`` is six standard deviations beyond the mean
+distance at similarity 0.8.
 
 Defined results: of each component one row stays, the one with the smallest key
-(null last), then the smallest hash of its columns; an empty table gives an empty
-table; other columns are kept.
+(null last), then the smallest hash of its columns; of rows equal in all columns
+one stays; an empty table gives an empty table; other columns are kept.
 """
 
 from __future__ import annotations
@@ -31,11 +36,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rallyplan.llm.common import cut, raw_texts, slices
-from rallyplan.llm.simhash import UPPER, components, keep_first
+from rallyplan.llm.common import cut, groups, matched, raw_texts, slices, spread_join
+from rallyplan.llm.simhash import UPPER, GrayIndex, components, gray_code, gray_rank, keep_first, row_code
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -43,12 +49,19 @@ SHINGLE = 5
 LEAST_JACCARD = (4, 5)
 ROWS, BANDS = 4, 16
 SEED = 42
-#: Pairs that are emitted at once, and shingles that are hashed at once.
+#: SimHash of so many 64-bit words; pairs within so many bits are compared.
+WORDS, RADIUS = 2, 44
+#: Bits that the words are turned by for each round of neighbours.
+TURNS = (0, 21, 43)
+#: Sets of a band that one chunk holds.
+CHUNK_ROWS = 1 << 15
+#: Shingles that are hashed at once, and pairs that are emitted at once.
 CHUNK = 1 << 14
 
 _pick = np.random.default_rng(SEED)
 _FACTORS = _pick.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _pick.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
+_SIGN = np.uint64(1 << 63)
 
 
 def shingles(raw: bytes) -> np.ndarray:
@@ -81,119 +94,196 @@ def band_codes(own: np.ndarray) -> list[int]:
     return np.array(codes, np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """SimHash of the set in WORDS words; the second and later words come from the shingles' hashes mixed again."""
+    out = np.zeros(WORDS, np.uint64)
+    codes = own
+    for w in range(WORDS):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(codes), CHUNK // 2):
+            ones += np.unpackbits(codes[at : at + CHUNK // 2].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > len(codes)).view(">u8")[0]
+        codes = (codes ^ (codes >> np.uint64(31))) * _FACTORS[w]
+        codes ^= codes >> np.uint64(29)
+    return out
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Is the sets' Jaccard similarity LEAST_JACCARD or more?"""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * LEAST_JACCARD[1] >= (len(a) + len(b) - both) * LEAST_JACCARD[0]
 
 
+def _signed(words: np.ndarray) -> np.ndarray:
+    """Unsigned words as signed ones of the same order."""
+    return (words ^ _SIGN).view(np.int64)
+
+
+def _turned(ranks: np.ndarray, turn: int) -> np.ndarray:
+    """Gray ranks of the codes at these ranks after each word is turned left."""
+    if not turn:
+        return ranks
+    codes = gray_code(ranks)
+    return gray_rank((codes << np.uint64(turn)) | (codes >> np.uint64(64 - turn)))
+
+
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, content, code, n, bands of every row."""
+    """key, content, code, n, g0, g1 (Gray rank of the SimHash, as signed words), bands of every row."""
     kind = docs.schema[key].dataType.simpleString()
+    names = ["content", "code", "n", *(f"g{w}" for w in range(WORDS)), "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(x) for x in raw_texts(batch.column(2))]
-            made = [pa.array([set_code(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([band_codes(x) for x in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], [key, "content", "code", "n", "bands"])
+            ranks = _signed(gray_rank(np.array([fingerprint(x) for x in sets], np.uint64).reshape(-1, WORDS)))
+            made = [pa.array([set_code(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(ranks[:, w]) for w in range(WORDS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, pa.array([band_codes(x) for x in sets], pa.list_(pa.int64()))], ["k", *names])
+
+    schema = ", ".join([f"k {kind}", *(f"{x} long" for x in names[:-1]), "bands array<long>"])
+    return docs.select(F.col(f"`{key}`"), row_code(docs), F.col(f"`{text}`")).mapInArrow(run, schema)
 
-    return docs.select(key, F.xxhash64(*docs.columns).alias("content"), text).mapInArrow(run, f"`{key}` {kind}, content long, code long, n long, bands array<long>")
 
+def _unsigned(columns: list[np.ndarray]) -> np.ndarray:
+    return np.stack(columns, axis=1).view(np.uint64) ^ _SIGN
 
-def _pairs(members: DataFrame, every: bool) -> DataFrame:
-    """(a, b) to compare, of the rows (band, n, code, root) of each band: neighbours by size, or every pair of different roots."""
-    dealt = members.repartition("band").sortWithinPartitions("band", "n", "code").select("band", "n", "code", "root")
 
-    def of_group(n: np.ndarray, code: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(n) - 1):
-            # sizes are sorted: from some place on they are too large to reach the similarity
-            end = int(np.searchsorted(n, n[i] * LEAST_JACCARD[1] // LEAST_JACCARD[0], side="right")) if every else i + 2
-            other = code[i + 1 : end][root[i + 1 : end] != root[i]]
-            if len(other):
-                yield np.full(len(other), code[i]), other
+def _neighbours(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b), a < b: each set with the nearest of its neighbours in the bands' Gray orders that is within RADIUS, of fitting size and of another component.
+
+    members: band, g0, g1, n, code, root. Sorted by ranges of (band, rank), so that a band of any size spreads
+    over tasks; the few neighbours at the borders of tasks are left to the search.
+    """
+    spark = members.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranks = [f"g{w}" for w in range(WORDS)]
+
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _signed(_turned(_unsigned([batch.column(1 + w).to_numpy() for w in range(WORDS)]), turn))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(own[:, w]) for w in range(WORDS)), *batch.columns[1 + WORDS :]], batch.schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flushed() -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-        def solved(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            count = 0
-            for pair in of_group(*rows[1:]):
-                held.append(pair)
-                count += len(pair[0])
-                if count > CHUNK:
-                    yield flushed()
-                    count = 0
+        before = None
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if before is not None:
+                rows = [np.concatenate(x) for x in zip(before, rows, strict=True)]
+            before = [c[-1:] for c in rows]
+            band, *g, n, code, root = rows
+            codes = gray_code(_unsigned(g))
+            far = np.bitwise_count(codes[1:] ^ codes[:-1]).sum(axis=1, dtype=np.int64)
+            small, large = np.minimum(n[1:], n[:-1]), np.maximum(n[1:], n[:-1])
+            good = (band[1:] == band[:-1]) & (root[1:] != root[:-1]) & (far <= RADIUS) & (small * LEAST_JACCARD[1] >= large * LEAST_JACCARD[0])
+            a, b = code[:-1][good], code[1:][good]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(far[good])], ["a", "b", "far"])
+
+    rows = members.select("band", *ranks, "n", "code", "root")
+    rows = rows.mapInArrow(turned, rows.schema) if turn else rows
+    pairs = rows.repartitionByRange(tasks, "band", *ranks).sortWithinPartitions("band", *ranks, "code").mapInArrow(run, "a long, b long, far long")
+    other = F.max_by(F.struct("a", "b"), F.struct(-F.col("far"), "a", "b"))
+    best = pairs.select(F.explode(F.array("a", "b")).alias("own"), "a", "b", "far").groupBy("own").agg(other.alias("x"))
+    return best.select("x.a", "x.b").distinct()
+
+
+def _chunks(members: DataFrame) -> DataFrame:
+    """members with a chunk number: runs of at most CHUNK_ROWS rows of a band by (root, Gray rank)."""
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["band", "root", *(f"g{w}" for w in range(WORDS)), "code"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seen, band = TaskContext.get().partitionId() << 40, 0, None
+        chunk = -1
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy() for c in batch.columns])
-            edges = np.concatenate(([0], np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, [batch.num_rows]))
-            several = np.flatnonzero(np.diff(edges) > 1)
-            for g in sorted({0, len(edges) - 2, *several.tolist()}):
-                part = rows[:, edges[g] : edges[g + 1]]
-                if rest and rest[0][0, 0] == part[0, 0]:
-                    rest.append(part)
-                    continue
-                if rest:
-                    yield from solved(np.concatenate(rest, axis=1))
-                rest = [part]
-            if held:
-                yield flushed()
-        if rest:
-            yield from solved(np.concatenate(rest, axis=1))
-        if held:
-            yield flushed()
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are near copies."""
-    left, right = sets.select(F.col("code").alias("a"), F.col("own").alias("x")), sets.select(F.col("code").alias("b"), F.col("own").alias("y"))
+            own = batch.column(0).to_numpy()
+            out = np.empty(len(own), np.int64)
+            edges = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)])) if len(own) else np.zeros(1, np.int64)
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                while x < y:
+                    if own[x] != band or seen == CHUNK_ROWS:
+                        chunk, seen, band = chunk + 1, 0, own[x]
+                    z = min(y, x + CHUNK_ROWS - seen)
+                    out[x:z] = first + chunk
+                    seen, x = seen + z - x, z
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "chunk"])
+
+    kinds = ", ".join(f"{c} long" for c in [*order, "n"])
+    return members.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*order, "n").mapInArrow(run, f"{kinds}, chunk long")
+
+
+def _search(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a band within RADIUS, of fitting sizes and different roots, by a Gray index for each pair of chunks."""
+    spark = members.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunked = cut(_chunks(members))
+    table = cut(chunked.groupBy("band", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high")))  # one row for CHUNK_ROWS rows, or a band
+    left, right = (table.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", "low", "high"))) for s in "ab")
+    whole = "low_a = high_a AND low_b = high_b AND low_a = low_b"
+    pairs = left.join(right, "band").where(f"chunk_a <= chunk_b AND NOT ({whole})").select(F.col("chunk_a"), F.col("chunk_b"))
+    sides = pairs.select(F.explode(F.expr("array_distinct(array(chunk_a, chunk_b))")).alias("chunk"), "chunk_a", "chunk_b")
+    dealt = sides.join(chunked, "chunk").repartition(tasks, "chunk_a", "chunk_b").sortWithinPartitions("chunk_a", "chunk_b", *(f"g{w}" for w in range(WORDS)), "code")
+
+    def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        pair_a, pair_b, chunk, n, code, root, *g = (np.concatenate(c) for c in zip(*parts, strict=True))
+        both = pair_a[0] != pair_b[0]
+        index = GrayIndex(gray_code(_unsigned(g)))
+        for a, b in index.near(RADIUS, lambda: root):
+            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            good = small * LEAST_JACCARD[1] >= large * LEAST_JACCARD[0]
+            if both:  # pairs within one chunk are searched once, with the chunk itself
+                good &= chunk[a] != chunk[b]
+            x, y = code[a[good]], code[b[good]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            yield batch.select([0, 1]).filter(pa.array([alike(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(x, y, strict=True)], pa.bool_()))
+        for _, parts in groups(batches, 2):
+            yield from found(parts)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return dealt.select("chunk_a", "chunk_b", "chunk", "n", "code", "root", *(f"g{w}" for w in range(WORDS))).mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, chosen: DataFrame, text: str) -> DataFrame:
-    """(code, own): the shingles of the chosen (content, code)."""
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs that are near copies, cut; texts: (code, t)."""
+    left, right = texts.select(F.col("code").alias("a"), F.col("t").alias("x")), texts.select(F.col("code").alias("b"), F.col("t").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [shingles(x) for x in raw_texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary())], ["code", "own"])
+            sides = [[shingles(z) for z in raw_texts(batch.column(c))] for c in (2, 3)]
+            yield batch.select([0, 1]).filter(pa.array([alike(x, y) for x, y in zip(*sides, strict=True)], pa.bool_()))
+
+    met = spread_join(pairs, left, "a").select("a", "b", "x")
+    return cut(spread_join(met, right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+
 
-    texts = docs.select(F.xxhash64(*docs.columns).alias("content"), F.col(text).alias("t"))
-    return texts.join(chosen, "content").select("code", "t").mapInArrow(run, "code long, own binary").dropDuplicates(["code"])
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of bands that have several components, with their root."""
+    roots = components(links).withColumnRenamed("node", "code").withColumnRenamed("root", "found")
+    rooted = cut(members.drop("root").join(roots, "code", "left").withColumn("root", F.coalesce("found", "code")).drop("found"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    return cut(rooted.join(several, "band", "left_semi"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, content, root of every row: rows whose texts are near copies share the root."""
     marked = cut(_marked(docs, key, text))
-    distinct = marked.groupBy("code").agg(F.min("content").alias("content"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    placed = distinct.select("code", "content", "n", F.explode("bands").alias("band"))
+    ranks = [f"g{w}" for w in range(WORDS)]
+    distinct = marked.groupBy("code").agg(F.min(F.struct("content", "n", *ranks, "bands")).alias("x")).select("code", "x.*")
+    placed = distinct.select("code", "content", "n", *ranks, F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    members = cut(placed.join(shared, "band").select("band", "n", "code", "content"))
-    sets = cut(_sets(docs, members.select("content", "code").distinct(), text))
-    first = cut(_links(_pairs(members.withColumn("root", F.col("code")), False), sets))
-    rooted = members.join(components(first).withColumnRenamed("node", "code"), "code", "left").select("band", "n", "code", F.coalesce("root", "code").alias("root"))
-    open_ = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    more = cut(_links(_pairs(rooted.join(open_, "band"), True), sets))
-    roots = components(first.unionByName(more))
-    return marked.join(roots, marked.code == roots.node, "left").select(key, "content", F.coalesce("root", "code").alias("root"))
+    members = cut(placed.join(shared, "band", "left_semi").withColumn("root", F.col("code")))
+    chosen = members.select("content", "code").distinct()
+    rows = docs.select(row_code(docs).alias("own"), F.col(f"`{text}`").alias("t"))
+    texts = cut(matched(rows, chosen, lambda a, b: a.own == b.content, "inner").select("code", "t").dropDuplicates(["code"]))
+    members = members.drop("content")
+    links, left = None, members
+    for turn in TURNS:
+        more = _links(cut(_neighbours(left, turn)), texts)
+        links = more if links is None else links.unionByName(more)
+        left = _open(members, links)
+    links = links.unionByName(_links(cut(_search(left)), texts))
+    roots = components(links)
+    return marked.join(roots, marked.code == roots.node, "left").select(F.col("k").alias(key), "content", F.coalesce("root", "code").alias("root"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows, with all their columns, such that one row of each component stays."""
-    return keep_first(docs, near_copies(docs, key, text), key)
+    return keep_first(docs, cut(near_copies(docs, key, text)), key)

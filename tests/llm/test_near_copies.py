@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from rallyplan.llm import near_copies as N
 
@@ -69,6 +71,26 @@ def test_groups_with_several_components_are_compared_in_full(spark, monkeypatch)
     assert sorted(map(sorted, roots.values())) == sorted(map(sorted, want.values()))
 
 
+def test_large_bands_are_searched_by_chunks(spark, monkeypatch):
+    monkeypatch.setattr(N, "band_codes", lambda own: [1, 2] if len(own) else [])
+    monkeypatch.setattr(N, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(N, "TURNS", (0,))
+    texts = planted(random.Random(10), 60)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = sorted(r.doc_id for r in N.keep_one(docs).collect())
+    assert got == sorted(set(brute_roots(texts)))
+
+
+def test_radius_holds_similar_sets():
+    pick = np.random.default_rng(2)
+    for common in (4, 8, 20, 60, 300):
+        for _ in range(300):
+            own = pick.integers(0, 1 << 63, common + common // 4, dtype=np.uint64)
+            cut = common + int(pick.integers(0, common // 4 + 1))
+            a, b = N.fingerprint(own[:cut]), N.fingerprint(np.concatenate([own[:common], own[cut:]]))
+            assert np.bitwise_count(a ^ b).sum() <= N.RADIUS
+
+
 def test_one_row_of_each_component(spark):
     text, other = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
     rows = [(1, text), (1, other), (2, other), (2, text), (None, text), (3, text), (3, text), (None, "alone"), (None, "alone")]

@@ -70,7 +70,11 @@ def test_index_finds_every_link():
 
 
 def test_gray_rank():
-    assert [int(np.flatnonzero(S.gray_rank(np.arange(8, dtype=np.uint64)) == i)[0]) for i in range(8)] == [0, 1, 3, 2, 6, 7, 5, 4]
+    assert S.gray_code(np.arange(8, dtype=np.uint64)[:, None])[:, 0].tolist() == [0, 1, 3, 2, 6, 7, 5, 4]
+    codes = np.random.default_rng(1).integers(0, 1 << 63, (500, 2), dtype=np.uint64) << np.uint64(1)
+    assert (S.gray_code(S.gray_rank(codes)) == codes).all()
+    numbers = [(int(a) << 64) + int(b) for a, b in S.gray_rank(codes)]
+    assert all(n ^ n >> 1 == (int(a) << 64) + int(b) for n, (a, b) in zip(numbers, codes, strict=True))
 
 
 def test_components_of_a_chain(spark):
@@ -105,10 +109,58 @@ def test_whole_operator_by_brute_force(spark):
     kept = S.keep_one(docs)
     assert kept.columns == docs.columns
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
-    assert ids == sorted({of[f] for _, f in marks if of[f] is not None} | {None}, key=str)
+    assert ids == sorted((of[f] for f in {of[f]: f for _, f in marks}.values()), key=str)
     assert S.keep_one(docs.limit(0)).count() == 0
 
 
+def test_every_component_keeps_one_row_whatever_ids_it_shares(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c + " " + b), (None, d), (None, d), (8, d), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in S.keep_one(docs).collect()]
+    assert sorted(x for x in got if x[0] != 9) == sorted([(1, a), (5, b), (7, c), (7, c + " " + b), (8, d)])
+    assert len([x for x in got if x[0] == 9]) == 1
+
+
+def test_ranges_and_full_ranges(spark, monkeypatch):
+    """All links are found by the indexes of ranges of Gray rank, also where ranges are dealt further."""
+    pick = np.random.default_rng(5)
+    codes = np.unique(np.concatenate([pick.integers(0, 1 << 63, 3000, dtype=np.uint64), np.uint64(1 << 62) ^ (np.uint64(1) << pick.integers(0, 30, 2000, dtype=np.uint64)) ^ (np.uint64(1) << pick.integers(0, 64, 2000, dtype=np.uint64))]))
+    codes = np.unique(np.concatenate([codes, codes[::3] ^ (np.uint64(1) << pick.integers(0, 64, len(codes[::3]), dtype=np.uint64))]))
+    marks = [(i, int(c)) for i, c in enumerate(codes)]
+    of = brute_components(marks)
+    frame = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    for group, most in ((4096, 1 << 18), (64, 1 << 18), (64, 200), (16, 20)):
+        monkeypatch.setattr(S, "GROUP", group)
+        monkeypatch.setattr(S, "MOST", most)
+        placed = S.in_ranges(frame, len(codes))
+        sizes = [r["count"] for r in placed.groupBy("t", "k").count().collect()]
+        assert max(sizes) > S.FANOUT and (group > 64 or len(sizes) > 100)
+        edges = S.links(frame)
+        pairs = [(r.a % (1 << 64), r.b % (1 << 64)) for r in edges.collect()]
+        assert all((a ^ b).bit_count() <= 2 for a, b in pairs)
+        at = {int(c): i for i, c in enumerate(codes)}
+        forest = S.Forest(len(codes))
+        for a, b in pairs:
+            forest.link(at[a], at[b])
+        roots = forest.roots().tolist()
+        assert [of[int(codes[r])] for r in roots] == [of[int(c)] for c in codes]
+        assert len(set(roots)) == len(set(of.values()))
+
+
+def test_pairs_go_down_only_where_they_may_be_near():
+    """The index looks at a small part of all pairs, and the links come out of it."""
+    pick = np.random.default_rng(6)
+    codes = np.unique(pick.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    codes = np.unique(np.concatenate([codes, codes[:500] ^ np.uint64(1 << 40)]))
+    seen = 0
+    roots = np.arange(len(codes))
+    rank = S.gray_rank(codes[:, None])
+    index = S.GrayIndex(codes[np.argsort(rank[:, 0]), None])
+    for a, b in index.near(2, lambda: roots):
+        seen += len(a)
+    assert 500 <= seen < 600
+
 def test_sample_documents(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
