@@ -47,13 +47,16 @@ HEAVY, LEAST_HEAVY = 1000, 10_000
 FEW = 1_000_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int | None = None) -> DataFrame:
     """Inner join on a key that has one row in right; the rows of a heavy key of left don't meet in one task.
 
     Heavy keys are fewer than HEAVY, so their rows of right are broadcast; the others meet by a shuffle.
-    Rows with a null key have no match.
+    Rows with a null key have no match. rows: how many left has at most, if that is known.
     """
-    least = max(LEAST_HEAVY, left.count() // HEAVY)
+    rows = left.count() if rows is None else rows
+    least = max(LEAST_HEAVY, rows // HEAVY)
+    if rows <= least:
+        return left.join(right, key)
     heavy = [r[0] for r in left.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > least) & F.col(key).isNotNull()).select(key).collect()]
     if not heavy:
         return left.join(right, key)

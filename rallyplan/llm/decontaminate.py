@@ -2,15 +2,17 @@
 
 Index: the words of every test item with their BM25 impacts, each divided by the
 item's score for its own words, so that a passage's score is the share of the
-item's BM25 mass that the passage holds. Postings are sorted by item and cut into
-blocks with their largest impact.
+item's BM25 mass that the passage holds. Document frequencies, the number of items
+and their mean and largest length are counted once over all items. Postings are
+sorted by item and cut into blocks with their largest impact.
 
 Query: every text is cut into passages of twice the longest item's words (64 at
-least), each half over the next, so that every item fits into one. A passage is
-dropped at once if it can't reach the threshold for any item: words of many items
-are left aside, and the others' impacts don't reach the threshold less the
-item's mass in the words left aside (a MaxScore bound for each item). The rest
-go through block-max WAND; all items from ``LEAST_SCORE`` on are retrieved.
+least), each half over the next, so that every item fits into one. Block-max WAND
+over a passage's distinct words retrieves all items from ``LEAST_SCORE`` on. It is
+spared for passages that can't reach that for any item (the MaxScore split: words
+of many items are set aside as long as no item has more than ``IDLE`` of its mass
+in them; the distinct other words have to bring an item the rest). This looks at
+``EXPANDED`` postings at once, however long the text is.
 
 Check: every retrieved item is looked for in windows of its own width, twice its
 words (``LEAST_PASSAGE`` at least), however wide the passage is; one starts at each
@@ -20,10 +22,12 @@ hold ``LEAST_SCORE`` of the item's mass, and both parts in order (longest common
 subsequence) to ``LEAST_QUESTION`` and ``LEAST_ANSWER`` of their words.
 
 Items are held by blocks of at most ``BLOCK_BYTES`` of text, with a pass over the
-documents for each, so that what a task holds is bounded.
+documents for each, so that what a task holds is bounded; the results don't depend
+on the number of blocks.
 
 Defined results: null and empty texts match nothing, null and empty items aren't
-items; equal items each match; a null doc_id is carried along; repeated rows give
+items; equal items each match; ids may be of any type, null ones are carried along;
+a text of any length takes memory in proportion to its words; repeated rows give
 repeated rows; empty tables give empty results; other columns are ignored.
 """
 
@@ -33,14 +37,16 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from rallyplan.llm.common import folded_words, raw_texts, slices
+from rallyplan.llm.common import cut, folded_words, raw_texts, slices
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 mass from which on it is retrieved.
@@ -52,6 +58,24 @@ POSTINGS = 64
 RARE, IDLE = 4, 0.35
 LEAST_PASSAGE = 64
 BLOCK_BYTES = 32 << 20
+#: Postings that are looked at in one step.
+EXPANDED = 1 << 20
+
+
+@dataclass(frozen=True)
+class Statistics:
+    """Over all items: how many, their mean and largest number of words, and in how many each word stands."""
+
+    items: int
+    mean: float
+    largest: int
+    held: dict[bytes, int]
+
+
+def statistics(items: list[tuple[object, str]]) -> Statistics:
+    """Of a list of items."""
+    own = [w for w in (folded_words(t.encode()) for _, t in items if t) if w]
+    return Statistics(len(own), sum(map(len, own)) / max(1, len(own)), max(map(len, own), default=0), Counter(w for words in own for w in set(words)))
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -85,17 +109,17 @@ def in_order(part: list[bytes], passage: list[bytes]) -> float:
 class Index:
     """BM25 impacts of the items' words, relative to each item's own score."""
 
-    def __init__(self, items: list[tuple[object, str]]):
+    def __init__(self, items: list[tuple[object, str]], of_all: Statistics | None = None):
+        of_all = of_all or statistics(items)
         own = [(i, t, Counter(folded_words(t.encode()))) for i, t in items if t]
         own = [x for x in own if x[2]]
         self.ids = [i for i, _, _ in own]
         self.parts = [question_and_answer(t) for _, t, _ in own]
         lengths = [sum(c.values()) for _, _, c in own]
-        self.half = max([LEAST_PASSAGE // 2, *lengths])
+        self.half = max(LEAST_PASSAGE // 2, of_all.largest)
         self.widths = [max(LEAST_PASSAGE, 2 * x) for x in lengths]
-        held = Counter(w for _, _, c in own for w in c)
-        n, mean = len(own), sum(lengths) / max(1, len(own))
-        impacts: dict[bytes, list[tuple[int, float]]] = {w: [] for w in sorted(held)}
+        held, n, mean = of_all.held, of_all.items, of_all.mean
+        impacts: dict[bytes, list[tuple[int, float]]] = {w: [] for w in sorted({w for _, _, c in own for w in c})}
         for d, (_, _, c) in enumerate(own):
             mass = {w: math.log(1 + (n - held[w] + 0.5) / (held[w] + 0.5)) * k * (K1 + 1) / (k + K1 * (1 - B + B * lengths[d] / mean)) for w, k in c.items()}
             total = sum(mass.values())
@@ -108,7 +132,7 @@ class Index:
         self.most = np.array([p.max(initial=0) for p in self.impact])
         self.block_most = [np.array([x[i : i + POSTINGS].max() for i in range(0, len(x), POSTINGS)]) for x in self.impact]
         # words left aside: in many items, as long as no item has more than IDLE in them
-        self.idle = np.zeros(n)
+        self.idle = np.zeros(len(own))
         aside = np.zeros(len(self.docs), bool)
         for t in sorted(range(1, len(self.docs)), key=lambda t: (-len(self.docs[t]), t)):
             after = self.idle[self.docs[t]] + self.impact[t]
@@ -123,24 +147,42 @@ class Index:
         self.rare_impact = np.concatenate([np.zeros(0), *(self.impact[t] for t in kept)])
 
     def passages(self, numbers: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(first, end) of the passages that may reach the threshold for some item: the words that aren't left aside give it enough."""
+        """(first, end) of the passages that may reach the threshold for some item: the words that aren't set aside give it enough."""
+        half, width = self.half, len(self.docs)
+        halves, n = -(-len(numbers) // half), len(self.ids)
+        # the distinct words of each half, those set aside left out
         places = np.flatnonzero(self.count[numbers])
         if not len(places):
             return
-        terms, half = numbers[places], self.half
+        pairs = np.unique(places // half * width + numbers[places])
+        place, terms = pairs // width, pairs % width
         count = self.count[terms]
-        at = np.repeat(self.start[terms] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        items, mass = self.rare_docs[at], self.rare_impact[at]
-        able = np.bincount(items, mass, len(self.ids)) >= self.needed
-        if not able.any():
-            return
-        halves = -(-len(numbers) // half)
-        rows = np.cumsum(able) - 1
-        kept = able[items]
-        place = np.repeat(places // half, count)[kept]
-        sums = np.bincount(rows[items[kept]] * halves + place, mass[kept], able.sum() * halves).reshape(-1, halves)
-        sums[:, :-1] += sums[:, 1:].copy()
-        for i in np.flatnonzero((sums >= self.needed[able][:, None]).any(axis=0)).tolist():
+        ends = np.cumsum(count)
+        able = np.zeros(halves + 1, bool)
+        low = 0
+        while low < halves:
+            # as many halves as EXPANDED postings allow, two at least: a passage is two halves
+            first = np.searchsorted(place, low)
+            fits = np.searchsorted(ends, (ends[first - 1] if first else 0) + EXPANDED, side="right")
+            high = max(low + 2, int(place[fits]) if fits < len(place) else halves)
+            last = np.searchsorted(place, high)
+            if last > first:
+                of = count[first:last]
+                at = np.repeat(self.start[terms[first:last]] - (np.cumsum(of) - of), of) + np.arange(of.sum())
+                keys, where = np.unique(np.repeat(place[first:last], of) * n + self.rare_docs[at], return_inverse=True)
+                sums = np.bincount(where, self.rare_impact[at])
+                # with what the next half holds of the same item
+                after = np.searchsorted(keys, keys + n)
+                inside = np.minimum(after, len(keys) - 1)
+                both = sums + np.where(keys[inside] == keys + n, sums[inside], 0.0)
+                enough = keys[both >= self.needed[keys % n]]
+                able[enough // n] = True
+                alone = keys[sums >= self.needed[keys % n]]  # the second half of a passage alone
+                able[np.maximum(alone // n - 1, 0)] = True
+            if high >= halves:
+                break
+            low = high - 1
+        for i in np.flatnonzero(able[:halves]).tolist():
             if i and i == halves - 1:
                 continue  # the last half is all in the passage before it
             yield i * half, min(len(numbers), (i + 2) * half)
@@ -242,34 +284,51 @@ class Index:
 _built: dict[int, Index] = {}
 
 
-def index_of(block: list[tuple]) -> Index:
+def index_of(block: list[tuple], of_all: Statistics) -> Index:
     """The index of a block of items; a worker process builds it once."""
-    key = hash(tuple(block))
+    key = hash((tuple(t for _, t in block), of_all.items, of_all.mean, of_all.largest, frozenset(of_all.held.items())))
     if key not in _built:
         _built.clear()
-        _built[key] = Index(block)
+        _built[key] = Index([(i, t) for i, (_, t) in enumerate(block)], of_all)
     return _built[key]
 
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
-    """The items by blocks of bounded size; a row is (id, text)."""
-    some = items.select(F.col(key).alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    size = some.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0
-    blocks = -(-size // BLOCK_BYTES)
+def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list[tuple], Statistics]]:
+    """The items by blocks of bounded size, rows (id, text), each with the statistics over all items of its words."""
+    some = items.select(F.col(f"`{key}`").alias("i"), F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull())
+    blocks = -(-(some.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0) // BLOCK_BYTES)
+    if not blocks:
+        return
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = [folded_words(x) for x in raw_texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.binary()))], ["b", "n", "words"])
+
+    some = some.withColumn("b", F.pmod(F.xxhash64("t"), F.lit(blocks)))
+    told = cut(some.select("b", "t").mapInArrow(run, "b long, n long, words array<binary>").where("n > 0"))
+    total = told.agg(F.count("*").alias("items"), F.avg("n").alias("mean"), F.max("n").alias("largest")).first()
+    if not total["items"]:
+        return
+    words = told.select("b", F.explode("words").alias("w"))
+    held = cut(words.groupBy("w").agg(F.count("*").alias("n")))
     for b in range(blocks):
-        yield sorted(((r.i, r.t) for r in some.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        own = held.join(words.where(F.col("b") == b).select("w").distinct(), "w")
+        of_all = Statistics(total["items"], float(total["mean"]), total["largest"], {bytes(r.w): r.n for r in own.collect()})  # the words of a block
+        yield sorted(((r.i, r.t) for r in some.where(F.col("b") == b).collect()), key=lambda x: (x[1], x[0] is None, str(x[0]))), of_all
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap, passage_word): a row for each document and item that it holds."""
-    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double, passage_word long"
+    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType
+    arrow_kind = to_arrow_type(item_kind)
+    schema = f"`{key}` {kind}, item_id {item_kind.simpleString()}, score double, question_overlap double, answer_overlap double, passage_word long"
     spark = docs.sparkSession
     found = [spark.createDataFrame([], schema)]
-    for block in item_blocks(items, item_key, item_text):
+    for block, of_all in item_blocks(items, item_key, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = index_of(block)
+        def run(batches: Iterator[pa.RecordBatch], block=block, of_all=of_all) -> Iterator[pa.RecordBatch]:
+            index, ids = index_of(block, of_all), pa.array([i for i, _ in block], arrow_kind)
             for batch in slices(batches):
                 rows, out = [], []
                 for i, raw in enumerate(raw_texts(batch.column(1))):
@@ -278,7 +337,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                         out.append(x)
                 if rows:
                     item, *rest = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(item, pa.int64() if item_kind != "string" else pa.string()), *map(pa.array, rest)], [key, "item_id", "score", "question_overlap", "answer_overlap", "passage_word"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.take(pa.array(item)), *map(pa.array, rest)], [key, "item_id", "score", "question_overlap", "answer_overlap", "passage_word"])
 
         found.append(docs.select(key, text).mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, found[1:] or found)
@@ -287,10 +346,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows, with all their columns, that hold no item."""
     at = docs.columns.index(text)
-    for block in item_blocks(items, item_key, item_text):
+    for block, of_all in item_blocks(items, item_key, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = index_of(block)
+        def run(batches: Iterator[pa.RecordBatch], block=block, of_all=of_all) -> Iterator[pa.RecordBatch]:
+            index = index_of(block, of_all)
             for batch in slices(batches):
                 yield batch.filter(pa.array([not index.matches(x) for x in raw_texts(batch.column(at))], pa.bool_()))
 

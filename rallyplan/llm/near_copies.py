@@ -52,7 +52,7 @@ SEED = 42
 #: SimHash of so many 64-bit words; pairs within so many bits are compared.
 WORDS, RADIUS = 2, 44
 #: Bits that the words are turned by for each round of neighbours.
-TURNS = (0, 21, 43)
+TURNS = (0, 32)
 #: Sets of a band that one chunk holds.
 CHUNK_ROWS = 1 << 15
 #: Shingles that are hashed at once, and pairs that are emitted at once.
@@ -250,14 +250,15 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             sides = [[shingles(z) for z in raw_texts(batch.column(c))] for c in (2, 3)]
             yield batch.select([0, 1]).filter(pa.array([alike(x, y) for x, y in zip(*sides, strict=True)], pa.bool_()))
 
-    met = spread_join(pairs, left, "a").select("a", "b", "x")
-    return cut(spread_join(met, right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    n = pairs.count()
+    met = spread_join(pairs, left, "a", n).select("a", "b", "x")
+    return cut(spread_join(met, right, "b", n).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
 
 
-def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of bands that have several components, with their root."""
-    roots = components(links).withColumnRenamed("node", "code").withColumnRenamed("root", "found")
-    rooted = cut(members.drop("root").join(roots, "code", "left").withColumn("root", F.coalesce("found", "code")).drop("found"))
+    found = roots.select(F.col("node").alias("code"), F.col("root").alias("found"))
+    rooted = cut(members.drop("root").join(found, "code", "left").withColumn("root", F.coalesce("found", "code")).drop("found"))
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     return cut(rooted.join(several, "band", "left_semi"))
 
@@ -266,7 +267,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """key, content, root of every row: rows whose texts are near copies share the root."""
     marked = cut(_marked(docs, key, text))
     ranks = [f"g{w}" for w in range(WORDS)]
-    distinct = marked.groupBy("code").agg(F.min(F.struct("content", "n", *ranks, "bands")).alias("x")).select("code", "x.*")
+    distinct = marked.groupBy("code", "n", *ranks, "bands").agg(F.min("content").alias("content"))
     placed = distinct.select("code", "content", "n", *ranks, F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     members = cut(placed.join(shared, "band", "left_semi").withColumn("root", F.col("code")))
@@ -274,13 +275,17 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(row_code(docs).alias("own"), F.col(f"`{text}`").alias("t"))
     texts = cut(matched(rows, chosen, lambda a, b: a.own == b.content, "inner").select("code", "t").dropDuplicates(["code"]))
     members = members.drop("content")
-    links, left = None, members
-    for turn in TURNS:
-        more = _links(cut(_neighbours(left, turn)), texts)
-        links = more if links is None else links.unionByName(more)
-        left = _open(members, links)
-    links = links.unionByName(_links(cut(_search(left)), texts))
-    roots = components(links)
+    roots, left = None, members
+    for step in [*TURNS, None]:
+        pairs = cut(_search(left) if step is None else _neighbours(left, step))
+        links = _links(pairs, texts)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
+        if step is not None:
+            left = _open(left, roots)
+            if left.isEmpty():
+                break
     return marked.join(roots, marked.code == roots.node, "left").select(F.col("k").alias(key), "content", F.coalesce("root", "code").alias("root"))
 
 

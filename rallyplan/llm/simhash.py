@@ -44,6 +44,8 @@ from rallyplan.llm.common import cut, groups, matched, per_text, raw_texts, slic
 MAX_BITS = 2
 #: Distinct fingerprints that a range of Gray rank is to hold, and from how many on it is dealt further.
 GROUP, MOST = 1 << 12, 1 << 18
+#: Edges that a task joins at once.
+EDGES = 1 << 20
 #: 64 bits in so many blocks where a range is dealt further.
 BLOCKS = 6
 #: Words of a shingle.
@@ -267,30 +269,61 @@ def links(distinct: DataFrame) -> DataFrame:
     return links_within(placed.join(full, ["t", "k"], "left_anti")).unionByName(links_within(fine))
 
 
+def forests(edges: DataFrame) -> DataFrame:
+    """(u, v): each node with the smallest one that EDGES edges of its task tie it to; the components stay the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def stars() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            forest = Forest(len(nodes))
+            for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+                forest.link(i, j)
+            root = nodes[forest.roots()]
+            return pa.RecordBatch.from_arrays([pa.array(nodes[nodes != root]), pa.array(root[nodes != root])], ["u", "v"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(a) for a, _ in held) >= EDGES:
+                yield stars()
+        if held:
+            yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root): root is the smallest node that is reachable; only nodes that have a link.
 
-    Alternating stars: large-star hangs each node's larger neighbours on its
-    smallest one, small-star its smaller neighbours; the depth of the trees falls
-    by half in a round. Every round is cut into the checkpoint folder. A hub's
-    edges don't meet in one task (``spread_join``).
+    Every task first joins what its own edges tie together. Then alternating stars:
+    large-star hangs each node's larger neighbours on its smallest one, small-star
+    its smaller neighbours; the depth of the trees falls by half in a round. Every
+    round is cut into the checkpoint folder. A hub's edges don't meet in one task
+    (``spread_join``).
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
+
+    def state(of: DataFrame) -> tuple:
+        return tuple(of.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
+
+    now = cut(forests(edges.where("a <> b").distinct()).distinct())
+    last = state(now)
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = spread_join(both.where("v > u"), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
+        large = spread_join(both.where("v > u"), low, "u", last[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = spread_join(large, low, "u", last[0])
+        small = small.select(F.col("m").alias("v"), F.col("v").alias("u")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         now = cut(small)
-        state = tuple(now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first())
-        if state == last or not state[0]:
+        found = state(now)
+        if found == last:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-        last = state
+        last = found
     raise RuntimeError(f"components don't settle in {rounds} rounds")
 
 
@@ -298,9 +331,11 @@ def fingerprint_components(marked: DataFrame, key: str = "doc_id") -> DataFrame:
     """fp, root, component_id (smallest key of the component) for a cut table (key, fp)."""
     distinct = cut(marked.groupBy("fp").agg(F.min(key).alias("least")))
     roots = components(links(distinct))
-    rooted = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return spread_join(rooted, named, "root").select("fp", "root", "component_id")
+    linked = cut(distinct.join(roots, distinct.fp == roots.node).select("fp", "least", "root"))
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = cut(spread_join(linked, named, "root").select("fp", "root", "component_id"))
+    # those without a link are components of their own
+    return distinct.join(told, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -137,3 +137,27 @@ def test_matches_are_those_of_every_window():
         assert got - {99} == by_every_window(index, text.encode()) - {99}
         met += len(got)
     assert met
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(10,0)"])
+def test_results_dont_depend_on_the_number_of_blocks(spark, monkeypatch, kind):
+    bench, texts = items_and_texts(11)
+    items = spark.createDataFrame([*bench, (None, bench[3][1]), (500, bench[3][1])], "item_id long, text string").selectExpr(f"CAST(item_id AS {kind}) AS item_id", "text")
+    if kind == "string":
+        items = items.unionByName(spark.createDataFrame([("", bench[4][1]), (None, bench[5][1])], "item_id string, text string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    size = sum(len(r.text) for r in items.collect())
+    results = []
+    for blocks in (1, 2, 50):
+        monkeypatch.setattr(D, "BLOCK_BYTES", -(-size // blocks))
+        results.append(sorted((tuple(r) for r in D.contaminated(docs, items).collect()), key=str))
+    assert len(results[0]) > 30 and results[0] == results[1] == results[2]
+
+
+def test_few_postings_at_once_find_the_same(monkeypatch):
+    bench, texts = items_and_texts(5)
+    index = D.Index(bench)
+    numbers = [np.array([index.number.get(w, 0) for w in D.folded_words(t.encode())], np.int64) for t in texts]
+    many = [list(index.passages(x)) for x in numbers]
+    monkeypatch.setattr(D, "EXPANDED", 5)
+    assert [list(index.passages(x)) for x in numbers] == many and sum(map(len, many)) > 20
