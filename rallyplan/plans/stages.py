@@ -6,45 +6,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rallyplan.functions import geometry as G
-from rallyplan.operators import gaps, identity, sequence, timejoin
+from rallyplan.operators import gaps, hitcues, identity, sequence, timejoin
 from rallyplan.operators.robust import half_even, least_support
 from rallyplan.plans.rally_queries import kind_evidence
-from rallyplan.schema import HITS, LIMITS, STROKES
+from rallyplan.schema import LIMITS, STROKES
 from rallyplan.sources.tracking import points, rallies
 
 
 def detect_hits(onsets: DataFrame, ball: DataFrame, motion: DataFrame, sides: DataFrame) -> DataFrame:
-    """(video_id and the columns of HITS). All inputs have video_id; ``sides``: track, side. A group is a video.
-
-    The four cues travel in one table of (kind, t, number, value, list) rows, so that
-    one shuffle by video brings them together.
-    """
-    none, no_list = F.lit(None).cast("double"), F.lit(None).cast("array<double>")
-    row = lambda kind, t, n, v, xs: (F.lit(kind).alias("kind"), t.cast("double").alias("t"), n.cast("long").alias("n"), v.cast("double").alias("v"), xs.alias("cells"))
-    doubles = lambda *c: F.concat(*[F.transform(x, lambda y: y.cast("double")) for x in c])
-    own = motion.join(sides, ["video_id", "track"])
-    cues = onsets.select("video_id", *row("onset", F.col("t"), F.lit(0), F.col("peak_db"), no_list))
-    cues = cues.unionByName(ball.select("video_id", *row("ball", F.col("t"), F.lit(0), none, F.array(F.col("x").cast("double"), F.col("y").cast("double")))))
-    cues = cues.unionByName(own.select("video_id", *row("pose", F.col("t"), F.col("track"), F.col("height"), doubles(F.col("kp_x"), F.col("kp_y"), F.col("kp_c"), F.array("side")))))
-
-    def f(rows: pd.DataFrame) -> pd.DataFrame:
-        from rallyplan.functions.hits import Mover, Sight, detect
-
-        of = {k: r for k, r in rows.groupby("kind")}
-        empty = rows.iloc[:0]
-        onset, seen, poses = (of.get(k, empty) for k in ("onset", "ball", "pose"))
-        movers = []
-        for track, r in poses.groupby("n"):
-            xs = np.array(r.cells.tolist(), float)
-            movers.append(Mover(int(track), r.t.to_numpy(), np.stack([xs[:, :17], xs[:, 17:34], xs[:, 34:51]], axis=2), r.v.to_numpy(float), xs[:, 51].astype(int)))
-        sight = Sight(seen.t.to_numpy(), np.array(seen.cells.tolist(), float).reshape(-1, 2), len(seen) > 0)
-        found = detect(onset.t.to_numpy(), onset.v.to_numpy(float), sight, movers)
-        return pd.DataFrame([{"video_id": rows.video_id.iloc[0], **h} for h in found], columns=["video_id", *HITS.names])
-
-    return sequence.per_group(cues, ["video_id"], ["t", "n"], f, T.StructType([T.StructField("video_id", T.LongType()), *HITS.fields]))
+    """(video_id and the columns of HITS). All inputs have video_id; ``sides``: track, side."""
+    return hitcues.detect(onsets, ball, motion, sides)
 
 
 def session_identities(people: DataFrame, hits: DataFrame, videos: DataFrame) -> DataFrame:
