@@ -42,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 #: A key is heavy with more than 1 / HEAVY of the rows, and at least LEAST_HEAVY: there are fewer than HEAVY of them.
-HEAVY, LEAST_HEAVY = 1000, 10_000
+HEAVY, LEAST_HEAVY = 1000, 1000
 #: Rows of (hash, key) that are broadcast at most; more go by a shuffle.
 FEW = 1_000_000
 
