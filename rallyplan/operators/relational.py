@@ -19,23 +19,32 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def chase(df: DataFrame, key: str, pointer: str, rounds: int = 6) -> DataFrame:
-    """(key, root): the end of each chain of pointers, by doubling: 2 ** rounds steps at most, which also ends cycles.
+def chase(df: DataFrame, key: str, pointer: str) -> DataFrame:
+    """(id, root): where each chain of pointers ends, by doubling, however long it is.
 
-    Each round is cut into the checkpoint folder, so that plans don't double as well;
-    only keys that point on take part.
+    A chain that runs into a loop ends where it enters it (a key of a loop at
+    itself); one that leads out of the table ends where it began. Each round is cut
+    into the checkpoint folder, so that plans don't double as well; only keys that
+    point on take part.
     """
     hop = df.select(F.col(key).alias("id"), F.coalesce(pointer, key).alias("root"))
-    done = hop.where("id = root")
-    open_ = checkpointed(hop.where("id <> root"))
-    for _ in range(rounds):
-        onward = open_.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        new = checkpointed(open_.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
-        moved = new.join(open_, ["id", "root"], "left_anti").head(1)
-        open_ = new
-        if not moved:
-            break
-    return done.unionByName(open_)
+    while True:
+        done, first = hop.where("id = root"), checkpointed(hop.where("id <> root"))
+        last, steps, most = first, 1, first.count()
+        while True:
+            # those that aren't at an end: their root points on
+            on = last.select(F.col("root").alias("id")).distinct().join(first.select("id"), "id", "left_semi")
+            if steps > most or on.isEmpty():
+                break
+            onward = last.select(F.col("id").alias("root"), F.col("root").alias("next"))
+            last, steps = checkpointed(last.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root"))), 2 * steps
+        if on.isEmpty():
+            found = done.unionByName(last)
+            known = df.select(F.col(key).alias("root"), F.lit(True).alias("known"))
+            return found.join(known, "root", "left").select("id", F.when(F.col("known"), F.col("root")).otherwise(F.col("id")).alias("root"))
+        # after so many steps only keys of loops are still pointed at: they become ends
+        loops = on.withColumn("loop", F.lit(True))
+        hop = checkpointed(hop.join(loops, "id", "left").select("id", F.when(F.col("loop"), F.col("id")).otherwise(F.col("root")).alias("root")))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -51,12 +51,6 @@ def build_shots(hits: DataFrame, people: DataFrame, labels: DataFrame, players:
     who = labels.select("video_id", F.col("track_id").alias("track"), "label")
     s = hits.join(near, "hit_id", "left").join(v, "video_id").join(who, ["video_id", "track"], "left").join(players.select("session_id", "label", "player_id"), ["session_id", "label"], "left")
     s = s.withColumn("t", F.col("t") + F.col("offset_s")).withColumnRenamed("hit_id", "shot_id")
-    for c in ("bounce_x", "bounce_y", "speed_kmh", "net_clearance_m"):
-        s = s.withColumn(c, F.lit(None).cast("double"))
-    s = s.withColumn("crosses_net", F.lit(None).cast("boolean"))
-    if flights is not None:
-        measured = [c for c in ("bounce_x", "bounce_y", "speed_kmh", "net_clearance_m", "crosses_net") if c in flights.columns]
-        s = s.drop(*measured).join(flights.select(F.col("hit_id").alias("shot_id"), *measured), "shot_id", "left")
     w = gaps.ordered(["session_id"], ["t", "shot_id"])
     gap = F.col("t") - F.lag("t").over(w)
     first = gap.isNull() | ~gaps.continues_rally(gap, F.col("side"), F.lag("side").over(w))
@@ -67,6 +61,17 @@ def build_shots(hits: DataFrame, people: DataFrame, labels: DataFrame, players:
     s = s.withColumn("serve_by", F.when(smash, None).when(F.col("stroke") == "serve", "swing").when(placed, "position"))
     s = s.withColumn("stroke", F.when(F.col("serve_by").isNotNull(), "serve").when(smash, "overhead").otherwise(F.col("stroke"))).drop("gap", "first")
     s = gaps.sessionize(s, ["session_id"], "t", "shot_id", "side", F.col("stroke") == "serve")
+    return with_flights(s, flights)
+
+
+def with_flights(shots: DataFrame, flights: DataFrame | None) -> DataFrame:
+    """The shots with what their flights (hit_id, ...) measured, and where they landed."""
+    kinds = {c: "double" for c in ("bounce_x", "bounce_y", "speed_kmh", "net_clearance_m")} | {"crosses_net": "boolean"}
+    measured = [c for c in flights.columns if c != "hit_id"] if flights is not None else []
+    s = shots.drop("in_court", "depth", "direction", *kinds, *measured)
+    if flights is not None:
+        s = s.join(flights.withColumnRenamed("hit_id", "shot_id"), "shot_id", "left")
+    s = s.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in measured})
     landed = G.in_court(F.col("stroke"), F.col("bounce_x"), F.col("bounce_y"), -F.col("side"))
     return s.withColumns({"in_court": landed, "depth": G.depth(F.col("bounce_y")), "direction": G.direction(F.col("bounce_x"), F.col("hit_x"))})
 

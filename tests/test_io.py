@@ -89,9 +89,10 @@ def test_manifest(spark):
 
 
 def test_pointer_chains_end(spark):
-    df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (5, 6), (6, 5)], "id long, into long")
-    got = {r.id: r.root for r in relational.chase(df, "id", "into").collect()}
-    assert {k: got[k] for k in (1, 2, 3, 4)} == {1: 1, 2: 1, 3: 1, 4: 1} and got[5] in (5, 6)
+    """Long chains, a loop with a tail, a pointer to itself, one out of the table."""
+    rows = [(1, None), (5, 6), (6, 5), (7, 6), (8, 7), (9, 9), (10, 999), (11, 10), *((i, i - 1) for i in range(101, 400)), (100, None)]
+    got = {r.id: r.root for r in relational.chase(spark.createDataFrame(rows, "id long, into long"), "id", "into").collect()}
+    assert got == {1: 1, 5: 5, 6: 6, 7: 6, 8: 6, 9: 9, 10: 10, 11: 11} | dict.fromkeys(range(100, 400), 100)
 
 
 HITS = [(1, i, t, s, k) for i, (t, s, k) in enumerate([(0.0, -1, "serve"), (1.0, 1, "forehand"), (5.5, 1, "forehand"), (10.0, -1, "backhand"), (13.0, 1, "forehand"), (14.0, -1, "serve"), (40.0, 1, "forehand")])]
