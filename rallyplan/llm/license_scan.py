@@ -1,14 +1,19 @@
 """Licence scan by a positional rare-token index (operator 1).
 
-The templates below are short licence notices, each with the key phrases that
-must be there. The index keeps, for every word of a template, its positions. A
-first pass counts in how many documents each template word occurs (all
-documents; the table it makes is as long as the templates' vocabulary). The
-scan then takes the words of one text: positions of template words only, the
-rarest of them (by that count) looked up first; every hit votes for a template
-at a relative position (position in the text minus position in the template).
-A template is found at an offset where enough of its words, weighted by IDF,
-fall together, and where its key phrases stand at that place word for word.
+``license_texts`` has licence notices and texts, each with the key phrases that
+must stand in it. A first pass counts in how many documents each template word
+occurs (all documents; the table it makes is as long as the templates'
+vocabulary). The index has the postings (template, position) of each template's
+words of highest IDF: as many as leave no more than ``BESIDE`` of its weight to the
+others, so every place that holds ``LEAST_SHARE`` of a template holds indexed words
+worth LEAST_SHARE - BESIDE, and none is missed.
+
+A file's licence words of highest IDF, those in the index, fetch their postings;
+every posting votes with its weight for a relative position (place in the text less
+place in the template). Positions are intersected within ``DRIFT`` words, so that a
+few words put in or left out don't part a text from its template. Where the votes
+can still reach LEAST_SHARE, all of the template's words are compared at that
+position, and the key phrases have to stand there word for word.
 
 Base phrases are found apart from that, at every place.
 
@@ -23,75 +28,91 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyplan.llm.common import folded_words, per_text, raw_texts, slices
+from rallyplan.llm.license_texts import NOTICES, TEXTS
 
 #: Phrase -> label; found wherever the words stand consecutively. Fixed values.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: (label, notice, key phrases that must stand in it).
-TEMPLATES = [
-    ("apache-2.0", "licensed under the apache license version 2 0", ["apache license"]),
-    ("apache-2.0", "you may not use this file except in compliance with the license", ["not use this file except in compliance"]),
-    ("mit", "released under the mit license", ["mit license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted", "free of charge"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["source and binary forms"]),
-    ("bsd", "licensed under the bsd license", ["bsd license"]),
-    ("gpl", "this work is licensed under the gnu general public license version 3", ["general public license"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ["general public license"]),
-    ("lgpl", "licensed under the gnu lesser general public license", ["lesser general public license"]),
-    ("agpl", "licensed under the gnu affero general public license", ["affero general public license"]),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
-    ("cc-by", "licensed under cc by 4 0", ["cc by"]),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
-    ("cc-by-nc", "licensed under cc by nc 4 0", ["cc by nc"]),
-    ("cc-by-sa", "licensed under cc by sa 4 0", ["cc by sa"]),
-    ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
-    ("cc0", "to the extent possible under law the author has waived all copyright cc0", ["waived all copyright"]),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee"]),
-    ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software"]),
-    ("reserved", "copyright all rights reserved", ["all rights reserved"]),
-]
-#: Weighted share of a template's words that must fall together.
-LEAST_SHARE = 0.6
-#: Rare words of a template looked up first.
-RAREST = 4
+#: (label, words, key phrases in words).
+TEMPLATES = [(label, folded_words(text.encode()), [folded_words(k.encode()) for k in keys]) for label, text, keys in NOTICES + TEXTS]
+#: Weighted share of a template's words that must fall together, and the share that words may have that aren't indexed.
+LEAST_SHARE, BESIDE = 0.6, 0.25
+#: Words by which a part of a text may stand further on than the template says.
+DRIFT = 3
 
 
 class Index:
-    """Postings of template words: word -> (template, position)."""
+    """Postings of the templates' rarest words: word -> (template, position)."""
 
     def __init__(self, documents: int, holding: dict[bytes, int]):
-        self.words = [t.encode().split() for _, t, _ in TEMPLATES]
         self.labels = [label for label, _, _ in TEMPLATES]
-        self.keys = [[k.encode().split() for k in keys] for _, _, keys in TEMPLATES]
-        self.idf = {w: math.log(1 + (documents + 1) / (1 + holding.get(w, 0))) for words in self.words for w in words}
+        self.words = [words for _, words, _ in TEMPLATES]
+        self.keys = [keys for _, _, keys in TEMPLATES]
+        self.number = {w: i for i, w in enumerate(sorted({w for words in self.words for w in words}))}
+        self.idf = {w: math.log(1 + (documents + 1) / (1 + holding.get(w, 0))) for w in self.number}
+        self.ids = [np.array([self.number[w] for w in words]) for words in self.words]
+        self.mass = [np.array([self.idf[w] for w in words]) for words in self.words]
+        self.weight = [float(x.sum()) for x in self.mass]
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        #: Weight of a template that its words in the index don't have.
+        self.beside: list[float] = []
         for t, words in enumerate(self.words):
-            for i, w in enumerate(words):
-                self.postings[w].append((t, i))
-        #: The rarest words of each template; one of them at least has to be met.
-        self.rare: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, words in enumerate(self.words):
-            for w in sorted(set(words), key=lambda w: (-self.idf[w], w))[:RAREST]:
-                self.rare[w] += [(t, i) for i, x in enumerate(words) if x == w]
-        self.weight = [sum(self.idf[w] for w in words) for words in self.words]
+            rest, of = self.weight[t], Counter(words)
+            for w in sorted(of, key=lambda w: (-self.idf[w], w)):
+                if rest <= BESIDE * self.weight[t]:
+                    break
+                rest -= of[w] * self.idf[w]
+                self.postings[w] += [(t, i) for i, x in enumerate(words) if x == w]
+            self.beside.append(rest)
+
+    def starts(self, at: dict[bytes, list[int]]) -> dict[int, np.ndarray]:
+        """template -> places where it may start: votes within DRIFT words, and what isn't indexed, reach LEAST_SHARE."""
+        votes: dict[int, Counter] = defaultdict(Counter)
+        for w, places in at.items():
+            for t, i in self.postings.get(w, ()):
+                own, weight = votes[t], self.idf[w]
+                for p in places:
+                    own[p - i] += weight
+        out = {}
+        for t, of in votes.items():
+            offsets = np.array(sorted(of))
+            sums = np.concatenate(([0.0], np.cumsum([of[x] for x in offsets.tolist()])))
+            first = np.unique((offsets[:, None] - np.arange(DRIFT + 1)).ravel())
+            got = sums[np.searchsorted(offsets, first + DRIFT, side="right")] - sums[np.searchsorted(offsets, first)]
+            able = first[got + self.beside[t] >= LEAST_SHARE * self.weight[t] - 1e-9]
+            if len(able):
+                out[t] = able
+        return out
 
     def find(self, words: list[bytes], at: dict[bytes, list[int]]) -> dict[str, tuple[float, int, int]]:
-        """label -> (share, first word, last word) of the templates that stand in words; at: positions of template words."""
-        starts = {(t, p - i) for w in at if w in self.rare for t, i in self.rare[w] for p in at[w]}
+        """label -> (share, first word, last word) of the templates that stand in words; at: places of template words."""
         found: dict[str, tuple[float, int, int]] = {}
-        for t, start in starts:
-            own = self.words[t]
-            hits = [i for i, w in enumerate(own) if 0 <= start + i < len(words) and words[start + i] == w]
-            share = sum(self.idf[own[i]] for i in hits) / self.weight[t]
-            if share < LEAST_SHARE or not all(self.stands(words, k, start, len(own)) for k in self.keys[t]):
-                continue
-            best = (share, start + hits[0], start + hits[-1])
-            found[self.labels[t]] = max(found.get(self.labels[t], best), best)
+        starts = self.starts(at)
+        if not starts:
+            return found
+        longest = max(map(len, self.words)) + DRIFT
+        seen = np.full(len(words) + 2 * longest, -1)  # the text's template words by number, with a margin
+        for w, places in at.items():
+            if w in self.number:
+                seen[np.array(places) + longest] = self.number[w]
+        for t, of in starts.items():
+            own, n = self.ids[t], len(self.ids[t])
+            for start in of.tolist():
+                low = max(start + longest, 0)
+                part = seen[low : low + n + DRIFT]
+                hits = np.logical_or.reduce([part[d : d + n] == own for d in range(DRIFT + 1)])
+                share = float(self.mass[t][hits].sum()) / self.weight[t]
+                if share < LEAST_SHARE or not all(self.stands(words, k, start, n + DRIFT) for k in self.keys[t]):
+                    continue
+                places = np.flatnonzero(hits)
+                best = (round(share, 9), start + int(places[0]), start + int(places[-1]))
+                found[self.labels[t]] = max(found.get(self.labels[t], best), best)
         return found
 
     @staticmethod
@@ -102,7 +123,7 @@ class Index:
 
 
 def vocabulary() -> set[bytes]:
-    return {w for _, t, _ in TEMPLATES for w in t.encode().split()}
+    return {w for _, words, _ in TEMPLATES for w in words}
 
 
 def document_counts(docs: DataFrame, text: str = "text") -> tuple[int, dict[bytes, int]]:
@@ -143,10 +164,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     def row():
         index = Index(documents, held)
+        needed = set(index.postings) | {p.encode().split()[0] for p in BASE_PHRASES}
 
         def of(raw: bytes) -> tuple:
             words = folded_words(raw)
-            if known.isdisjoint(words):
+            if needed.isdisjoint(words):
                 return len(words), 0, None, None, "", "", 0.0
             at: dict[bytes, list[int]] = defaultdict(list)
             for i, w in enumerate(words):
