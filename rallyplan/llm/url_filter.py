@@ -6,8 +6,10 @@ with literal tokens. Both go into one index: each rule under that of its literal
 tokens that the fewest urls hold, by a count over all urls. A url's tokens fetch
 candidate rules; only those are compared or run as regular expressions.
 
-A pattern rule's literal tokens are whole tokens of every url that it matches
-(the pattern says so with its borders), so the index loses no match. A host
+Pattern rules say which hosts, paths and query keys crawlers should leave alone:
+ad servers, traps of calendars, tags and facets, log-in and session pages, spam.
+Their literal tokens are whole tokens of every url that they match (the patterns
+say so with their borders), so the index loses no match. A host
 rule's tokens come from its host: a fitting url's host ends with those labels. A
 path prefix may end inside a token, so a rule's path gives no token of its own.
 
@@ -31,15 +33,27 @@ from rallyplan.llm.common import per_text, raw_texts, slices
 #: (verdict, host, path). Fixed values.
 HOST_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
-#: Words that a url's token has to equal for the pattern rules below.
-WORDS = ["pills", "casino", "viagra", "porn", "xxx", "sex", "adult", "poker", "betting", "payday", "loan", "replica", "torrent", "warez", "crack", "keygen", "phishing", "malware", "escort", "gambling"]
-#: (name, pattern over host + path in lower case, literal tokens). A border is anything but a letter or digit.
-PATTERN_RULES = [(w, rf"(?:^|[^a-z0-9]){w}(?:[^a-z0-9]|$)", [w]) for w in WORDS] + [
-    ("cheap-pills", r"(?:^|[^a-z0-9])cheap[-_.](?:pills|meds|drugs)(?:[^a-z0-9]|$)", ["cheap"]),
-    ("free-money", r"(?:^|[^a-z0-9])free[-_.]?(?:[-_.]money|[-_.]cash)(?:[^a-z0-9]|$)", ["free"]),
-    ("executable", r"\.exe(?:[^a-z0-9]|$)", ["exe"]),
-    ("login-bait", r"(?:^|[^a-z0-9])secure[-_.](?:login|account)(?:[^a-z0-9]|$)", ["secure"]),
-]
+#: Words that stand alone, or between hyphens, in a label of a blocked host. Fixed values.
+HOST_WORDS = ["casino", "escort", "gambling", "keygen", "malware", "payday", "phishing", "poker", "porn", "torrent", "viagra", "warez", "xxx"]
+#: (name, pattern, literal tokens). A pattern runs over what follows the first ``://`` up to ``#``, in lower case, and one
+#: ``#`` as its end. A literal token is bordered by something else than letters and digits wherever the pattern matches.
+PATTERN_RULES = [(f"host-{w}", rf"^(?:[^/?#]*[.-])?{w}(?:-[^./?#]*)?[./?#]", [w]) for w in HOST_WORDS] + [
+    ("ad-server", r"^(?:[^/?#]*\.)?(?:[a-z0-9]+-)?adserver\.", ["adserver"]),
+    ("add-to-cart", r"[?&]add-to-cart=[0-9]+[&#]", ["add", "to", "cart"]),
+    ("calendar-trap", r"/calendar/[0-9]{4}/[0-9]{1,2}[/?#]", ["calendar"]),
+    ("cheap-drugs", r"^(?:[^/?#]*\.)?cheap-(?:pills|meds|drugs)\.", ["cheap"]),
+    ("comment-reply", r"[?&]replytocom=[0-9]+[&#]", ["replytocom"]),
+    ("deep-tag-page", r"/tag/[^/?#]+/page/[0-9]{2,}[/?#]", ["tag", "page"]),
+    ("executable", r"/[^/?#]+\.exe[?#]", ["exe"]),
+    ("faceted-list", r"[?&]sort=[^&#]*&(?:[^#]*&)?order=", ["sort", "order"]),
+    ("free-money", r"/(?:[^/?#]*-)?free-(?:money|cash|gift)[-/?#]", ["free"]),
+    ("login-bait", r"^(?:[^/?#]*\.)?secure-(?:login|account)[.-]", ["secure"]),
+    ("print-version", r"/print/?[?#]", ["print"]),
+    ("script-folder", r"/cgi-bin/", ["cgi", "bin"]),
+    ("session-id", r"[?&;]phpsessid=[0-9a-z]{8,}[&#]", ["phpsessid"]),
+    ("spam-farm", r"^(?:[^/?#]*\.)?spam-farm\.", ["spam", "farm"]),
+    ("wordpress-login", r"/wp-login\.php[?#]", ["wp", "login", "php"]),
+]
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 TOKEN = re.compile(r"[a-z0-9]+")
@@ -57,8 +71,14 @@ def host_and_path(url: str) -> tuple[str, str]:
     return host.translate(LOWER), rest[: end.start()] if end else rest
 
 
-def tokens(host: str, path: str) -> set[str]:
-    return set(TOKEN.findall(f"{host} {path}".translate(LOWER)))
+def matched_part(url: str) -> str:
+    """What patterns run over; empty without ``://``."""
+    _, sign, rest = url.partition("://")
+    return rest.partition("#")[0].translate(LOWER) + "#" if sign else ""
+
+
+def tokens(part: str) -> set[str]:
+    return set(TOKEN.findall(part))
 
 
 def literal_tokens() -> list[list[str]]:
@@ -76,17 +96,16 @@ class Index:
             rarest = min(own, key=lambda t: (held.get(t, 0), t))
             (self.host_rules if len(rule) == 3 else self.pattern_rules)[rarest].append(rule)
 
-    def judge(self, host: str, path: str) -> tuple[str | None, str, str | None]:
-        """Rule, verdict, name of the pattern rule that matched."""
+    def judge(self, host: str, path: str, part: str) -> tuple[str | None, str, str | None]:
+        """Rule, verdict, name of the pattern rule that matched (the first of several)."""
         best: tuple[int, str, str] | None = None
         name = None
-        own = tokens(host, path)
-        for token in own:
+        for token in tokens(part):
             for verdict, suffix, prefix in self.host_rules.get(token, ()):
                 if (host == suffix or host.endswith(f".{suffix}")) and path.startswith(prefix):
                     best = max(best or (0, "", ""), (len(suffix + prefix), suffix + prefix, verdict))
             for rule, pattern in self.pattern_rules.get(token, ()):
-                if (name is None or rule < name) and pattern.search(f"{host}{path}".translate(LOWER)):
+                if (name is None or rule < name) and pattern.search(part):
                     name = rule
         if best:
             return best[1], best[2], name
@@ -101,7 +120,7 @@ def token_counts(pages: DataFrame, url: str = "url") -> dict[str, int]:
         held = Counter()
         for batch in slices(batches, 4096):
             for x in raw_texts(batch.column(0)):
-                held.update(known & tokens(*host_and_path(x.decode("utf-8", "replace"))))
+                held.update(known & tokens(matched_part(x.decode("utf-8", "replace"))))
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["token", "held"])
 
     rows = pages.select(url).mapInArrow(run, "token string, held long").groupBy("token").agg(F.sum("held").alias("held")).collect()
@@ -116,8 +135,9 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> Data
         index = Index(held)
 
         def of(raw: bytes) -> tuple:
-            host, path = host_and_path(raw.decode("utf-8", "replace"))
-            return host, path, *index.judge(host, path)
+            url = raw.decode("utf-8", "replace")
+            host, path = host_and_path(url)
+            return host, path, *index.judge(host, path, matched_part(url))
 
         return of
 
@@ -132,12 +152,13 @@ def oracle() -> str:
     )
     verdicts = " ".join(f"WHEN '{host}{path}' THEN '{verdict}'" for verdict, host, path in HOST_RULES)
     low = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
-    named = " ".join(f"WHEN regexp_matches(translate(host || path, {low}), '{p}') THEN '{name}'" for name, p, _ in sorted(PATTERN_RULES))
+    named = " ".join(f"WHEN regexp_matches(part, '{p}') THEN '{name}'" for name, p, _ in sorted(PATTERN_RULES))
     return f"""
 WITH parts AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest,
+         contains(url, '://') AS named FROM pages
 ), cuts AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {low}) AS host,
+  SELECT page_id, CASE WHEN named THEN translate(regexp_extract(rest, '^[^#]*'), {low}) || '#' ELSE '' END AS part, translate(regexp_extract(rest, '^[^/?#]*'), {low}) AS host,
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parts
 ), ruled AS (
   SELECT page_id, host, path, CASE {fits} END AS rule, CASE {named} END AS pattern FROM cuts
