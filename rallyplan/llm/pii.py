@@ -5,19 +5,24 @@ patterns. Regular expressions run in the JVM; places come from the lengths of
 what they split off. Every span gets votes (1, 0 or -1) of four labelers: its
 form, a gazetteer, the words before it, its borders.
 
-One pass over all documents counts the spans by kind, votes and shape; that table
-has at most as many rows as there are combinations (some 20,000), whatever the
-input. On these counts the driver runs expectation-maximisation: it estimates
+One pass over all documents finds the candidates; what it found is cut into the
+checkpoint folder. The spans are counted by kind, votes and shape; that table has at
+most as many rows as there are combinations (some 20,000), whatever the input. On
+these counts the driver runs expectation-maximisation: it estimates
 each labeler's reliabilities (how it votes on true and on false spans) and each
 kind's share of true spans, and then trains the span classifier, a logistic
-regression on kind, votes and shape, against the resulting posteriors. A second
-pass applies its weights as literals. Base spans stay whatever it says; others
+regression on kind, votes and shape, against the resulting posteriors. Its weights
+are then applied to the candidates as literals. Base spans stay whatever it says; others
 stay from ``LEAST`` on, if they don't overlap a base span.
 
 The patterns of the contract are written so that Java neither recurses nor goes
 back: possessive where what follows can't match inside, and starting only where a
 run starts or the last match ended; the matches are the same.
 
+A text may have any length and any number of spans: running sums and maxima are
+taken by blocks of ``BLOCK`` spans, and pieces of a text are cut out of blocks of
+``PIECE`` characters, so no step takes the square of either.
+
 Defined results: null and empty texts have no spans (the digest of no bytes);
 repeated rows give repeated rows; a null doc_id is carried along; an empty table
 gives an empty table; other columns are ignored (and kept by ``redact``).
@@ -27,10 +32,13 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rallyplan.llm.common import cut
+
 #: Kinds in the order of the digest; the first four have base patterns.
 KINDS = ["email", "ip", "card", "phone", "secret", "iban", "ssn", "name"]
 #: The base patterns, as written out in the module's comment.
@@ -47,7 +55,7 @@ TITLES = r"Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
 SECRET = r"\b(?i:token|secret|passwo?r?d|api[_-]?key|access[_-]?key|auth)[ ]{0,2}[=:]"
 #: Candidates beside the base patterns.
 WIDE = {
-    "secret": SECRET + r"[ ]{0,2}[\"']?[A-Za-z0-9_+/-]{12,}+[\"']?",
+    "secret": SECRET + r"[ ]{0,2}[\"']?[A-Za-z0-9_+/-]{12,}+(?:[.~][A-Za-z0-9_+/-]++)*+=*+[\"']?",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+?[0-9]{0,3} ?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -67,6 +75,8 @@ DOMAINS = r"\.(?:com|net|org|edu|gov|io|de|fr|es|uk|eu|info|co|us)$"
 LEAST = 0.5
 #: Where expectation-maximisation starts: a vote is right, a span is true; and how many votes that counts for.
 FIRST_GUESS, FIRST_SHARE, PRIOR = 0.8, 0.7, 20.0
+#: Spans, and characters, that are taken together.
+BLOCK, PIECE = 128, 1024
 SPAN = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
 LABELERS = ["form", "gazetteer", "context", "border"]
 FEATURES = ["kind", *LABELERS, "length", "digits"]
@@ -77,25 +87,46 @@ def _bind(value: Column, f) -> Column:
     return F.flatten(F.transform(F.array(value), f))
 
 
+def before_each(parts: Column, value: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> Column:
+    """For each part what join makes of 0 and the values (int) of the parts before it."""
+
+    def block(of: Column, b: Column) -> Column:
+        return F.slice(of, b * BLOCK + 1, F.lit(BLOCK))
+
+    def add(acc: Column, x: Column) -> Column:
+        return F.struct(join(acc["at"], value(x)).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def told(z: Column) -> Column:
+        def of_block(_: Column, b: Column) -> Column:
+            start = F.aggregate(F.slice(z["totals"], F.lit(1), b), F.lit(0), lambda a, x: join(a, x).cast("int"))
+            return F.aggregate(block(z["parts"], b), F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
+
+        return F.flatten(F.transform(z["totals"], of_block))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int"))
+    totals = F.transform(blocks, lambda b: F.aggregate(block(parts, b), F.lit(0), lambda a, x: join(a, value(x)).cast("int")))
+    return F.when(F.size(parts) > 0, _bind(F.struct(parts.alias("parts"), totals.alias("totals")), told)).otherwise(F.array().cast("array<int>"))
+
+
 def spans_of(text: Column, pattern: str, gate: Column) -> Column:
     """Leftmost non-overlapping matches with places in code points, the 40 characters before and the one after."""
 
-    def placed(z: Column) -> Column:
-        parts = F.transform(z["m"], lambda m, i: F.struct(
-            m.alias("m"), F.length(F.get(z["p"], i)).alias("lead"), F.right(F.get(z["p"], i), F.lit(40)).alias("before"), F.left(F.get(z["p"], i + 1), F.lit(1)).alias("after"),
+    def parts(z: Column) -> Column:
+        return F.transform(z["m"], lambda m, i: F.struct(
+            m.alias("m"), F.length(F.get(z["p"], i)).alias("lead"), F.length(m).alias("n"), F.right(F.get(z["p"], i), F.lit(40)).alias("before"), F.left(F.get(z["p"], i + 1), F.lit(1)).alias("after"),
         ))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-        def add(acc: Column, x: Column) -> Column:
-            s = acc["at"] + x["lead"]
-            e = s + F.length(x["m"])
-            one = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(z: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            s = F.get(z["at"], i) + x["lead"]
+            return F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
 
-        return F.aggregate(parts, start, add, lambda acc: acc["out"])
+        return F.transform(z["x"], one)
 
-    cut = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
-    return F.coalesce(F.when(gate, _bind(cut, placed)), F.array().cast(SPAN))
+    cut_up = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    with_places = lambda x: F.struct(x.alias("x"), before_each(x, lambda y: y["lead"] + y["n"], Column.__add__).alias("at"))
+    bound = F.transform(F.transform(F.array(cut_up), parts), with_places)
+    return F.coalesce(F.when(gate, F.flatten(F.transform(bound, placed))), F.array().cast(SPAN))
 
 
 def digits_of(m: Column) -> Column:
@@ -171,8 +202,20 @@ def candidates(text: Column) -> Column:
         return out
 
     def joined(z: Column) -> Column:
-        free = F.filter(z["w"], lambda x: ~F.exists(z["b"], lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
-        return F.concat(z["b"], F.transform(free, lambda x: voted(x, kind_of(x["m"]), F.lit(False))))
+        """Base spans, and the wide ones that overlap none: a sweep over both by start, base spans first."""
+        base_ends = F.transform(z["b"], lambda x: F.struct(x["s"].alias("s"), F.lit(0).alias("o"), x["e"].alias("e"), F.lit(0).alias("i")))
+        wide_ends = F.transform(z["w"], lambda x, i: F.struct(x["s"].alias("s"), F.lit(1).alias("o"), x["e"].alias("e"), i.alias("i")))
+
+        def free(y: Column) -> Column:
+            def alone(x: Column, j: Column) -> Column:
+                after = F.get(y["x"], j + 1)  # wide spans don't overlap, so a base span that starts inside comes next
+                return (x["o"] == 1) & (F.get(y["ends"], j) <= x["s"]) & ~F.coalesce((after["o"] == 0) & (after["s"] < x["e"]), F.lit(False))
+
+            return F.transform(F.filter(y["x"], alone), lambda x: F.get(z["w"], x["i"]))
+
+        swept = _bind(F.array_sort(F.concat(base_ends, wide_ends)), lambda x: F.array(F.struct(x.alias("x"), before_each(x, lambda y: F.when(y["o"] == 0, y["e"]).otherwise(0), F.greatest).alias("ends"))))
+        kept = F.flatten(F.transform(swept, free))
+        return F.when(F.size(z["w"]) == 0, z["b"]).otherwise(F.concat(z["b"], F.transform(kept, lambda x: voted(x, kind_of(x["m"]), F.lit(False)))))
 
     return _bind(F.struct(base.alias("b"), wide.alias("w")), joined)
 
@@ -254,24 +297,30 @@ def fit(rows: list[dict], turns: int = 200) -> Model:
     return model
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count the spans of all documents by kind, votes and shape, and fit."""
-    spans = docs.select(F.explode(candidates(F.col(text))).alias("x")).select("x.*")
-    counts = spans.groupBy(*FEATURES).agg(F.count("*").alias("n"))
+def found(docs: DataFrame, columns: list[Column], text: str, name: str) -> DataFrame:
+    """columns, and as ``name`` the array of all candidates of the whole text; cut."""
+    return cut(docs.select(*columns, F.explode(F.array(candidates(F.col(f"`{text}`")))).alias(name)))
+
+
+def train(spans: DataFrame, name: str) -> Model:
+    """Count the candidates of all documents by kind, votes and shape, and fit."""
+    counts = spans.select(F.explode(name).alias("x")).select("x.*").groupBy(*FEATURES).agg(F.count("*").alias("n"))
     return fit([r.asDict() for r in counts.collect()])  # at most 8 * 3 ** 4 * 4 * 4 rows
 
 
-def decided(docs: DataFrame, model: Model, columns: list[Column], text: str, name: str) -> DataFrame:
-    """columns, and as ``name`` the array of spans that stay, by start and kind."""
+def decided(spans: DataFrame, name: str) -> DataFrame:
+    """The rows, with the candidates that stay in ``name``, by start and kind."""
+    model = train(spans, name)
     order = F.create_map(*[F.lit(y) for i, k in enumerate(KINDS) for y in (k, i)])
     keep = lambda x: x["base"] | (model.logit(x) >= math.log(LEAST / (1 - LEAST)))
-    spans = F.transform(F.filter(candidates(F.col(text)), keep), lambda x: F.struct(x["s"].alias("s"), order[x["kind"]].alias("o"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base")))
-    return docs.select(*columns, F.explode(F.array(F.array_sort(spans))).alias(name))
+    kept = F.transform(F.filter(name, keep), lambda x: F.struct(x["s"].alias("s"), order[x["kind"]].alias("o"), x["e"].alias("e"), x["kind"].alias("kind"), x["base"].alias("base")))
+    others = [F.col(f"`{c}`") for c in spans.columns if c != name]
+    return spans.select(*others, F.explode(F.array(F.array_sort(kept))).alias(name))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_email, n_ip, n_card, n_phone, base_sha256, spans of every whole text."""
-    out = decided(docs, train(docs, text), [F.col(key).alias("k")], text, "x")
+    out = decided(found(docs, [F.col(f"`{key}`").alias("k")], text, "x"), "x")
     base = F.filter("x", lambda s: s["base"])
     told = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["s"].cast("string"), s["e"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("x", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
@@ -279,20 +328,33 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return out.select(F.col("k").alias(key), *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("x")).alias("spans"))
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with its spans, sorted by start, replaced by their kinds; of those that overlap the first."""
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(z: Column, a: Column, b: Column) -> Column:
+        low, high = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        return F.substring(F.array_join(F.slice(z["pieces"], low + 1, high - low + 1), ""), a - low * PIECE + 1, b - a)
+
+    def told(z: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            at = F.get(z["ends"], i)
+            return F.when(x["s"] >= at, F.concat(between(z, at, x["s"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise("")
+
+        last = F.array_max(F.transform(z["x"], lambda x: x["e"]))
+        return F.concat(F.transform(z["x"], one), F.array(between(z, last, z["n"])))
+
+    parts = F.struct(spans.alias("x"), before_each(spans, lambda x: x["e"], F.greatest).alias("ends"), pieces.alias("pieces"), F.length(text).alias("n"))
+    return F.array_join(_bind(parts, told), "")
+
+
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The rows with every span replaced by its kind in angle brackets; the column ``length`` is kept true."""
     name = "__spans"
     while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
-    out = decided(docs, train(docs, text), [F.col(f"`{c}`") for c in docs.columns], text, name)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        told = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["s"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(F.greatest(acc["at"], s["e"]).alias("at"), F.when(s["s"] >= acc["at"], told).otherwise(acc["out"]).alias("out"))
-
-    redacted = F.aggregate(F.col(name), start, add, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
-    new = out.withColumn(text, F.when(F.size(name) > 0, redacted).otherwise(F.col(text)))
+    out = decided(found(docs, [F.col(f"`{c}`") for c in docs.columns], text, name), name)
+    new = out.withColumn(text, F.when(F.size(name) > 0, replaced(F.col(text), F.col(name))).otherwise(F.col(text)))
     if length in docs.columns:
         new = new.withColumn(length, F.when(F.size(name) > 0, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
     return new.select(*[F.col(f"`{c}`") for c in docs.columns])

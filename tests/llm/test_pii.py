@@ -3,6 +3,9 @@
 import hashlib
 import random
 import re
+import time
+
+import regex
 
 from rallyplan.llm import pii as P, queries
 
@@ -98,7 +101,40 @@ def test_redaction(spark):
 
 
 def test_secrets_of_letters_and_of_any_length(spark):
-    texts = ["my password: correcthorsebattery", "x token=" + "ab1" * 3000 + " y", "no secret here"]
+    web = "token: " + ".".join(["eyJhbGciOiJIUzI1NiJ9", "a1" * 60, "zz_-" * 3]) + "=="
+    texts = ["my password: correcthorsebattery", "x token=" + "ab1" * 3000 + " y", "no secret here", "token=" + "a" * 129, "token=" + "a1" * 5000, web, "api_key: abcdefghij12345. Next"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.c] for r in docs.select("doc_id", P.candidates(docs.text).alias("c")).collect()}
-    assert got == {0: [("secret", 3, len(texts[0]))], 1: [("secret", 2, len(texts[1]) - 2)], 2: []}
+    assert got == {0: [("secret", 3, len(texts[0]))], 1: [("secret", 2, len(texts[1]) - 2)], 2: [], **{i: [("secret", 0, len(texts[i]))] for i in (3, 4, 5)}, 6: [("secret", 0, 24)]}
+    redacted = {r.doc_id: r.text for r in P.redact(docs).collect()}
+    assert redacted[4] == redacted[5] == "<secret>" and redacted[6] == "<secret>. Next"
+
+
+def test_wide_candidates_by_brute_force(spark):
+    """All wide matches but for those that overlap a base span."""
+    pick = random.Random(12)
+    parts = ["a@b.c", "token=abcdefghijklmnop", "password: a1b2c3d4e5f6@x.yz", "1.2.3.4", "4111111111111111", "4111 1111 1111 1112", "+1 555 0100 999", "(555) 123-4567", "123-45-6789", "Dr. Ana Solo", "DE44 5001 0517 5407 3249 31", "é🙂", " ", ",", "\n", "7"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randrange(1, 60))) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = 0
+    for r in docs.select("doc_id", P.candidates(docs.text).alias("c")).collect():
+        text = texts[r.doc_id]
+        base = brute(text)
+        gate = re.search(r"[0-9]", text) or regex.search(rf"\b(?:{P.TITLES})\b", text) or regex.search(P.SECRET, text)
+        wide = [(m.start(), m.end()) for m in regex.finditer(P.WIDE_ALL, text)] if gate else []
+        free = [(a, b) for a, b in wide if not any(s < b and e > a for s, _, e, _ in base)]
+        assert sorted((x.s, x.e) for x in r.c if not x.base) == free
+        assert sorted((x.s, P.KINDS.index(x.kind), x.e, x.kind) for x in r.c if x.base) == base
+        met += len(wide) - len(free)
+    assert met > 50
+
+
+def test_many_spans_in_one_text(spark):
+    text = "".join(f"m{i}@x.de token=abcdefgh{i:08d} é " for i in range(6000))
+    docs = spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")
+    began = time.time()
+    row = P.detect(docs).collect()[0]
+    want = [(m.start(), m.end()) for m in re.finditer(r"m[0-9]+@x.de|token=[a-z0-9]+", text)]
+    assert row.n_email == 6000 and [tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",")] == want
+    assert P.redact(docs).collect()[0].text == "<email> <secret> é " * 6000
+    assert time.time() - began < 120
