@@ -11,18 +11,20 @@ one shingle, all texts without words are equal.
    0.8 differ in 0.15 of their SimHash bits on average, far more than blocks of
    agreeing bits can deal, as they do within 2 bits for operator 10; they share a
    band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99978.
-3. In each band, the Gray-order index of ``simhash``: at first neighbours in Gray
-   order within ``RADIUS`` bits, the nearest of each set only, are compared, for
-   ``TURNS`` orders. Then, where a band still has several components, the
-   hierarchical index finds all pairs of different components within the radius.
-   A band of many sets is cut into chunks of ``CHUNK_ROWS``, ordered by component
-   and Gray rank; pairs of chunks are searched, but for those of one component.
-4. Exact comparison of the shingles of these pairs; components of those that pass.
-
-No pair is linked without the exact comparison and none is left out for the size
-of its band: m sets of one band that are within the radius but in other components
-cost m ** 2 / 2 comparisons. ``RADIUS`` is six standard deviations beyond the mean
-distance at similarity 0.8.
+3. Neighbours in the Gray order of a band that differ in at most ``RADIUS`` bits are
+   compared: at first all of one band of each set, which joins most of any dense
+   group, then of the bands that still have several components the nearest of each
+   set that is in another component, for ``TURNS`` orders.
+4. What is left is searched in full. A band with several components is cut into
+   chunks (of ``CHUNK_ROWS`` sets and ``CHUNK_SHINGLES`` shingles at most) in order of
+   component and Gray rank. For each pair of chunks, but those of one component, the
+   hierarchical index of ``simhash`` finds the pairs of different components within
+   the radius; these are compared there, until they are of one component.
+
+No pair is linked without comparing the shingle sets themselves, and none is left
+out for the size of its band; only links leave a task, never candidates of the
+search. ``RADIUS`` is six standard deviations beyond the mean distance at
+similarity 0.8.
 
 Defined results: of each component one row stays, the one with the smallest key
 (null last), then the smallest hash of its columns; of rows equal in all columns
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rallyplan.llm.common import cut, groups, matched, raw_texts, slices, spread_join
-from rallyplan.llm.simhash import UPPER, GrayIndex, components, gray_code, gray_rank, keep_first, row_code
+from rallyplan.llm.simhash import UPPER, Forest, GrayIndex, components, gray_code, gray_rank, keep_first, row_code
 
 #: Words of a shingle.
 SHINGLE = 5
@@ -51,10 +53,10 @@ ROWS, BANDS = 4, 16
 SEED = 42
 #: SimHash of so many 64-bit words; pairs within so many bits are compared.
 WORDS, RADIUS = 2, 44
-#: Bits that the words are turned by for each round of neighbours.
+#: Bits that the words are turned by for each round of nearest neighbours.
 TURNS = (0, 32)
-#: Sets of a band that one chunk holds.
-CHUNK_ROWS = 1 << 15
+#: Sets of a band that one chunk holds, and their shingles.
+CHUNK_ROWS, CHUNK_SHINGLES = 1 << 13, 1 << 21
 #: Shingles that are hashed at once, and pairs that are emitted at once.
 CHUNK = 1 << 14
 
@@ -147,8 +149,8 @@ def _unsigned(columns: list[np.ndarray]) -> np.ndarray:
     return np.stack(columns, axis=1).view(np.uint64) ^ _SIGN
 
 
-def _neighbours(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: each set with the nearest of its neighbours in the bands' Gray orders that is within RADIUS, of fitting size and of another component.
+def _neighbours(members: DataFrame, turn: int, nearest: bool) -> DataFrame:
+    """(a, b), a < b: neighbours in the bands' Gray orders within RADIUS, of fitting sizes and of different components; of each set all, or the nearest.
 
     members: band, g0, g1, n, code, root. Sorted by ranges of (band, rank), so that a band of any size spreads
     over tasks; the few neighbours at the borders of tasks are left to the search.
@@ -180,65 +182,78 @@ def _neighbours(members: DataFrame, turn: int) -> DataFrame:
     rows = members.select("band", *ranks, "n", "code", "root")
     rows = rows.mapInArrow(turned, rows.schema) if turn else rows
     pairs = rows.repartitionByRange(tasks, "band", *ranks).sortWithinPartitions("band", *ranks, "code").mapInArrow(run, "a long, b long, far long")
+    if not nearest:
+        return pairs.select("a", "b").distinct()
     other = F.max_by(F.struct("a", "b"), F.struct(-F.col("far"), "a", "b"))
     best = pairs.select(F.explode(F.array("a", "b")).alias("own"), "a", "b", "far").groupBy("own").agg(other.alias("x"))
     return best.select("x.a", "x.b").distinct()
 
 
 def _chunks(members: DataFrame) -> DataFrame:
-    """members with a chunk number: runs of at most CHUNK_ROWS rows of a band by (root, Gray rank)."""
+    """members with a chunk number: runs of a band's rows by (root, Gray rank), of bounded size."""
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["band", "root", *(f"g{w}" for w in range(WORDS)), "code"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seen, band = TaskContext.get().partitionId() << 40, 0, None
-        chunk = -1
+        chunk, rows, held, last = TaskContext.get().partitionId() << 40, 0, 0, None
         for batch in batches:
-            own = batch.column(0).to_numpy()
-            out = np.empty(len(own), np.int64)
-            edges = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)])) if len(own) else np.zeros(1, np.int64)
-            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                while x < y:
-                    if own[x] != band or seen == CHUNK_ROWS:
-                        chunk, seen, band = chunk + 1, 0, own[x]
-                    z = min(y, x + CHUNK_ROWS - seen)
-                    out[x:z] = first + chunk
-                    seen, x = seen + z - x, z
+            out = np.empty(batch.num_rows, np.int64)
+            for i, (band, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(len(order)).to_pylist(), strict=True)):
+                if band != last or rows == CHUNK_ROWS or held + n > CHUNK_SHINGLES:
+                    chunk, rows, held, last = chunk + 1, 0, 0, band
+                out[i], rows, held = chunk, rows + 1, held + n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "chunk"])
 
     kinds = ", ".join(f"{c} long" for c in [*order, "n"])
     return members.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*order, "n").mapInArrow(run, f"{kinds}, chunk long")
 
 
-def _search(members: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a band within RADIUS, of fitting sizes and different roots, by a Gray index for each pair of chunks."""
+def _search(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join all near copies that share a band; by a Gray index for each pair of chunks."""
     spark = members.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranks = [f"g{w}" for w in range(WORDS)]
     chunked = cut(_chunks(members))
-    table = cut(chunked.groupBy("band", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high")))  # one row for CHUNK_ROWS rows, or a band
+    table = cut(chunked.groupBy("band", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high")))  # one row a chunk
     left, right = (table.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", "low", "high"))) for s in "ab")
     whole = "low_a = high_a AND low_b = high_b AND low_a = low_b"
-    pairs = left.join(right, "band").where(f"chunk_a <= chunk_b AND NOT ({whole})").select(F.col("chunk_a"), F.col("chunk_b"))
+    pairs = left.join(right, "band").where(f"chunk_a <= chunk_b AND NOT ({whole})").select("chunk_a", "chunk_b")
     sides = pairs.select(F.explode(F.expr("array_distinct(array(chunk_a, chunk_b))")).alias("chunk"), "chunk_a", "chunk_b")
-    dealt = sides.join(chunked, "chunk").repartition(tasks, "chunk_a", "chunk_b").sortWithinPartitions("chunk_a", "chunk_b", *(f"g{w}" for w in range(WORDS)), "code")
+    with_texts = spread_join(chunked, texts, "code")
+    dealt = sides.join(with_texts, "chunk").repartition(tasks, "chunk_a", "chunk_b").sortWithinPartitions("chunk_a", "chunk_b", *ranks, "code")
 
-    def found(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        pair_a, pair_b, chunk, n, code, root, *g = (np.concatenate(c) for c in zip(*parts, strict=True))
+    def found(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        pair_a, pair_b, chunk, n, code, root, *g, text = (np.concatenate(c) for c in zip(*parts, strict=True))
         both = pair_a[0] != pair_b[0]
         index = GrayIndex(gray_code(_unsigned(g)))
-        for a, b in index.near(RADIUS, lambda: root):
+        names, own = np.unique(root, return_inverse=True)
+        forest, sets, out = Forest(len(names)), {}, []
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingles((text[i] or "").encode())
+            return sets[i]
+
+        for a, b in index.near(RADIUS, lambda: forest.roots()[own]):
             small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
             good = small * LEAST_JACCARD[1] >= large * LEAST_JACCARD[0]
             if both:  # pairs within one chunk are searched once, with the chunk itself
                 good &= chunk[a] != chunk[b]
-            x, y = code[a[good]], code[b[good]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            a, b = a[good], b[good]
+            order = np.argsort(np.bitwise_count(index.codes[a] ^ index.codes[b]).sum(axis=1, dtype=np.int64), kind="stable")
+            for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
+                x, y = int(own[i]), int(own[j])
+                if forest.top(x) != forest.top(y) and alike(of(i), of(j)):
+                    forest.link(x, y)
+                    out.append((code[i], code[j]))
+        links = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in groups(batches, 2):
-            yield from found(parts)
+            yield found(parts)
 
-    return dealt.select("chunk_a", "chunk_b", "chunk", "n", "code", "root", *(f"g{w}" for w in range(WORDS))).mapInArrow(run, "a long, b long").distinct()
+    return cut(dealt.select("chunk_a", "chunk_b", "chunk", "n", "code", "root", *ranks, "t").mapInArrow(run, "a long, b long"))
 
 
 def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -260,7 +275,7 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     found = roots.select(F.col("node").alias("code"), F.col("root").alias("found"))
     rooted = cut(members.drop("root").join(found, "code", "left").withColumn("root", F.coalesce("found", "code")).drop("found"))
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    return cut(rooted.join(several, "band", "left_semi"))
+    return cut(spread_join(rooted, several, "band"))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -268,21 +283,24 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     marked = cut(_marked(docs, key, text))
     ranks = [f"g{w}" for w in range(WORDS)]
     distinct = marked.groupBy("code", "n", *ranks, "bands").agg(F.min("content").alias("content"))
-    placed = distinct.select("code", "content", "n", *ranks, F.explode("bands").alias("band"))
+    placed = distinct.select("code", "content", "n", *ranks, F.posexplode("bands").alias("place", "band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    members = cut(placed.join(shared, "band", "left_semi").withColumn("root", F.col("code")))
+    members = cut(spread_join(placed, shared, "band").withColumn("root", F.col("code")))
     chosen = members.select("content", "code").distinct()
     rows = docs.select(row_code(docs).alias("own"), F.col(f"`{text}`").alias("t"))
     texts = cut(matched(rows, chosen, lambda a, b: a.own == b.content, "inner").select("code", "t").dropDuplicates(["code"]))
-    members = members.drop("content")
-    roots, left = None, members
-    for step in [*TURNS, None]:
-        pairs = cut(_search(left) if step is None else _neighbours(left, step))
-        links = _links(pairs, texts)
+    left, roots = members.drop("content"), None
+    for step in ("one band", *TURNS, "search"):
+        if step == "search":
+            links = _search(left, texts)
+        elif step == "one band":
+            links = _links(cut(_neighbours(left.where("place = 0"), 0, False)), texts)
+        else:
+            links = _links(cut(_neighbours(left, step, True)), texts)
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(links)
-        if step is not None:
+        if step != "search":
             left = _open(left, roots)
             if left.isEmpty():
                 break

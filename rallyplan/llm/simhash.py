@@ -115,14 +115,15 @@ class Forest:
                 return up
             up = self.up = higher
 
-    def link(self, a: int, b: int) -> bool:
+    def top(self, a: int) -> int:
         up = self.up
         while up[a] != a:
             up[a] = up[up[a]]
             a = up[a]
-        while up[b] != b:
-            up[b] = up[up[b]]
-            b = up[b]
+        return a
+
+    def link(self, a: int, b: int) -> bool:
+        a, b, up = self.top(a), self.top(b), self.up
         if a == b:
             return False
         up[max(a, b)] = min(a, b)
