@@ -7,20 +7,23 @@ still has an arc u gets an arc w into the state that v enters. The state that a
 token enters depends on that token alone, so a state is named by its last token,
 and a word's tokenization is the one path through the automaton that spells it.
 
-The explicit arcs of 50,000 gadgets run to hundreds of millions, so the compiled
-form keeps the gadgets themselves: for every token its merge's rank and two
-parts, and the table of merged pairs. ``Automaton.arc`` unwinds the gadgets that
-touch one (state, label) and memoises the answer in the transition table. The
-tests compare it with the explicit construction.
-
-Encoding walks a pre-split word from left to right along arcs, longest label
-first, and steps back where no arc leads on; one path alone spells the word.
+The explicit automaton of the 50,000 merges has too many arcs to be held (README:
+measured), so the compiled form keeps what makes them: for every token its merge's
+rank and two parts, and the table of merged pairs. ``Automaton.arc`` unwinds the
+gadgets that touch one (state, label) and memoises the answer in a transition table
+of bounded size. The tests compare it with the explicit construction.
+
+Encoding is one pass over the bytes of a pre-split word, without a step back. A
+second table, of the vocabulary's strings (trie nodes by byte, with the node of the
+longest proper suffix), leads from byte to byte and gives the labels that end there.
+Every prefix of a word has one path, so of these labels exactly one has an arc from
+the state that its own start is in; this state is stored for the place.
 Decoding concatenates the labels of the arcs.
 
 Defined results: null and empty texts have no tokens (the digest of no bytes);
 repeated rows give repeated rows; an empty table gives an empty table; further
 columns of the input are ignored. A word of any length takes time in proportion
-to its length (times the longest label), memory in proportion to its length.
+to its length (times the labels that end at a place), memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ SETTLED = re.compile("[^\x00-՗Ḁ-₎₠-₿℀-↋←-⏿─-⭳　-〃ぁ-ゖ
 #: Words that a process remembers, twice over: those met lately, and those met before them.
 MEMO = 250_000
 FOREVER = 1 << 60
+#: Entries of the transition table, some 50 MB, that a process holds; then it is begun anew.
+ARCS = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,8 +67,36 @@ class Automaton:
         self.merged: dict[tuple[int, int], int] = {}
         for u, v in merges:
             self.put_gadget(u, v)
-        self.longest = max(map(len, self.labels))
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.arcs: dict[int, bool] = {}
+        self.compile_strings()
+
+    def compile_strings(self) -> None:
+        """The table of the labels' strings: node * 256 + byte -> node, and for each node the labels that end there, longest first."""
+        self.step: dict[int, int] = {}
+        own: list[int] = [-1]  # the label that the node spells
+        for label, text in enumerate(self.labels):
+            node = 0
+            for byte in text:
+                node = self.step.setdefault(node * 256 + byte, len(own))
+                if node == len(own):
+                    own.append(-1)
+            own[node] = label
+        # nodes by depth: the longest proper suffix that is a node, too
+        self.shorter = [0] * len(own)
+        self.ends: list[tuple[int, ...]] = [()] * len(own)
+        children: list[list[tuple[int, int]]] = [[] for _ in own]
+        for key, node in self.step.items():
+            children[key >> 8].append((key & 255, node))
+        queue = [0]
+        for node in queue:
+            for byte, child in children[node]:
+                at = self.shorter[node]
+                while at and at * 256 + byte not in self.step:
+                    at = self.shorter[at]
+                if node:
+                    self.shorter[child] = self.step.get(at * 256 + byte, 0)
+                self.ends[child] = ((own[child],) if own[child] >= 0 else ()) + self.ends[self.shorter[child]]
+                queue.append(child)
 
     def put_gadget(self, u: bytes, v: bytes) -> None:
         """Put in the gadget of the next merge."""
@@ -78,11 +111,11 @@ class Automaton:
 
     def arc(self, state: int, label: int) -> bool:
         """Does the state entered by token ``state`` have an arc ``label``?"""
-        known = self.arcs.get((state, label))
+        known = self.arcs.get(state << 20 | label)
         if known is None:
-            if len(self.arcs) > 4_000_000:
+            if len(self.arcs) >= ARCS:
                 self.arcs.clear()
-            known = self.arcs[state, label] = self._unwind(state, label)
+            known = self.arcs[state << 20 | label] = self._unwind(state, label)
         return known
 
     def _unwind(self, state: int, label: int) -> bool:
@@ -99,39 +132,24 @@ class Automaton:
                 return True
 
     def encode(self, word: bytes) -> list[int]:
-        """Labels of the path that spells word.
-
-        Longest labels are tried first. The path to a place is the same however
-        one got there, so a place from which no arc leads on is left for good.
-        """
-        number, arcs, n = self.number, self.arcs, len(word)
-        if n == 1:
-            return [number[word]]
-        path: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        at, end = 0, min(n, self.longest)
-        while at < n:
-            state = path[-1] if path else -1
-            while end > at:
-                if end not in dead:
-                    label = number.get(word[at:end])
-                    if label is not None:
-                        if state < 0:
-                            break
-                        open_ = arcs.get((state, label))
-                        if open_ if open_ is not None else self.arc(state, label):
-                            break
-                end -= 1
-            if end > at:
-                path.append(label)
-                starts.append(at)
-                at, end = end, min(n, end + self.longest)
-            else:
-                dead.add(at)
-                path.pop()
-                at, end = starts.pop(), at - 1
-        return path
+        """Labels of the path that spells word."""
+        step, shorter, ends, labels, arc = self.step, self.shorter, self.ends, self.labels, self.arc
+        last = [-1] * (len(word) + 1)  # the state after each place: the last label of the path that spells what is before it
+        node = 0
+        for place, byte in enumerate(word, 1):
+            while (found := step.get(node * 256 + byte)) is None:
+                node = shorter[node]
+            node = found
+            for label in ends[node]:
+                before = place - len(labels[label])
+                if not before or arc(last[before], label):
+                    last[place] = label
+                    break
+        path, place = [], len(word)
+        while place:
+            path.append(last[place])
+            place -= len(labels[last[place]])
+        return path[::-1]
 
 
 def merge_word(word: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
@@ -313,27 +331,29 @@ def proven_singles(path: str) -> frozenset[bytes]:
 
 
 @lru_cache(maxsize=2)
-def word_counts(path: str) -> Memo:
+def word_counts(path: str, singles: frozenset[bytes]) -> Memo:
     """word -> number of tokens: the proven singles at once, the rest by merging; one memo a process."""
     ranks = {pair: i for i, pair in enumerate(vocabulary(path).merges)}
-    singles = {}
-    for x in proven_singles(path):
+    words = {}
+    for x in singles:
         try:
-            singles[x.decode()] = 1
+            words[x.decode()] = 1
         except UnicodeDecodeError:
             pass  # part of a character: never a whole word
-    return Memo(lambda word: len(merge_word(word, ranks)), singles)
+    return Memo(lambda word: len(merge_word(word, ranks)), words)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text.
 
     Special strings inside a text count as one token each, as the library takes
-    them by default. Null and empty texts have 0 bytes and 0 tokens.
+    them by default. Null and empty texts have 0 bytes and 0 tokens. The proof is done
+    once, before any text is read; tasks get the proven strings (as many as the vocabulary has at most).
     """
+    singles = proven_singles(path)
 
     def row():
-        v, of_word = vocabulary(path), word_counts(path).__getitem__
+        v, of_word = vocabulary(path), word_counts(path, singles).__getitem__
 
         def of(raw: bytes) -> tuple:
             n = 0
