@@ -3,7 +3,7 @@
 The words of many texts go into one suffix array at a time: ranks by prefix
 doubling, where a suffix's first rank holds its text too, so that no two texts
 share a prefix and a text's end is smaller than any word. Longest common
-prefixes of neighbours follow from the ranks of all levels. An interval of the
+prefixes of neighbours follow from the ranks of all levels, or from the text. An interval of the
 array with common prefix l is a repeated substring of l words; at a suffix the
 longest is the larger of the prefixes shared with its two neighbours, and the
 union of these spans covers what the maximal repeats cover.
@@ -14,8 +14,10 @@ words, or if one repeat is longer than ``LONGEST`` words.
 
 Defined results: null and empty texts have no words and fail the base rule;
 repeated rows give repeated rows; an empty table gives an empty table; other
-columns don't matter. Memory grows with one block of texts (``BLOCK`` words, or
-a single longer text).
+columns don't matter; a text may be of any length. Memory grows in proportion to
+one block of texts (``BLOCK`` words, or a single longer text), about 100 bytes a
+word: the ranks of all levels are kept for ``LEVELS`` words at most, beyond that
+the prefixes come from walking the suffixes in the order of the text.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from rallyplan.llm.common import slices
 
 #: Words that one suffix array holds, unless one text is longer.
 BLOCK = 60_000
+#: Words up to which the ranks of all levels are kept.
+LEVELS = 1 << 19
 #: Words of a repeat that counts for the method.
 MIN_WORDS = 6
 MOST_COVERED = 0.3
@@ -46,7 +50,7 @@ CONTINUED = bytes(range(0x80, 0xC0))
 
 
 def suffix_ranks(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of the sequence and its ranks by the first 1, 2, 4, ... items; ``first`` are ranks by one item.
+    """Suffix array of the sequence and its ranks by the first 1, 2, 4, ... items (only the last of them beyond LEVELS); ``first`` are ranks by one item.
 
     A rank is the place of the first suffix of its group, so only groups of
     several suffixes are sorted again at the next level.
@@ -55,6 +59,7 @@ def suffix_ranks(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     order = np.argsort(first, kind="stable")
     rank, step = _group_starts(first[order], order, np.empty(n, np.int64), np.arange(n)), 1
     levels = [rank]
+    keep = n <= LEVELS
     while step < n:
         ordered = rank[order]
         tied = np.zeros(n, bool)
@@ -70,8 +75,9 @@ def suffix_ranks(first: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         key = rank[own] * (n + 2) + after
         by = np.argsort(key, kind="stable")
         order[places] = own[by]
-        rank = _group_starts(key[by], own[by], rank.copy(), places)
-        levels.append(rank)
+        rank = _group_starts(key[by], own[by], rank.copy() if keep else rank, places)
+        if keep:
+            levels.append(rank)
         step *= 2
     return order, levels
 
@@ -102,6 +108,28 @@ def neighbour_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarra
     return shared
 
 
+def prefixes_by_text(first: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The same in one array: from one place of the text to the next, the prefix shared with the suffix before it in order shrinks by one at most."""
+    n = len(order)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    shared = np.zeros(n, np.int64)
+    word, place, before, out = (memoryview(np.ascontiguousarray(x, np.int64)) for x in (first, rank, order, shared))
+    h = 0
+    for i in range(n):
+        at = place[i]
+        if not at:
+            h = 0
+            continue
+        j = before[at - 1]
+        most = n - max(i, j)
+        while h < most and word[i + h] == word[j + h]:
+            h += 1
+        out[at] = h
+        h -= h > 0
+    return shared
+
+
 def longest_repeats(texts: list[list[bytes]]) -> list[np.ndarray]:
     """For each text and each of its words: length of the longest repeat that starts there."""
     sizes = np.array([len(x) for x in texts])
@@ -117,7 +145,7 @@ def longest_repeats(texts: list[list[bytes]]) -> list[np.ndarray]:
         words[starts[i + 1] - 1] = 0
     _, first = np.unique(own * (len(numbers) + 1) + words, return_inverse=True)
     order, levels = suffix_ranks(first.astype(np.int64))
-    shared = neighbour_prefixes(order, levels)
+    shared = neighbour_prefixes(order, levels) if total <= LEVELS else prefixes_by_text(first, order)
     longest = np.empty(total, np.int64)
     longest[order] = np.maximum(shared, np.concatenate((shared[1:], [0])))
     return [longest[starts[i] : starts[i + 1] - 1] for i in range(len(texts))]
