@@ -2,7 +2,8 @@
 
 Statistics come from the text alone. Training takes a bounded sample of labelled
 rows, ``SAMPLE`` of those whose crc32(doc_id) mod 5 isn't 0, the ones with the
-smallest hash of doc_id; everything is scored. Values are put into at most
+smallest hash of doc_id (then doc_id, label, statistics; what is left of ties is
+equal); everything is scored. Values are put into at most
 ``BINS`` bins by quantiles of the sample; a tree's split is the best of the
 histograms' gains (logistic loss, second order). The trees are full binary trees
 of ``DEPTH`` levels, flattened into arrays (feature, bin, leaf value), which a
@@ -11,7 +12,8 @@ batch of documents descends level by level in numpy.
 Defined results: null and empty texts have statistics of zero and are scored
 like others; a null doc_id isn't held out (crc32 of no bytes, 0, would be) and
 isn't learnt from; a label that is null is not learnt from; where a document has
-several labels or rows each counts; with no labels, or only one kind, the score
+several labels or rows each counts, up to SAMPLE in all; texts of any length are
+scored whole; with no labels, or only one kind, the score
 is that kind's share (0.5 without labels). Other columns are ignored.
 """
 
@@ -157,7 +159,9 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
             stats = [statistics(x) for x in raw_texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64())), batch.column(2)], ["k", "x", "y"])
 
-    got = rows.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, x array<double>, y double").toArrow()
+    told = rows.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, x array<double>, y double")
+    # however many rows share a doc_id, SAMPLE of them are learnt from
+    got = told.orderBy(F.xxhash64("k"), "k", "y", "x").limit(SAMPLE).toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(STATISTICS))
     y = got["y"].to_numpy()
     order = np.lexsort([y, *x.T[::-1], np.array([crc(k) for k in got["k"].to_pylist()])])  # the same whatever order the rows came in

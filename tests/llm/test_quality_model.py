@@ -53,3 +53,44 @@ def test_odd_rows(spark):
     assert len(out) == 5 and {r.predicted for r in out} == {1}
     assert [r.held_out for r in out if r.doc_id is None] == [False]
     assert M.score_documents(docs.limit(0), one).count() == 0
+
+
+def best_split(b, y, start):
+    """The first tree's root by trying every split."""
+    p = 1 / (1 + np.exp(-start))
+    grad, hess, best = p - y, np.full(len(y), p * (1 - p)), (1e-9, None)
+    part = lambda some: grad[some].sum() ** 2 / (hess[some].sum() + M.SMOOTH)
+    for j in range(b.shape[1]):
+        for cut in range(M.BINS):
+            left = b[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= M.LEAST_ROWS:
+                gain = part(left) + part(~left) - part(left | True)
+                if gain > best[0] + 1e-9:
+                    best = (gain, (j, cut))
+    return best[1]
+
+
+def test_histograms_find_the_best_splits(monkeypatch):
+    monkeypatch.setattr(M, "TREES", 1)
+    for seed in range(5):
+        pick = np.random.default_rng(seed)
+        x = np.round(pick.normal(size=(400, 4)), 1)
+        y = (x[:, seed % 4] + 0.5 * x[:, (seed + 1) % 4] + pick.normal(size=400) > 0).astype(float)
+        model = M.train(x, y)
+        b = model.bins(x)
+        j, cut = best_split(b, y, model.start)
+        assert (model.feature[0][0], model.bin[0][0]) == (j, cut)
+        # each leaf holds the step that its rows ask for
+        p = y.mean()
+        total = model.margin_of_bins(b) - model.start
+        for v in np.unique(total):
+            own = total == v
+            assert abs(v + M.RATE * (p - y[own]).sum() / (own.sum() * p * (1 - p) + M.SMOOTH)) < 1e-6
+
+
+def test_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    monkeypatch.setattr(M, "SAMPLE", 50)
+    docs = spark.createDataFrame([(i % 7, f"word{i} again") for i in range(700)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    x, y = M.sample(docs, labels, "doc_id", "text", "quality")
+    assert len(x) == len(y) == 50
