@@ -5,19 +5,25 @@ differ by one at most. Every document starts with the label of its own hash. In
 each round a linked unit (the documents of one text; a text with more documents
 than 0.8 of a shard is dealt into units of at most about that) counts its members'
 labels, less a penalty for full shards, and its members move to the best one;
-of all who want into a shard, the share that its quota has room for moves.
+of all who want into a shard, the share that its quota has room for moves. Rounds
+go on until no unit is cut. Where ``PATIENCE`` rounds on end don't bring the number
+of those who want to move down, cut units look for a shard with room that none of
+them is in; where ``ROAMING`` rounds of that don't help either, what is cut stays so. ``cut_copies``
+tells for every document how many copies of its text lie in other shards.
 Members that share unit and first label always move together, so the rounds join
 small tables of (unit, first label, count, label), each cut into the checkpoint
 folder. At the end a shard keeps its labelled documents up to its exact quota,
 by whole units as far as they go, and documents without links fill what is left.
 
 Ranks are counted by (shard, bucket): no task has to hold a shard, and the
-table of bucket counts is bounded by 2 * shards * MOST_BUCKETS rows.
+table of bucket counts is bounded by 2 * shards * MOST_BUCKETS rows, summed by runs
+of ``RUN`` buckets.
 
 Defined results: null texts are linked with each other and have size 16 and
 the crc of no bytes; rows with a null doc_id take part like others; repeated
-rows each get a place of their own; an empty table gives an empty table; other
-columns are ignored.
+rows each get a place of their own; ties (equal texts and keys) are in any order, their
+places are the same set; a text counts by its digest, however long it is; an empty
+table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyplan.llm.common import cut
+from rallyplan.llm.common import FEW, cut
 
 SHARDS = 40
-ROUNDS = 6
+#: Rounds without gain before cut units look elsewhere, and before they are left cut.
+PATIENCE, ROAMING = 3, 8
 #: Bytes that a document counts besides its text.
 OVERHEAD = 16
 #: Part of a shard that one unit may fill.
@@ -36,6 +43,8 @@ UNIT_SHARE = 0.8
 #: Documents of one unit that a bucket takes at least.
 LEAST_A_BUCKET = 16
 LEAST_BUCKETS, MOST_BUCKETS, ROWS_A_BUCKET = 64, 8192, 500_000
+#: Buckets whose counts are summed together.
+RUN = 64
 
 
 def _at(values: list, index: Column, kind: str = "long") -> Column:
@@ -70,47 +79,73 @@ def granted(wishes: dict[tuple[int, int], int], load: list[int], capacity: int)
     return share
 
 
-def propagate(state: DataFrame, shards: int, capacity: int, rounds: int) -> tuple[DataFrame, int]:
-    """Labels of the units' parts after the rounds, and how many rounds were run. state: g, chunk, first, n, m, label."""
-    done = 0
-    for turn in range(rounds):
+def propagate(state: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """Labels of the units' parts when the rounds are over. state: g, chunk, first, n, m, label."""
+    least, idle, turn, roaming = float("inf"), 0, 0, False
+    while True:
         load = [0] * shards
         for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect():  # a row for each shard
             load[r.label] = r.n
         penalty = [1.0 - 0.5 * min(1.0, x / max(1, capacity)) for x in load]
         votes = state.groupBy("g", "chunk", "label").agg(F.sum("n").alias("n"))
         worth = F.struct((F.col("n") * _at(penalty, F.col("label"), "double")).alias("v"), F.xxhash64("g", "chunk", "label").alias("h"))
-        wish = votes.groupBy("g", "chunk").agg(F.max_by("label", worth).alias("wish"))
-        wished = state.join(wish, ["g", "chunk"])
+        wish = votes.groupBy("g", "chunk").agg(F.max_by("label", worth).alias("wish"), F.count("*").alias("spread"))
+        if roaming:  # into shards with room, as often as they have room
+            room = [max(0, capacity - x) for x in load]
+            ends = [sum(room[: s + 1]) for s in shards_of(room)]
+            if not ends:
+                break
+            draw = _unit01("g", "chunk", F.lit(-turn)) * float(sum(room))
+            place = F.size(F.filter(F.array(*[F.lit(float(x)) for x in ends]), lambda x: x <= draw))
+            wish = wish.withColumn("wish", F.when(F.col("spread") > 1, _at(shards_of(room), place, "int")).otherwise(F.col("wish")))
+        wished = state.join(wish.drop("spread"), ["g", "chunk"])
         # a row for each pair of shards
         wishes = {(r.label, r.wish): r.n for r in wished.where("label <> wish").groupBy("label", "wish").agg(F.sum("n").alias("n")).collect()}
-        if not wishes:
+        waiting = sum(wishes.values())
+        if not waiting:
             break
+        least, idle = (waiting, 0) if waiting < least else (least, idle + 1)
+        if idle > (ROAMING if roaming else PATIENCE):
+            if roaming:
+                break
+            roaming, idle, turn = True, 0, turn + 1
+            continue
         share = granted(wishes, load, capacity)
         goes = _unit01("g", "chunk", F.lit(turn)) < _at(share, F.col("wish"), "double")
         state = cut(wished.withColumn("label", F.when(goes, F.col("wish")).otherwise(F.col("label"))).drop("wish"))
-        done += 1
-    return state, done
+        turn += 1
+    return state
 
 
-def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, size, text_crc32, law, shard, slot, grown_shard of every row."""
+def shards_of(room: list[int]) -> list[int]:
+    """Those with room."""
+    return [s for s, x in enumerate(room) if x]
+
+
+def with_cut_copies(placed: DataFrame) -> DataFrame:
+    """The rows (g, shard, ...) with cut_copies: rows of the same g in other shards."""
+    counts = placed.groupBy("g", "shard").agg(F.count("*").alias("n"))
+    cut_up = counts.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("shards")).where("shards > 1")
+    told = cut(counts.join(cut_up, "g").select("g", "shard", (F.col("all") - F.col("n")).alias("others")))
+    told = F.broadcast(told) if told.count() <= FEW else told
+    return placed.join(told, ["g", "shard"], "left").withColumn("cut_copies", F.coalesce("others", F.lit(0)).cast("long"))
+
+
+def balanced_shards(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, size, text_crc32, law, shard, slot, grown_shard, cut_copies of every row."""
     base = cut(described(docs, key, text))
     total = base.count()
     capacity = max(1, total // shards)
-    # at most 1.25 * shards + 2 texts have more than 0.8 * capacity documents
-    large = base.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > UNIT_SHARE * capacity) if capacity >= 4 else None
+    # fewer than 2.5 * shards + 1 texts have more than 0.8 * capacity documents
+    large = base.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > UNIT_SHARE * capacity)
+    pieces = large.select("g", F.ceil(F.col("c") / (UNIT_SHARE * capacity)).alias("pieces"))
     units = base.withColumn("first", F.pmod(F.xxhash64("k"), F.lit(shards)).cast("int"))
-    if large is not None:
-        pieces = large.select("g", F.ceil(F.col("c") / (UNIT_SHARE * capacity)).alias("pieces"))
-        units = units.join(F.broadcast(pieces), "g", "left").withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(1)), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
-    else:
-        units = units.withColumn("chunk", F.lit(0))
+    units = units.join(F.broadcast(pieces), "g", "left").withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(1)), F.coalesce("pieces", F.lit(1))).cast("int")).drop("pieces")
     units = cut(units)
     parts = units.groupBy("g", "chunk", "first").agg(F.count("*").alias("n"))
     members = parts.groupBy("g", "chunk").agg(F.sum("n").alias("m")).where("m > 1")
     state = cut(parts.join(members, ["g", "chunk"]).withColumn("label", F.col("first")))
-    state, _ = propagate(state, shards, capacity, rounds)
+    state = propagate(state, shards, capacity)
 
     buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, total // ROWS_A_BUCKET))
     placed = units.join(state.select("g", "chunk", "first", "m", "label"), ["g", "chunk", "first"], "left")
@@ -124,8 +159,11 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     load = [0] * (shards + 1)
     for r in counts.groupBy("at").agg(F.sum("n").alias("n")).collect():  # a row for each shard, and one
         load[r["at"]] = r.n
-    before = Window.partitionBy("at").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("at", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    counts = counts.withColumn("run", F.floor(F.col("bucket") / RUN))
+    before = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.groupBy("at", "run").agg(F.sum("n").alias("n")).select("at", "run", F.coalesce(F.sum("n").over(before("at").orderBy("run")), F.lit(0)).alias("base"))
+    inside_run = F.coalesce(F.sum("n").over(before("at", "run").orderBy("bucket")), F.lit(0))
+    offsets = counts.withColumn("skip", inside_run).join(F.broadcast(runs), ["at", "run"]).select("at", "bucket", (F.col("skip") + F.col("base")).alias("skip"))
     inside = Window.partitionBy("at", "bucket").orderBy("g", "chunk", "k", "text_crc32")
     ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(F.broadcast(offsets), ["at", "bucket"]).withColumn("rank", F.col("rank") + F.col("skip"))
 
@@ -143,4 +181,5 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS,
     shard = F.when(stays, F.col("at")).otherwise(F.size(F.filter(ends, lambda x: x <= F.col("place"))))
     out = moved.withColumn("shard", shard.cast("int"))
     slot = F.when(stays, F.col("rank")).otherwise(_at(kept, F.col("shard")) + F.col("place") - _at(free_before, F.col("shard")))
-    return out.select(F.col("k").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = with_cut_copies(cut(out.select("k", "size", "text_crc32", "g", "shard", slot.cast("long").alias("slot"))))
+    return out.select(F.col("k").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cut_copies")
