@@ -18,7 +18,17 @@ def _ids(rows: pd.DataFrame, at: np.ndarray) -> pd.DataFrame:
     return rows.loc[at, ["session_id", "shot_id"]]
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, US AS (SELECT session_id, shot_id, t, side, hit_score - 0.5e0 AS gain, CASE WHEN t - LAG(t) OVER w >= 4 THEN 1 ELSE 0 END AS cut_here FROM H WHERE hit_score > 0.6e0 * 0.5e0 WINDOW w AS (PARTITION BY session_id ORDER BY t, shot_id)),
+PT AS (SELECT *, sum(cut_here) OVER (PARTITION BY session_id ORDER BY t, shot_id) AS part FROM US), EV AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, part ORDER BY t, shot_id) AS j FROM PT),
+ST AS (SELECT session_id, part, 1::BIGINT AS j, [{{'t': t, 'side': side, 'tot': gain, 'came': 0::BIGINT}}] AS s FROM EV WHERE j = 1
+ UNION ALL SELECT session_id, part, j, list_append(s, {{'t': t, 'side': side, 'tot': CASE WHEN near + gain > far + gain THEN near + gain ELSE far + gain END, 'came': CASE WHEN near + gain > far + gain THEN near_at ELSE far_at END}}) FROM (
+  SELECT *, CASE WHEN far_max > 0 THEN far_max ELSE 0e0 END AS far, CASE WHEN far_max > 0 THEN list_position(list_transform(s, lambda x: CASE WHEN x.t <= t - 4 THEN x.tot END), far_max) ELSE 0 END AS far_at,
+    list_position(list_transform(s, lambda x: CASE WHEN x.t > t - 4 AND t - x.t >= 0.55e0 AND x.side <> side THEN x.tot END), near) AS near_at FROM (
+   SELECT k.session_id, k.part, e.j, e.t, e.side, e.gain, k.s, list_max(list_transform(list_filter(k.s, lambda x: x.t <= e.t - 4), lambda x: x.tot)) AS far_max,
+     list_max(list_transform(list_filter(k.s, lambda x: x.t > e.t - 4 AND e.t - x.t >= 0.55e0 AND x.side <> e.side), lambda x: x.tot)) AS near FROM ST k JOIN EV e ON e.session_id = k.session_id AND e.part = k.part AND e.j = k.j + 1))),
+LS AS (SELECT session_id, part, arg_max(s, j) AS s FROM ST GROUP BY 1, 2), BK AS (SELECT session_id, part, s, list_position(list_transform(s, lambda x: x.tot), list_max(list_transform(s, lambda x: x.tot)))::BIGINT AS j FROM LS WHERE list_max(list_transform(s, lambda x: x.tot)) > 0
+ UNION ALL SELECT session_id, part, s, s[j].came FROM BK WHERE s[j].came > 0)
+SELECT EV.session_id, EV.shot_id FROM BK JOIN EV ON EV.session_id = BK.session_id AND EV.part = BK.part AND EV.j = BK.j""")
 def hit_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chain of hits of each session."""
     f = lambda r: _ids(r, sequence.best_hits(r.t.to_numpy(), r.side.to_numpy(), r.hit_score.to_numpy()))
@@ -40,7 +50,13 @@ def match_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.per_group(p, ["session_id"], ["rally"], f, "session_id long, rally long, winner long, score_before string")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, EV AS (SELECT session_id, shot_id, t, video, hit_score, speed_kmh, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY t, shot_id) AS i FROM H),
+ST AS (SELECT session_id, i, 1 AS g, shot_id, t, video, hit_score, speed_kmh, 1::BIGINT AS views FROM EV WHERE i = 1
+ UNION ALL SELECT session_id, i, CASE WHEN same THEN g ELSE g + 1 END, CASE WHEN stays THEN a.shot_id ELSE b.shot_id END, CASE WHEN stays THEN a.t ELSE b.t END, CASE WHEN stays THEN a.video ELSE b.video END, CASE WHEN stays THEN a.hit_score ELSE b.hit_score END,
+  CASE WHEN NOT same THEN b.speed_kmh WHEN stays THEN COALESCE(a.speed_kmh, b.speed_kmh) ELSE COALESCE(b.speed_kmh, a.speed_kmh) END, CASE WHEN same THEN 2::BIGINT ELSE 1::BIGINT END FROM (
+  SELECT *, same AND (a.speed_kmh IS NOT NULL, a.hit_score) >= (b.speed_kmh IS NOT NULL, b.hit_score) AS stays FROM (
+   SELECT k.session_id, e.i, k.g, k AS a, e AS b, k.video <> e.video AND e.t - k.t <= 2 AS same FROM ST k JOIN EV e ON e.session_id = k.session_id AND e.i = k.i + 1)))
+SELECT session_id, arg_max(shot_id, i) AS shot_id, arg_max(views, i) AS views, (arg_max({{'v': speed_kmh}}, i)).v AS speed_kmh FROM ST GROUP BY session_id, g""")
 def merge_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shots seen by both cameras (even and odd ids) within 2 s, as one."""
 
@@ -103,15 +119,24 @@ def turn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.per_group(hits(spark, sf_dir).where("crosses_net").select("session_id", "shot_id", "t"), ["session_id"], ["t", "shot_id"], f, "session_id long, shot_id long")
 
 
-@query()
+@query(f"""WITH RECURSIVE {HITS_SQL}, EV AS (SELECT session_id, side, shot_id, t, hit_x AS x, ROW_NUMBER() OVER (PARTITION BY session_id, side ORDER BY t, shot_id) AS i, COUNT(*) OVER (PARTITION BY session_id, side) AS n FROM H),
+BOTH_WAYS AS (SELECT 1 AS way, session_id, side, i AS k, t, x FROM EV UNION ALL SELECT -1, session_id, side, n + 1 - i, -t, x FROM EV),
+ST AS (SELECT way, session_id, side, k, t, x AS value, 0e0 AS slope FROM BOTH_WAYS WHERE k = 1
+ UNION ALL SELECT way, session_id, side, k, t, CASE WHEN dt > 0 THEN value + 1e0 / (1e0 + 1e0 / (2 * pi() * (1e0 + 0.05e0 * abs(bent)) * dt)) * (x - value) ELSE value END, bent FROM (
+  SELECT *, CASE WHEN dt > 0 THEN slope + 1e0 / (1e0 + 1e0 / (2 * pi() * 1e0 * dt)) * ((x - value) / dt - slope) ELSE slope END AS bent FROM (
+   SELECT e.way, e.session_id, e.side, e.k, e.t, e.x, s.value, s.slope, e.t - s.t AS dt FROM ST s JOIN BOTH_WAYS e ON e.way = s.way AND e.session_id = s.session_id AND e.side = s.side AND e.k = s.k + 1))),
+EU AS (SELECT EV.shot_id, (f.value + b.value) / 2 AS euro FROM EV JOIN ST f ON f.way = 1 AND f.session_id = EV.session_id AND f.side = EV.side AND f.k = EV.i JOIN ST b ON b.way = -1 AND b.session_id = EV.session_id AND b.side = EV.side AND b.k = EV.n + 1 - EV.i),
+WN AS (SELECT *, least(greatest(i, 4), n - 3) AS c FROM EV), SG AS (SELECT a.shot_id, sum(b.x * (1 / 7e0 + (a.i - c) * (b.i - c) / 28e0 + ((a.i - c) ** 2 - 4) * ((b.i - c) ** 2 - 4) / 84e0)) AS savgol FROM WN a JOIN EV b ON b.session_id = a.session_id AND b.side = a.side AND abs(b.i - c) <= 3 WHERE a.n >= 7 GROUP BY 1)
+SELECT EV.shot_id, round_even(euro, 6) AS euro, round_even(COALESCE(savgol, x), 6) AS savgol FROM EV JOIN EU USING (shot_id) LEFT JOIN SG USING (shot_id)""")
 def smoothed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions by the One Euro filter and by Savitzky-Golay."""
+    """Positions by the One Euro filter, there and back, and by Savitzky-Golay (seven samples, second order)."""
 
     def f(rows: pd.DataFrame) -> pd.DataFrame:
         t, x = rows.t.to_numpy(), rows.hit_x.to_numpy(float)
-        return pd.DataFrame({"shot_id": rows.shot_id, "euro": sequence.one_euro(t, x, zero_phase=True).round(6), "savgol": sequence.savitzky_golay(x, 7, 2).round(6)})
+        return pd.DataFrame({"shot_id": rows.shot_id, "euro": sequence.one_euro(t, x, zero_phase=True), "savgol": sequence.savitzky_golay(x, 7, 2)})
 
-    return sequence.per_group(hits(spark, sf_dir).select("session_id", "side", "shot_id", "t", "hit_x"), ["session_id", "side"], ["t", "shot_id"], f, "shot_id long, euro double, savgol double")
+    out = sequence.per_group(hits(spark, sf_dir).select("session_id", "side", "shot_id", "t", "hit_x"), ["session_id", "side"], ["t", "shot_id"], f, "shot_id long, euro double, savgol double")
+    return out.select("shot_id", half_even(F.col("euro"), 6).alias("euro"), half_even(F.col("savgol"), 6).alias("savgol"))
 
 
 @query(f"""WITH RECURSIVE {HITS_SQL}, EV AS (SELECT session_id, shot_id, hit_x, hit_y, bounce_x, bounce_y, ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY t, shot_id) AS i FROM H),
@@ -164,7 +189,12 @@ def cluster_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.per_group(_track_rows(spark, sf_dir), ["session_id"], ["t", "shot_id"], _people(identity.by_looks), "session_id long, track long, label string")
 
 
-@query()
+@query("""WITH E AS (SELECT vec_id, vec_id // 8 AS g, list_transform(embedding, lambda v: abs(v::DOUBLE)) AS v, vec_id % 2 AS hand, 1.6e0 + 0.02e0 * (vec_id % 9) AS h, ROW_NUMBER() OVER (PARTITION BY vec_id // 8 ORDER BY vec_id) - 1 AS k FROM embeddings),
+C AS (SELECT p.g, p.k - 4 AS r, q.k AS c, p.vec_id AS player, q.vec_id AS profile, CASE WHEN p.hand <> q.hand THEN 3e0 ELSE 0e0 END + least(4e0, abs(p.h - q.h) / 0.06e0) + 0.5e0
+  + 0.8e0 * sqrt(greatest(0e0, 1 - list_sum(list_transform(list_zip(p.v, q.v), lambda z: sqrt(z[1] / list_sum(p.v) * z[2] / list_sum(q.v)))))) AS cost FROM E p JOIN E q ON q.g = p.g AND p.k >= 4 AND q.k < 4),
+P4 AS (SELECT a.g, a.c AS c0, b.c AS c1, d.c AS c2, e.c AS c3, a.cost + b.cost + d.cost + e.cost AS total FROM C a JOIN C b ON b.g = a.g AND b.r = 1 AND b.c <> a.c JOIN C d ON d.g = a.g AND d.r = 2 AND d.c NOT IN (a.c, b.c) JOIN C e ON e.g = a.g AND e.r = 3 AND e.c NOT IN (a.c, b.c, d.c) WHERE a.r = 0),
+B AS (SELECT g, arg_min([c0, c1, c2, c3], total) AS best FROM P4 GROUP BY 1)
+SELECT C.player, CASE WHEN C.cost <= 2.2e0 THEN C.profile END AS profile FROM B JOIN C ON C.g = B.g AND C.c = B.best[C.r + 1]""")
 def assign_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four looks of every group of embeddings against the four before, all together."""
 
