@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rallyplan.plans import detail_queries, geometry_queries, insight_queries, rally_queries, sequence_queries, swing_queries, table_queries, time_queries  # noqa: F401
+from rallyplan.plans import detail_queries, geometry_queries, insight_queries, rally_queries, sequence_queries, stage_queries, swing_queries, table_queries, time_queries  # noqa: F401
 from rallyplan.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -37,9 +37,18 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; one of this machine only in local mode and where none is set, as in tests."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rallyplan-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the cluster's checkpoint folder (a temporary one only where none is set, as in tests), without their lineage."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rallyplan-checkpoint-"))
+    """The rows written to the checkpoint folder, without their lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,11 +41,12 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 def arrays(spark: SparkSession, path: str) -> DataFrame:
     """(path, values) of .npy files with one array of numbers each; a file is held whole by the task that reads it."""
 
-    @F.udf("array<double>")
-    def load(raw: bytes) -> list[float]:
-        return np.load(io.BytesIO(raw), allow_pickle=False).astype(float).ravel().tolist()
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.load(io.BytesIO(x), allow_pickle=False).astype(float).ravel() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.float64()))], ["path", "values"])
 
-    return spark.read.format("binaryFile").load(path).select("path", load("content").alias("values"))
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(load, "path string, values array<double>")
 
 
 def long_envelope(df: DataFrame, rate: float = 200.0) -> DataFrame:
