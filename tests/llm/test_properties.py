@@ -24,7 +24,7 @@ def test_ids_and_counts_are_the_librarys(text):
     packed = codec.encode(text)
     assert np.frombuffer(packed, "<u4").tolist() == want
     assert codec.decode(packed) == LIBRARY.decode(want, skip_special_tokens=False) == text
-    v, of = bpe.vocabulary(PATH), bpe.word_counts(PATH)
+    v, of = bpe.vocabulary(PATH), bpe.word_counts(PATH, bpe.proven_singles(PATH))
     assert sum(1 if i % 2 else sum(map(of.__getitem__, v.words(s))) for i, s in enumerate(v.sections(text))) == len(want)
 
 
