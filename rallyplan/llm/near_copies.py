@@ -57,6 +57,8 @@ WORDS, RADIUS = 2, 44
 TURNS = (0, 32)
 #: Sets of a band that one chunk holds, and their shingles.
 CHUNK_ROWS, CHUNK_SHINGLES = 1 << 13, 1 << 21
+#: Bands beyond that size that are named in a filter; if there are more, all bands are cut into runs.
+LARGE_BANDS = 1000
 #: Shingles that are hashed at once, and pairs that are emitted at once.
 CHUNK = 1 << 14
 
@@ -190,9 +192,18 @@ def _neighbours(members: DataFrame, turn: int, nearest: bool) -> DataFrame:
 
 
 def _chunks(members: DataFrame) -> DataFrame:
-    """members with a chunk number: runs of a band's rows by (root, Gray rank), of bounded size."""
+    """members with a chunk number: a band of bounded size is one chunk; of a larger one, runs by (root, Gray rank) are."""
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["band", "root", *(f"g{w}" for w in range(WORDS)), "code"]
+    sizes = members.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("held"))
+    large = [r.band for r in sizes.where((F.col("rows") > CHUNK_ROWS) | (F.col("held") > CHUNK_SHINGLES)).select("band").limit(LARGE_BANDS + 1).collect()]
+    if len(large) > LARGE_BANDS:
+        wide, small = members, members.limit(0)
+    else:
+        wide, small = members.where(F.col("band").isin(large)), members.where(~F.col("band").isin(large))
+    small = small.select(*order, "n", F.col("band").alias("chunk"))
+    if not large:
+        return small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, rows, held, last = TaskContext.get().partitionId() << 40, 0, 0, None
@@ -205,7 +216,7 @@ def _chunks(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "chunk"])
 
     kinds = ", ".join(f"{c} long" for c in [*order, "n"])
-    return members.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*order, "n").mapInArrow(run, f"{kinds}, chunk long")
+    return small.unionByName(wide.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*order, "n").mapInArrow(run, f"{kinds}, chunk long"))
 
 
 def _search(members: DataFrame, texts: DataFrame) -> DataFrame:
