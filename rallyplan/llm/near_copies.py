@@ -230,8 +230,7 @@ def _search(members: DataFrame, texts: DataFrame) -> DataFrame:
     whole = "low_a = high_a AND low_b = high_b AND low_a = low_b"
     pairs = left.join(right, "band").where(f"chunk_a <= chunk_b AND NOT ({whole})").select("chunk_a", "chunk_b")
     sides = pairs.select(F.explode(F.expr("array_distinct(array(chunk_a, chunk_b))")).alias("chunk"), "chunk_a", "chunk_b")
-    with_texts = spread_join(chunked, texts, "code")
-    dealt = sides.join(with_texts, "chunk").repartition(tasks, "chunk_a", "chunk_b").sortWithinPartitions("chunk_a", "chunk_b", *ranks, "code")
+    dealt = spread_join(sides.join(chunked, "chunk"), texts, "code").repartition(tasks, "chunk_a", "chunk_b").sortWithinPartitions("chunk_a", "chunk_b", *ranks, "code")
 
     def found(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         pair_a, pair_b, chunk, n, code, root, *g, text = (np.concatenate(c) for c in zip(*parts, strict=True))
