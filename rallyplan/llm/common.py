@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,6 +42,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows as Parquet in the shared checkpoint folder (so that later passes read only the columns they need), and the path."""
+    spark = df.sparkSession
+    ready_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what ``stored`` wrote, once nothing reads it any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 #: A key is heavy with more than 1 / HEAVY of the rows, and at least LEAST_HEAVY: there are fewer than HEAVY of them.
 HEAVY, LEAST_HEAVY = 1000, 1000
 #: Rows of (hash, key) that are broadcast at most; more go by a shuffle.

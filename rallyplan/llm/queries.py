@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rallyplan.llm import bpe, decontaminate, license_scan, pii, quality_model, repetition, sharding, simhash, url_filter
+from rallyplan.llm import bpe, decontaminate, hard_negatives, infill, license_scan, permutations, pii, quality_model, repetition, sharding, simhash, url_filter
 from rallyplan.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +88,29 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
     return pii.detect(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form and hashes of every document."""
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_fill_in_middle"] = infill.oracle()
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor and positive; some labels are turned on by one first."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op12_hard_negatives"] = hard_negatives.oracle()
+
+
+@query
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every hundredth one, among all."""
+    return permutations.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

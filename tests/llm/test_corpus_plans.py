@@ -7,7 +7,7 @@ import pytest
 from rallyplan.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-MAPS = ["op1_license_scan", "op2_url_filter", "op3_decontamination", "op5_quality_classifier", "op6_quality_rules", "op7_bpe_encode_decode", "op9_token_counts"]
+MAPS = ["op1_license_scan", "op2_url_filter", "op3_decontamination", "op5_quality_classifier", "op6_quality_rules", "op7_bpe_encode_decode", "op9_token_counts", "op11_fill_in_middle"]
 
 
 def plan(spark, name):
