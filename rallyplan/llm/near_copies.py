@@ -11,24 +11,30 @@ one shingle, all texts without words are equal.
    0.8 differ in 0.15 of their SimHash bits on average, far more than blocks of
    agreeing bits can deal, as they do within 2 bits for operator 10; they share a
    band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99978.
-3. Neighbours in the Gray order of a band that differ in at most ``RADIUS`` bits are
-   compared: at first all of one band of each set, which joins most of any dense
-   group, then of the bands that still have several components the nearest of each
-   set that is in another component, for ``TURNS`` orders.
-4. What is left is searched in full. A band with several components is cut into
-   chunks (of ``CHUNK_ROWS`` sets and ``CHUNK_SHINGLES`` shingles at most) in order of
-   component and Gray rank. For each pair of chunks, but those of one component, the
-   hierarchical index of ``simhash`` finds the pairs of different components within
-   the radius; these are compared there, until they are of one component.
+3. Each text goes once to each of its bands that another set shares. There the
+   hierarchical index of ``simhash`` finds the pairs within ``RADIUS`` bits of
+   components that are still apart, in vectorised blocks. Pairs whose sizes rule out
+   the similarity go, then those whose sketches do (the least hash in each of ``BINS``
+   ranges: the share of equal ones estimates the similarity, and a pair goes if it is
+   ``SIGMAS`` standard deviations of such an estimate below 0.8). What is left is compared set by set,
+   until it is of one component.
+4. Bands with more than ``CHUNK_ROWS`` sets or ``CHUNK_SHINGLES`` shingles are thinned
+   first: neighbours in their Gray orders are compared, for ``TURNS`` orders, and bands
+   that then hold one component are done. The others are cut into chunks in order of
+   component and Gray rank, and each pair of chunks, but those of one component, is
+   searched as in 3.
 
 No pair is linked without comparing the shingle sets themselves, and none is left
 out for the size of its band; only links leave a task, never candidates of the
 search. ``RADIUS`` is six standard deviations beyond the mean distance at
-similarity 0.8.
+similarity 0.8. What a band costs grows with the square of its distinct sets only in
+the two bit counts and byte comparisons of steps that numpy does by blocks, and only
+among texts that look alike without being near copies.
 
 Defined results: of each component one row stays, the one with the smallest key
 (null last), then the smallest hash of its columns; of rows equal in all columns
-one stays; an empty table gives an empty table; other columns are kept.
+one stays; an empty table gives an empty table; other columns are kept; texts of any
+length are taken whole (eight bytes a shingle while a task compares them).
 """
 
 from __future__ import annotations
@@ -53,7 +59,11 @@ ROWS, BANDS = 4, 16
 SEED = 42
 #: SimHash of so many 64-bit words; pairs within so many bits are compared.
 WORDS, RADIUS = 2, 44
-#: Bits that the words are turned by for each round of nearest neighbours.
+#: Bins of a sketch, and how far below the least similarity a pair's estimate may be, in standard deviations.
+BINS, SIGMAS = 512, 6
+#: Pairs whose sketches are compared at once.
+PAIRS = 1 << 12
+#: Bits that the words are turned by for each round of nearest neighbours in large bands.
 TURNS = (0, 32)
 #: Sets of a band that one chunk holds, and their shingles.
 CHUNK_ROWS, CHUNK_SHINGLES = 1 << 13, 1 << 21
@@ -118,6 +128,29 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return both * LEAST_JACCARD[1] >= (len(a) + len(b) - both) * LEAST_JACCARD[0]
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """16 bits of the least hash in each of BINS ranges; 0 where there is none."""
+    out = np.zeros(BINS, np.uint16)
+    if len(own):
+        bins = (own >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+        least = np.flatnonzero(np.diff(bins, prepend=-1))  # the set is sorted
+        out[bins[least]] = own[least].astype(np.uint16) | np.uint16(1)
+    return out
+
+
+def hopeful(x: np.ndarray, y: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """May the sets of these sketches (rows) be near copies? shingles: of both sets together.
+
+    The filled bins hold a random sample, drawn without replacement, of the union; the
+    equal ones are those of the intersection (and a few equal by chance).
+    """
+    filled = np.count_nonzero(x | y, axis=1)
+    same = np.count_nonzero((x == y) & (x > 0), axis=1)
+    least = LEAST_JACCARD[0] / LEAST_JACCARD[1]
+    union = np.maximum(shingles / (1 + least), filled)
+    return same >= least * filled - SIGMAS * np.sqrt(least * (1 - least) * filled * (union - filled + 1) / union)
+
+
 def _signed(words: np.ndarray) -> np.ndarray:
     """Unsigned words as signed ones of the same order."""
     return (words ^ _SIGN).view(np.int64)
@@ -151,8 +184,8 @@ def _unsigned(columns: list[np.ndarray]) -> np.ndarray:
     return np.stack(columns, axis=1).view(np.uint64) ^ _SIGN
 
 
-def _neighbours(members: DataFrame, turn: int, nearest: bool) -> DataFrame:
-    """(a, b), a < b: neighbours in the bands' Gray orders within RADIUS, of fitting sizes and of different components; of each set all, or the nearest.
+def _neighbours(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b), a < b: neighbours in the bands' Gray orders within RADIUS, of fitting sizes and of different components; of each set the nearest.
 
     members: band, g0, g1, n, code, root. Sorted by ranges of (band, rank), so that a band of any size spreads
     over tasks; the few neighbours at the borders of tasks are left to the search.
@@ -184,26 +217,22 @@ def _neighbours(members: DataFrame, turn: int, nearest: bool) -> DataFrame:
     rows = members.select("band", *ranks, "n", "code", "root")
     rows = rows.mapInArrow(turned, rows.schema) if turn else rows
     pairs = rows.repartitionByRange(tasks, "band", *ranks).sortWithinPartitions("band", *ranks, "code").mapInArrow(run, "a long, b long, far long")
-    if not nearest:
-        return pairs.select("a", "b").distinct()
     other = F.max_by(F.struct("a", "b"), F.struct(-F.col("far"), "a", "b"))
     best = pairs.select(F.explode(F.array("a", "b")).alias("own"), "a", "b", "far").groupBy("own").agg(other.alias("x"))
     return best.select("x.a", "x.b").distinct()
 
 
+def _large(members: DataFrame) -> list[int] | None:
+    """Bands that are too large for one chunk; none: they are too many to be named."""
+    sizes = members.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("held"))
+    out = [r.band for r in sizes.where((F.col("rows") > CHUNK_ROWS) | (F.col("held") > CHUNK_SHINGLES)).select("band").limit(LARGE_BANDS + 1).collect()]
+    return out if len(out) <= LARGE_BANDS else None
+
+
 def _chunks(members: DataFrame) -> DataFrame:
-    """members with a chunk number: a band of bounded size is one chunk; of a larger one, runs by (root, Gray rank) are."""
+    """members with a chunk number: runs of a band by (root, Gray rank) of bounded size."""
     tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["band", "root", *(f"g{w}" for w in range(WORDS)), "code"]
-    sizes = members.groupBy("band").agg(F.count("*").alias("rows"), F.sum("n").alias("held"))
-    large = [r.band for r in sizes.where((F.col("rows") > CHUNK_ROWS) | (F.col("held") > CHUNK_SHINGLES)).select("band").limit(LARGE_BANDS + 1).collect()]
-    if len(large) > LARGE_BANDS:
-        wide, small = members, members.limit(0)
-    else:
-        wide, small = members.where(F.col("band").isin(large)), members.where(~F.col("band").isin(large))
-    small = small.select(*order, "n", F.col("band").alias("chunk"))
-    if not large:
-        return small
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, rows, held, last = TaskContext.get().partitionId() << 40, 0, 0, None
@@ -216,21 +245,34 @@ def _chunks(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "chunk"])
 
     kinds = ", ".join(f"{c} long" for c in [*order, "n"])
-    return small.unionByName(wide.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*order, "n").mapInArrow(run, f"{kinds}, chunk long"))
+    return members.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select(*order, "n").mapInArrow(run, f"{kinds}, chunk long")
 
 
-def _search(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): links that join all near copies that share a band; by a Gray index for each pair of chunks."""
-    spark = members.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranks = [f"g{w}" for w in range(WORDS)]
-    chunked = cut(_chunks(members))
+def _dealt(members: DataFrame, large: list[int] | None) -> DataFrame:
+    """chunk_a, chunk_b, chunk, n, code, root and ranks: the sets that one step of the search takes together.
+
+    A band of bounded size is one such step; of a larger one each pair of its chunks is, but those of one component.
+    """
+    columns = ["chunk_a", "chunk_b", "chunk", "n", "code", "root", *(f"g{w}" for w in range(WORDS))]
+    inside = members.withColumns({c: F.col("band") for c in columns[:3]}).select(columns)
+    if large == []:
+        return inside
+    hot = F.lit(True) if large is None else F.col("band").isin(large)
+    chunked = cut(_chunks(members.where(hot)))
     table = cut(chunked.groupBy("band", "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high")))  # one row a chunk
     left, right = (table.select("band", *(F.col(c).alias(f"{c}_{s}") for c in ("chunk", "low", "high"))) for s in "ab")
     whole = "low_a = high_a AND low_b = high_b AND low_a = low_b"
     pairs = left.join(right, "band").where(f"chunk_a <= chunk_b AND NOT ({whole})").select("chunk_a", "chunk_b")
     sides = pairs.select(F.explode(F.expr("array_distinct(array(chunk_a, chunk_b))")).alias("chunk"), "chunk_a", "chunk_b")
-    dealt = spread_join(sides.join(chunked, "chunk"), texts, "code").repartition(tasks, "chunk_a", "chunk_b").sortWithinPartitions("chunk_a", "chunk_b", *ranks, "code")
+    return inside.where(~F.col("chunk").isin(large) if large else F.lit(False)).unionByName(sides.join(chunked, "chunk").select(columns))
+
+
+def _search(members: DataFrame, texts: DataFrame, large: list[int] | None) -> DataFrame:
+    """(a, b): links that join all near copies that share a band; by a Gray index for each step."""
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranks = [f"g{w}" for w in range(WORDS)]
+    met = spread_join(_dealt(members, large), texts, "code", members.count() if large == [] else None)
+    dealt = met.repartition(tasks, "chunk_a", "chunk_b").sortWithinPartitions("chunk_a", "chunk_b", *ranks, "code")
 
     def found(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         pair_a, pair_b, chunk, n, code, root, *g, text = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -238,11 +280,13 @@ def _search(members: DataFrame, texts: DataFrame) -> DataFrame:
         index = GrayIndex(gray_code(_unsigned(g)))
         names, own = np.unique(root, return_inverse=True)
         forest, sets, out = Forest(len(names)), {}, []
+        sketches = np.zeros((len(code), BINS), np.uint16)
 
-        def of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingles((text[i] or "").encode())
-            return sets[i]
+        def known(rows: np.ndarray) -> None:
+            for i in rows.tolist():
+                if i not in sets:
+                    sets[i] = shingles((text[i] or "").encode())
+                    sketches[i] = sketch(sets[i])
 
         for a, b in index.near(RADIUS, lambda: forest.roots()[own]):
             small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
@@ -250,10 +294,15 @@ def _search(members: DataFrame, texts: DataFrame) -> DataFrame:
             if both:  # pairs within one chunk are searched once, with the chunk itself
                 good &= chunk[a] != chunk[b]
             a, b = a[good], b[good]
+            if not len(a):
+                continue
+            known(np.unique(np.concatenate([a, b])))
+            good = np.concatenate([hopeful(sketches[a[i : i + PAIRS]], sketches[b[i : i + PAIRS]], (n[a] + n[b])[i : i + PAIRS]) for i in range(0, len(a), PAIRS)])
+            a, b = a[good], b[good]
             order = np.argsort(np.bitwise_count(index.codes[a] ^ index.codes[b]).sum(axis=1, dtype=np.int64), kind="stable")
             for i, j in zip(a[order].tolist(), b[order].tolist(), strict=True):
                 x, y = int(own[i]), int(own[j])
-                if forest.top(x) != forest.top(y) and alike(of(i), of(j)):
+                if forest.top(x) != forest.top(y) and alike(sets[i], sets[j]):
                     forest.link(x, y)
                     out.append((code[i], code[j]))
         links = np.array(out, np.int64).reshape(-1, 2)
@@ -293,27 +342,23 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     marked = cut(_marked(docs, key, text))
     ranks = [f"g{w}" for w in range(WORDS)]
     distinct = marked.groupBy("code", "n", *ranks, "bands").agg(F.min("content").alias("content"))
-    placed = distinct.select("code", "content", "n", *ranks, F.posexplode("bands").alias("place", "band"))
+    placed = distinct.select("code", "content", "n", *ranks, F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
     members = cut(spread_join(placed, shared, "band").withColumn("root", F.col("code")))
     chosen = members.select("content", "code").distinct()
     rows = docs.select(row_code(docs).alias("own"), F.col(f"`{text}`").alias("t"))
-    texts = cut(matched(rows, chosen, lambda a, b: a.own == b.content, "inner").select("code", "t").dropDuplicates(["code"]))
-    left, roots = members.drop("content"), None
-    for step in ("one band", *TURNS, "search"):
-        if step == "search":
-            links = _search(left, texts)
-        elif step == "one band":
-            links = _links(cut(_neighbours(left.where("place = 0"), 0, False)), texts)
-        else:
-            links = _links(cut(_neighbours(left, step, True)), texts)
-        if roots is not None:
-            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = components(links)
-        if step != "search":
-            left = _open(left, roots)
-            if left.isEmpty():
-                break
+    texts = matched(rows, chosen, lambda a, b: a.own == b.content, "inner").select("code", "t").dropDuplicates(["code"])
+    left, large, links = members.drop("content"), _large(members), None
+    if large != []:
+        texts = cut(texts)
+        for turn in TURNS:
+            hot = left if large is None else left.where(F.col("band").isin(large))
+            found = _links(cut(_neighbours(hot, turn)), texts)
+            links = found if links is None else cut(links.unionByName(found))
+            left = _open(left, components(links))
+        large = _large(left)
+    found = _search(left, texts, large)
+    roots = components(found if links is None else found.unionByName(links))
     return marked.join(roots, marked.code == roots.node, "left").select(F.col("k").alias(key), "content", F.coalesce("root", "code").alias("root"))
 
 

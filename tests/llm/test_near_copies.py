@@ -92,6 +92,42 @@ def test_radius_holds_similar_sets():
             assert np.bitwise_count(a ^ b).sum() <= N.RADIUS
 
 
+def test_sketches_hold_similar_sets():
+    pick = np.random.default_rng(3)
+    for common in (4, 8, 20, 60, 300, 3000):
+        for _ in range(200):
+            own = pick.integers(0, 1 << 63, common + common // 4, dtype=np.uint64) * np.uint64(2)
+            cut = common + int(pick.integers(0, common // 4 + 1))
+            a, b = np.unique(own[:cut]), np.unique(np.concatenate([own[:common], own[cut:]]))
+            assert N.alike(a, b) and N.hopeful(N.sketch(a)[None], N.sketch(b)[None], np.array([len(a) + len(b)]))[0]
+
+
+def test_look_alikes_are_ruled_out_by_sketches():
+    """One text of 200 words with 5 words changed in each: some 0.6 alike, so that bands are shared and few pairs are compared set by set."""
+    pick = random.Random(4)
+    base = [f"w{pick.randrange(5000)}" for _ in range(200)]
+    sets = []
+    for k in range(120):
+        own = list(base)
+        for i in pick.sample(range(200), 5):
+            own[i] = f"n{k}.{i}"
+        sets.append(N.shingles(" ".join(own).encode()))
+    sketches = np.array([N.sketch(x) for x in sets])
+    a, b = np.triu_indices(120, 1)
+    near = np.array([N.alike(sets[i], sets[j]) for i, j in zip(a, b)])
+    size = np.array([len(x) for x in sets])
+    hopeful = N.hopeful(sketches[a], sketches[b], size[a] + size[b])
+    assert not (near & ~hopeful).any() and hopeful.mean() < 0.05
+
+
+def test_large_bands_are_thinned_first(spark, monkeypatch):
+    monkeypatch.setattr(N, "band_codes", lambda own: [1, 2] if len(own) else [])
+    monkeypatch.setattr(N, "CHUNK_ROWS", 16)
+    texts = planted(random.Random(12), 50)
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in N.keep_one(docs).collect()) == sorted(set(brute_roots(texts)))
+
+
 def test_one_row_of_each_component(spark):
     text, other = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
     rows = [(1, text), (1, other), (2, other), (2, text), (None, text), (3, text), (3, text), (None, "alone"), (None, "alone")]
