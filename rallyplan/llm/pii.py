@@ -49,13 +49,27 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-FORENAMES = "Anna|Maria|John|James|Mary|Peter|Paul|Hans|Klaus|Ursula|Jean|Pierre|Marie|Claire|Luis|Carlos|Carmen|Ana|David|Sarah|Laura|Thomas|Michael|Julia"
+#: Common given names of the corpus's four languages.
+FORENAMES = "|".join(
+    """
+    Anna Maria John James Mary Peter Paul Hans Klaus Ursula Jean Pierre Marie Claire Luis Carlos Carmen Ana David Sarah Laura Thomas Michael Julia
+    Robert William Richard Joseph Charles Daniel Matthew Anthony Mark Donald Steven Andrew Kenneth Joshua Kevin Brian George Edward Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Karen Lisa Nancy Betty Margaret Sandra Ashley Emily Emma Olivia
+    Stefan Andreas Markus Martin Wolfgang Jürgen Dieter Uwe Sabine Petra Monika Heike Katrin Lena Leon Lukas Jonas Felix Sophie Hannah
+    François Michel Philippe Alain Nicolas Laurent Isabelle Nathalie Sylvie Camille Chloé Léa Hugo Louis Antoine
+    José Antonio Manuel Francisco Juan Javier Miguel Pedro Lucía Isabel Dolores Pilar Teresa Marta Elena Sofía Pablo Diego Alejandro
+    """.split()
+)
 TITLES = r"Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora"
-#: What stands before a secret's value.
-SECRET = r"\b(?i:token|secret|passwo?r?d|api[_-]?key|access[_-]?key|auth)[ ]{0,2}[=:]"
+#: What stands before a secret's value: a word for it, also within a longer name (AWS_SECRET, client_secret_2, "apiKey"), and a sign.
+WORD = r"(?i:token|secret|passwo?r?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?+)"
+SECRET = WORD + r"(?:s|[0-9]{1,3}+|[_-][A-Za-z0-9_-]{0,30}+|[A-Z][A-Za-z0-9]{0,20}+)?+[\"']?[ ]{0,2}[=:]"
+VALUE = r"[A-Za-z0-9_+/!#$%^&*@-]{6,}+(?:[.~][A-Za-z0-9_+/-]++)*+=*+"
+#: Secrets that are known by how they start, whatever stands before them.
+STARTS = r"(?:AKIA|ASIA|AROA|AIDA)(?=[A-Z0-9]{16}\b)|gh[pousr]_(?=[A-Za-z0-9]{20})|sk-(?=[A-Za-z0-9_-]{20})|xox[abprs]-(?=[A-Za-z0-9-]{10})|AIza(?=[A-Za-z0-9_-]{35})|eyJ(?=[A-Za-z0-9_-]{10})|(?i:bearer|basic)[ ](?=[A-Za-z._~+/-]{0,99}[0-9])(?=[A-Za-z0-9._~+/-]{16})"
+PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.]*+(?:-[A-Za-z0-9+/=\s:,.]++){0,9}+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?+"
 #: Candidates beside the base patterns.
 WIDE = {
-    "secret": SECRET + r"[ ]{0,2}[\"']?[A-Za-z0-9_+/-]{12,}+(?:[.~][A-Za-z0-9_+/-]++)*+=*+[\"']?",
+    "secret": SECRET + r"[ ]{0,2}[\"']?(?:(?i:bearer|basic|token)[ ]{1,2})?" + VALUE + rf"[\"']?|\b(?:{STARTS})[A-Za-z0-9._~+/-]++=*+|{PEM}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": r"\+?[0-9]{0,3} ?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -167,11 +181,11 @@ def voted(x: Column, kind: Column, base: Column) -> Column:
     """The span with its votes and shape."""
     m, n = x["m"], F.length(digits_of(x["m"]))
     sign = lambda c: F.when(c, 1).otherwise(-1)
-    strict = {"card": n == 16, "phone": n.between(9, 15), "secret": (F.length(m) >= 24) & m.rlike("[0-9]"), "iban": F.length(m) >= 18, "ip": m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")}
+    strict = {"card": n == 16, "phone": n.between(9, 15), "secret": (F.length(m) >= 24) | m.rlike("[=:][^=:]*[0-9]"), "iban": F.length(m) >= 18, "ip": m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")}
     form = F.when(base, 1).otherwise(sign(_by_kind(kind, strict, F.lit(True))))
     known = {
         "email": sign(m.rlike(f"(?i){DOMAINS}")), "ip": F.when(m.rlike(r"^(?:0|127|255)\."), -1).otherwise(0), "card": F.when(m.rlike("^[3-6]"), 1).otherwise(0), "phone": F.when(m.rlike(r"^\+(?:1|33|34|44|49)[^0-9]"), 1).otherwise(0),
-        "secret": F.when(m.rlike("(?i)^(?:token|secret|pass|api)"), 1).otherwise(0), "iban": sign(m.rlike("^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PT|IE|LU)")), "name": F.when(m.rlike(rf"\b(?:{FORENAMES})\b"), 1).otherwise(0),
+        "secret": F.when(m.rlike(f"^(?:{WORD}|{STARTS}|-----BEGIN)"), 1).otherwise(0), "iban": sign(m.rlike("^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PT|IE|LU)")), "name": F.when(m.rlike(rf"\b(?:{FORENAMES})\b"), 1).otherwise(0),
     }
     speaks = _by_kind(kind, {k: x["before"].rlike(rf"(?i)\b(?:{w})") for k, w in FOR.items()}, F.lit(False))
     context = F.when(x["before"].rlike(rf"(?i)\b(?:{AGAINST})\b"), -1).when(speaks, 1).otherwise(0)
@@ -193,7 +207,7 @@ def candidates(text: Column) -> Column:
         return F.transform(good, lambda x: voted(x, F.lit(kind), F.lit(True)))
 
     base = F.concat(*map(base_spans, BASE))
-    wide = spans_of(text, WIDE_ALL, numeric | text.rlike(rf"\b(?:{TITLES})\b") | text.rlike(SECRET))
+    wide = spans_of(text, WIDE_ALL, numeric | text.rlike(rf"\b(?:{TITLES})\b") | text.rlike(rf"{SECRET}|\b(?:{STARTS})|-----BEGIN "))
 
     def kind_of(m: Column) -> Column:
         out = F.lit(next(iter(WIDE)))

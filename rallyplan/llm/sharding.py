@@ -7,9 +7,8 @@ than 0.8 of a shard is dealt into units of at most about that) counts its member
 labels, less a penalty for full shards, and its members move to the best one;
 of all who want into a shard, the share that its quota has room for moves. Rounds
 go on until no unit is cut. Where ``PATIENCE`` rounds on end don't bring the number
-of those who want to move down, cut units look for a shard with room that none of
-them is in; where ``ROAMING`` rounds of that don't help either, what is cut stays so. ``cut_copies``
-tells for every document how many copies of its text lie in other shards.
+of those who want to move down, cut units go as wholes into shards that have room for
+them, and so do units that a shard has no quota for (``settle``); what fits nowhere stays cut. ``cut_copies`` tells for every document how many copies of its text lie in other shards.
 Members that share unit and first label always move together, so the rounds join
 small tables of (unit, first label, count, label), each cut into the checkpoint
 folder. At the end a shard keeps its labelled documents up to its exact quota,
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 from rallyplan.llm.common import FEW, cut
 
 SHARDS = 40
-#: Rounds without gain before cut units look elsewhere, and before they are left cut.
-PATIENCE, ROAMING = 3, 8
+#: Rounds without gain before cut units look elsewhere, and before they are left cut; units that a shard takes in such a round.
+PATIENCE, ROAMING, TAKEN = 3, 4, 1000
 #: Bytes that a document counts besides its text.
 OVERHEAD = 16
 #: Part of a shard that one unit may fill.
@@ -79,49 +78,69 @@ def granted(wishes: dict[tuple[int, int], int], load: list[int], capacity: int)
     return share
 
 
+def loads(state: DataFrame, shards: int) -> list[int]:
+    """Linked documents of each shard."""
+    out = [0] * shards
+    for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect():  # a row for each shard
+        out[r.label] = r.n
+    return out
+
+
 def propagate(state: DataFrame, shards: int, capacity: int) -> DataFrame:
     """Labels of the units' parts when the rounds are over. state: g, chunk, first, n, m, label."""
-    least, idle, turn, roaming = float("inf"), 0, 0, False
-    while True:
-        load = [0] * shards
-        for r in state.groupBy("label").agg(F.sum("n").alias("n")).collect():  # a row for each shard
-            load[r.label] = r.n
+    least, idle, turn = float("inf"), 0, 0
+    while idle <= PATIENCE:
+        load = loads(state, shards)
         penalty = [1.0 - 0.5 * min(1.0, x / max(1, capacity)) for x in load]
         votes = state.groupBy("g", "chunk", "label").agg(F.sum("n").alias("n"))
         worth = F.struct((F.col("n") * _at(penalty, F.col("label"), "double")).alias("v"), F.xxhash64("g", "chunk", "label").alias("h"))
-        wish = votes.groupBy("g", "chunk").agg(F.max_by("label", worth).alias("wish"), F.count("*").alias("spread"))
-        if roaming:  # into shards with room, as often as they have room
-            room = [max(0, capacity - x) for x in load]
-            ends = [sum(room[: s + 1]) for s in shards_of(room)]
-            if not ends:
-                break
-            draw = _unit01("g", "chunk", F.lit(-turn)) * float(sum(room))
-            place = F.size(F.filter(F.array(*[F.lit(float(x)) for x in ends]), lambda x: x <= draw))
-            wish = wish.withColumn("wish", F.when(F.col("spread") > 1, _at(shards_of(room), place, "int")).otherwise(F.col("wish")))
-        wished = state.join(wish.drop("spread"), ["g", "chunk"])
+        wished = state.join(votes.groupBy("g", "chunk").agg(F.max_by("label", worth).alias("wish")), ["g", "chunk"])
         # a row for each pair of shards
         wishes = {(r.label, r.wish): r.n for r in wished.where("label <> wish").groupBy("label", "wish").agg(F.sum("n").alias("n")).collect()}
         waiting = sum(wishes.values())
         if not waiting:
             break
         least, idle = (waiting, 0) if waiting < least else (least, idle + 1)
-        if idle > (ROAMING if roaming else PATIENCE):
-            if roaming:
-                break
-            roaming, idle, turn = True, 0, turn + 1
-            continue
         share = granted(wishes, load, capacity)
         goes = _unit01("g", "chunk", F.lit(turn)) < _at(share, F.col("wish"), "double")
         state = cut(wished.withColumn("label", F.when(goes, F.col("wish")).otherwise(F.col("label"))).drop("wish"))
         turn += 1
+    return settle(state, shards, capacity)
+
+
+def settle(state: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """Units that are cut, and those that a shard has no quota for, move as wholes into shards that have room for them.
+
+    Of a shard over its quota the smallest units go that make up for the excess. Each
+    unit draws one of the shards whose room holds it; of those who draw a shard the
+    largest go in, as long as their sum fits (``TAKEN`` of them a round at most, so
+    that no task holds more). Rounds end when all have a place, none fits anywhere, or
+    ``ROAMING`` of them place nothing.
+    """
+    turn, idle = 0, 0
+    while idle < ROAMING:
+        load = loads(state, shards)
+        votes = state.groupBy("g", "chunk", "label").agg(F.first("m").alias("m"))
+        units = votes.groupBy("g", "chunk").agg(F.first("m").alias("m"), F.min("label").alias("label"), F.count("*").alias("spread"))
+        cut_up = units.where("spread > 1").select("g", "chunk", "m")
+        excess = _at([max(0, x - capacity) for x in load], F.col("label"))
+        smallest = Window.partitionBy("label").orderBy("m", F.xxhash64("g", "chunk"))
+        beyond = units.where(F.col("spread") == 1).withColumn("excess", excess).where("excess > 0").withColumn("rank", F.row_number().over(smallest)).where(F.col("rank") <= TAKEN)
+        beyond = beyond.withColumn("sum", F.sum("m").over(smallest.rowsBetween(Window.unboundedPreceding, 0))).where("sum - m < excess").select("g", "chunk", "m")
+        fits = F.filter(F.array(*[F.struct(F.lit(max(0, capacity - x)).cast("long").alias("room"), F.lit(s).alias("s")) for s, x in enumerate(load)]), lambda x: x["room"] >= F.col("m"))
+        drawn = cut(cut_up.unionByName(beyond).select("g", "chunk", "m", fits.alias("fits")).where(F.size("fits") > 0))
+        if drawn.isEmpty():
+            break
+        target = F.element_at("fits", (F.pmod(F.xxhash64("g", "chunk", F.lit(turn)), F.size("fits")) + 1).cast("int"))
+        largest = Window.partitionBy("s").orderBy(F.col("m").desc(), F.xxhash64("g", "chunk"))
+        first = drawn.select("g", "chunk", "m", target.alias("x")).select("g", "chunk", "m", "x.room", "x.s").withColumn("rank", F.row_number().over(largest)).where(F.col("rank") <= TAKEN)
+        goes = cut(first.withColumn("sum", F.sum("m").over(largest.rowsBetween(Window.unboundedPreceding, 0))).where("sum <= room").select("g", "chunk", F.col("s").alias("to")))
+        idle = idle + 1 if goes.isEmpty() else 0
+        state = cut(state.join(F.broadcast(goes), ["g", "chunk"], "left").withColumn("label", F.coalesce("to", "label")).drop("to"))  # TAKEN rows a shard at most
+        turn += 1
     return state
 
 
-def shards_of(room: list[int]) -> list[int]:
-    """Those with room."""
-    return [s for s, x in enumerate(room) if x]
-
-
 def with_cut_copies(placed: DataFrame) -> DataFrame:
     """The rows (g, shard, ...) with cut_copies: rows of the same g in other shards."""
     counts = placed.groupBy("g", "shard").agg(F.count("*").alias("n"))
