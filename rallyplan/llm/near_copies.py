@@ -61,7 +61,7 @@ SEED = 42
 WORDS, RADIUS = 2, 44
 #: Bins of a sketch, and how far below the least similarity a pair's estimate may be, in standard deviations.
 BINS, SIGMAS = 512, 6
-#: Pairs whose sketches are compared at once.
+#: Node pairs that are expanded, and pairs whose sketches are compared, at once: what a task holds stays at some MB.
 PAIRS = 1 << 12
 #: Bits that the words are turned by for each round of nearest neighbours in large bands.
 TURNS = (0, 32)
@@ -288,7 +288,7 @@ def _search(members: DataFrame, texts: DataFrame, large: list[int] | None) -> Da
                     sets[i] = shingles((text[i] or "").encode())
                     sketches[i] = sketch(sets[i])
 
-        for a, b in index.near(RADIUS, lambda: forest.roots()[own]):
+        for a, b in index.near(RADIUS, lambda: forest.roots()[own], PAIRS):
             small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
             good = small * LEAST_JACCARD[1] >= large * LEAST_JACCARD[0]
             if both:  # pairs within one chunk are searched once, with the chunk itself

@@ -146,8 +146,8 @@ class GrayIndex:
             shared = np.bitwise_and.reduceat(mask & ~(pattern ^ first), at, axis=0)
             self.levels.append((pattern[at] & shared, shared))
 
-    def near(self, most: int, roots: Callable[[], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs a < b of codes that differ in at most ``most`` bits and have different roots when they are yielded.
+    def near(self, most: int, roots: Callable[[], np.ndarray], chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs a < b of codes that differ in at most ``most`` bits and have different roots when they are yielded; ``chunk`` node pairs are expanded at once.
 
         Node pairs go down level by level. One is given up, with all pairs below
         it, as soon as the differences on its shared bits, which hold those of
@@ -156,8 +156,8 @@ class GrayIndex:
         n, stack = len(self.codes), [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             level, a, b = stack.pop()
-            if len(a) > CHUNK:
-                stack += [(level, a[i : i + CHUNK], b[i : i + CHUNK]) for i in range(0, len(a), CHUNK)]
+            if len(a) > chunk:
+                stack += [(level, a[i : i + chunk], b[i : i + chunk]) for i in range(0, len(a), chunk)]
                 continue
             pattern, mask = self.levels[level]
             differ = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]).sum(axis=1, dtype=np.int64)
