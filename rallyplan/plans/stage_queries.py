@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from rallyplan.operators.robust import half_even
 from rallyplan.plans import stages
 from rallyplan.plans.base import query, table
 from rallyplan.session import checkpoint_folder
-from rallyplan.sources import files, sinks
+from rallyplan.sources import files, sinks, versions
 from rallyplan.sources.tracking import HITS_SQL, SHOTS_SQL, hits, shots
 
 
@@ -54,6 +54,30 @@ def replaced_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(F.col("session_id").cast("long").alias("session_id"), "shot_id", "state")
 
 
+@query(f"""WITH {SHOTS_SQL}, LV AS (SELECT *, session_id % 2 = 0 OR session_id % 5 = 0 AS anew FROM S)
+SELECT session_id, CASE WHEN anew THEN 'new' ELSE 'old' END AS state, count(*) AS shots, count(*) AS metrics, sum(length(stroke))::DOUBLE AS value, count(DISTINCT rally) AS rallies
+FROM LV WHERE NOT anew OR (session_id % 5 <> 0 AND stroke <> 'serve') GROUP BY 1, 2""")
+def committed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shots, metrics and rallies of sessions after three commits: all of them; the even ones anew without serves and every fifth one without results; one that fails when two of its three tables are written."""
+    s, store = shots(spark, sf_dir).select("session_id", "shot_id", "rally", "stroke"), versions.Store(spark, scratch(spark, "store"))
+    every = s.select("session_id").distinct()
+
+    def save(rows: DataFrame, state: str, sessions: DataFrame, n: Column) -> None:
+        metrics = rows.select("shot_id", F.lit("letters").alias("name"), F.length("stroke").cast("double").alias("value"))
+        versions.save_analysis(store, rows.withColumn("state", F.lit(state)), metrics, rows.groupBy("session_id", "rally").agg(n.alias("n")), sessions)
+
+    save(s, "old", every, F.count("*"))
+    save(s.where("session_id % 2 = 0 AND session_id % 5 <> 0 AND stroke <> 'serve'"), "new", every.where("session_id % 2 = 0 OR session_id % 5 = 0"), F.count("*"))
+    try:
+        save(s, "lost", every, F.raise_error(F.concat(F.lit("lost "), F.max("shot_id").cast("string"))).cast("long"))
+    except Exception as e:
+        if "lost" not in str(e):
+            raise
+    count = lambda t, *c: store.read(t).groupBy("session_id").agg(*c)
+    out = count("shots", F.max("state").alias("state"), F.count("*").alias("shots")).join(count("metrics", F.count("*").alias("metrics"), F.sum("value").alias("value")), "session_id", "full")
+    return out.join(count("rallies", F.count("n").alias("rallies")), "session_id", "full")
+
+
 @query("SELECT * FROM (VALUES (1, true), (2, false), (3, true)) AS w(step, wrote)")
 def changed_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table is written at first, not again in another order, and again when a row is gone."""
