@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rallyplan.functions import geometry as G, physics, signals, strokes
+from rallyplan.functions import geometry as G, physics, signals
 from rallyplan.operators import identity, tracking
+from rallyplan.schema import KEYPOINTS
 
 
 def camera():
@@ -99,26 +100,11 @@ def pose(t, **moves):
     base = {"nose": (0, -90), "l_shoulder": (-10, -80), "r_shoulder": (10, -80), "l_elbow": (-15, -60), "r_elbow": (15, -60), "l_wrist": (-15, -45), "r_wrist": (15, -45), "l_hip": (-7, -50), "r_hip": (7, -50), "l_knee": (-7, -25), "r_knee": (7, -25), "l_ankle": (-7, 0), "r_ankle": (7, 0)}
     kp = np.zeros((len(t), 17, 3))
     for name, place in base.items():
-        kp[:, strokes.AT[name], :2] = np.array([moves[name](x) for x in t]) if name in moves else place
-        kp[:, strokes.AT[name], 2] = 0.9
+        kp[:, KEYPOINTS.index(name), :2] = np.array([moves[name](x) for x in t]) if name in moves else place
+        kp[:, KEYPOINTS.index(name), 2] = 0.9
     return kp
 
 
-def test_strokes_and_technique():
-    t = np.arange(-0.6, 0.35, 1 / 30)
-    right = np.array([1.0, 0.0])
-    assert strokes.stroke_kind(t, pose(t, r_wrist=lambda x: (40 + 100 * x, -60)), True, False, right) == "forehand"
-    assert strokes.stroke_kind(t, pose(t, r_wrist=lambda x: (-40 - 100 * x, -60)), True, False, right) == "backhand"
-    assert strokes.stroke_kind(t, pose(t, r_wrist=lambda x: (10, -130)), True, False, right) == "serve"
-    assert strokes.stroke_kind(t, pose(t, r_wrist=lambda x: (10, -130)), True, True, right) == "overhead"
-    assert strokes.stroke_kind(t, np.zeros((len(t), 17, 3)), True, False, right) == "unknown"
-    m = strokes.technique(t, pose(t, r_wrist=lambda x: (40 + 300 * x, -60), r_shoulder=lambda x: (10 if x > 0 else 2, -80), l_shoulder=lambda x: (-10 if x > 0 else -2, -80)))
-    assert m["knee_bend_deg"] == 180.0 and m["shoulder_turn"] == 0.8 and m["racket_arm_speed"] > 2
-    hop = np.where((t > -0.3) & (t < 0.0), -5.0, 0.0)
-    assert strokes.split_step(t, hop, 100.0) == 1.0 and strokes.split_step(t, hop * 0, 100.0) == 0.0 and strokes.split_step(t[:3], hop[:3], 100.0) is None
-    assert strokes.standing_height(np.zeros(40), np.full(40, 1.7)) == round(1.7 / 0.935, 3)
-
-
 def track(i, start, end, y, x=0.0, look=None, video=1, hits=0):
     t = np.arange(start, end + 1e-9, 0.1)
     return identity.Track(video, i, t, np.stack([np.full(len(t), x), np.full(len(t), float(y))], axis=1), np.array(look or [1.0, 1.0]), hits)
