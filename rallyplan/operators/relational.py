@@ -30,19 +30,20 @@ def chase(df: DataFrame, key: str, pointer: str) -> DataFrame:
     hop = df.select(F.col(key).alias("id"), F.coalesce(pointer, key).alias("root"))
     while True:
         done, first = hop.where("id = root"), checkpointed(hop.where("id <> root"))
-        last, steps, most = first, 1, first.count()
+        last, before = first, -1
         while True:
             # those that aren't at an end: their root points on
             on = last.select(F.col("root").alias("id")).distinct().join(first.select("id"), "id", "left_semi")
-            if steps > most or on.isEmpty():
+            size = on.count()
+            if size in (0, before):
                 break
-            onward = last.select(F.col("id").alias("root"), F.col("root").alias("next"))
-            last, steps = checkpointed(last.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root"))), 2 * steps
-        if on.isEmpty():
+            onward, before = last.select(F.col("id").alias("root"), F.col("root").alias("next")), size
+            last = checkpointed(last.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+        if not size:
             found = done.unionByName(last)
             known = df.select(F.col(key).alias("root"), F.lit(True).alias("known"))
             return found.join(known, "root", "left").select("id", F.when(F.col("known"), F.col("root")).otherwise(F.col("id")).alias("root"))
-        # after so many steps only keys of loops are still pointed at: they become ends
+        # as many keys as half as many steps on are still pointed at, so the steps only turn them round: they are keys of loops and become ends
         loops = on.withColumn("loop", F.lit(True))
         hop = checkpointed(hop.join(loops, "id", "left").select("id", F.when(F.col("loop"), F.col("id")).otherwise(F.col("root")).alias("root")))
 

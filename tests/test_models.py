@@ -1,5 +1,7 @@
 """Geometry, flights, sound, poses, identities: parameter recovery and scenarios."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +166,55 @@ def test_ball_tracklets():
     found = tracking.link_ball(frames, 3)
     assert len(found) == 1 and found[0].frames == [f for f in range(20) if f not in (7, 8)]
     assert tracking.strongest(found)[3] == (30.0, 15.0, found[0].id)
+
+
+def brute_looks(tracks):
+    """Join the closest allowed pair of groups, all pairs anew each time."""
+    groups = [[t] for t in tracks]
+    apart = {(tracks[i].id, tracks[j].id) for (i, j), s in identity.seen_together(tracks).items() if s > identity.TOGETHER_S}
+    look = lambda g: np.average([t.look for t in g], axis=0, weights=[len(t.times) for t in g])
+    while True:
+        pairs = [(identity.look_distance(look(a), look(b)), i, j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j and not any((x.id, y.id) in apart or (y.id, x.id) in apart for x in a for y in b)]
+        if not pairs or min(pairs)[0] > identity.LOOK_LIMIT:
+            return sorted(sorted(t.id for t in g) for g in groups)
+        _, i, j = min(pairs)
+        groups[i] += groups.pop(j)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_groups_by_looks_as_by_brute_force(seed):
+    pick = np.random.default_rng(seed)
+    centres = pick.random((4, 12)) ** 4
+    tracks = [track(i, (start := pick.random() * 60), start + pick.random() * 12, 11, look=np.clip(centres[i % 4] + pick.normal(0, 0.08, 12), 0, None).tolist(), video=int(pick.integers(1, 3))) for i in range(40)]
+    tracks.append(track(99, 0, 1, 11, look=[0.0] * 12))
+    assert sorted(label_of(identity.by_looks(tracks))) == brute_looks(tracks)
+
+
+def test_three_thousand_tracks_are_grouped_in_seconds():
+    pick = np.random.default_rng(1)
+    centres = pick.random((4, 50)) ** 4
+    tracks = [track(i, 2.0 * i, 2.0 * i + 1.5, 11, look=np.clip(centres[i % 4] + pick.normal(0, 0.05, 50), 0, None).tolist()) for i in range(3000)]
+    began = time.perf_counter()
+    groups = identity.by_looks(tracks)
+    assert sum(len(g.tracks) for g in groups) == 3000 and len(groups) < 40 and time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_distances_of_cameras_against_one_at_a_time(seed):
+    pick = np.random.default_rng(seed)
+
+    def seen(i, video):
+        t = np.sort(pick.uniform(0, 20, pick.integers(5, 60)))
+        xy = pick.normal(0, 3, (len(t), 2)) + i
+        xy[pick.random(len(t)) < 0.1] = np.nan
+        return identity.Track(video, i, t, xy, np.ones(2))
+
+    own, others = seen(0, 1), [seen(i, 2) for i in range(1, 9)] + [identity.Track(2, 9, np.arange(3.0), np.full((3, 2), np.nan), np.ones(2))]
+    for other, d in zip(others, identity.distances_apart(own, others)):
+        known = np.isfinite(other.xy).all(axis=1)
+        m = (own.times >= other.start) & (own.times <= other.end) & np.isfinite(own.xy).all(axis=1)
+        if min(m.sum(), known.sum()) < 10:
+            assert d == np.inf
+            continue
+        there = np.stack([np.interp(own.times[m], other.times[known], other.xy[known, k]) for k in (0, 1)], axis=1)
+        assert abs(d - np.median(np.linalg.norm(own.xy[m] - there, axis=1))) < 1e-9

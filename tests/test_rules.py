@@ -1,6 +1,7 @@
 """Rules on small inputs: values that the reference results fix."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -114,7 +115,6 @@ def test_hit_chains_by_brute_force():
 
 @pytest.mark.parametrize("a, b, tie, text", [(2, 1, False, "30-15"), (3, 3, False, "deuce"), (4, 3, False, "advantage server"), (3, 4, False, "advantage receiver"), (5, 3, True, "5-3"), (0, 0, False, "0-0")])
 def test_point_text(spark, a, b, tie, text):
-    assert scoring.point_text(a, b, tie) == text
     row = spark.createDataFrame([(a, b, tie)], "a int, b int, t boolean")
     assert row.select(X.point_text(F.col("a"), F.col("b"), F.col("t"))).first()[0] == text
 
@@ -270,3 +270,55 @@ def test_every_size_is_formatted(spark):
     assert got == {i: f"{i} B" if i < 1000 else f"{i / 1000:.1f} kB" for i in ids} and [got[i] for i in (50, 1050, 1150, 1250)] == ["50 B", "1.1 kB", "1.1 kB", "1.2 kB"]
     large = spark.createDataFrame([(999_950,), (1_250_000,), (1_234_567_890,)], "n long")
     assert [r[0] for r in large.select(X.size_text(F.col("n"))).collect()] == ["1000.0 kB", "1.2 MB", "1234.6 MB"]
+
+
+def test_scoreboard_texts_of_all_nodes(spark):
+    """What the board shows of every node against the column function."""
+    b = scoring.board()
+    at = range(0, len(b.nodes), 7)
+    rows = [(i, *n.games, n.points[n.first], n.points[1 - n.first], scoring.in_tiebreak(n)) for i in at for n in [b.nodes[i]]]
+    text = F.concat(F.col("g0"), F.lit("-"), F.col("g1"), F.lit(", "), X.point_text(F.col("a"), F.col("b"), F.col("tie")))
+    got = spark.createDataFrame(rows, "i int, g0 int, g1 int, a int, b int, tie boolean").select("i", text.alias("t")).collect()
+    assert {r.i: r.t for r in got} == {i: str(b.shown[i]) for i in at}
+
+
+def plain_course(start, moves):
+    """Sets, games, texts of a course, point by point."""
+    node, sets, games, game, before, opener = start, [], [], [], [], start.first
+    for missed, won in moves:
+        for who, asked in ((missed, False), (won, True)):
+            if asked:
+                before.append(" ".join([*(f"{a}-{b}" for a, b in sets), str(scoring.board().shown[scoring.board().nodes.index(node)])]))
+            if who is None:
+                continue
+            opener = opener if game else node.first
+            game.append(who)
+            node, over, done = scoring.after(node, who)
+            if over:
+                games.append((opener, who, tuple(game)))
+                game = []
+            sets += [done] if done else []
+    return sets, games + ([(opener, None, tuple(game))] if game else []), before, node.games
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_course_as_arrays_against_point_by_point(seed):
+    pick, b = random.Random(seed), scoring.board()
+    here, moves, asked, rank, taken, by = pick.randrange(4), [], [], [], [], []
+    start = b.nodes[here]
+    for _ in range(pick.randrange(1, 160)):
+        pair = (pick.choice([None, None, None, 0, 1]), pick.choice([0, 0, 1, None]))
+        if not b.open[here] or (pair[0] is not None and not b.open[b.following[here][pair[0]]]):
+            break
+        moves.append(pair)
+        for i, who in enumerate(pair):
+            if i:
+                asked.append(here)
+                rank.append(len(by))
+            if who is not None:
+                taken.append(here)
+                by.append(who)
+                here = int(b.following[here][who])
+    c = scoring.Course(asked, [m[1] for m in moves], rank, taken, by)
+    sets, games, before, current = plain_course(start, moves)
+    assert (c.sets, c.games, c.before, c.current) == (sets, games, before, current)
