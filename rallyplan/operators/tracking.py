@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -96,14 +97,16 @@ class Tracklet:
         return bool(np.median(pace) >= 1.0 and np.mean(self.inside) < 0.7 and np.mean(self.scores) > 0.15)
 
 
-def link_ball(frames: dict[int, list[tuple[float, float, float, bool]]], patience: int) -> list[Tracklet]:
-    """Tracklets out of candidates (x, y, score, on a person) by frame; longer tracklets choose first, eight new ones a frame."""
-    live: list[Tracklet] = []
-    done: list[Tracklet] = []
-    count = 0
-    for f in sorted(frames):
-        free = dict(enumerate(frames[f]))
-        for k in sorted(live, key=lambda k: -len(k.frames)):
+class BallLinker:
+    """Tracklets out of candidates (x, y, score, on a person), frame by frame; longer tracklets choose first, eight new ones a frame."""
+
+    def __init__(self, patience: int):
+        self.patience, self.live, self.used = patience, [], 0
+
+    def frame(self, f: int, candidates: list[tuple[float, float, float, bool]]) -> list[Tracklet]:
+        """Take a frame; the tracklets that end with it."""
+        free = dict(enumerate(candidates))
+        for k in sorted(self.live, key=lambda k: -len(k.frames)):
             here, radius = k.guess(f)
             ways = {j: float(np.hypot(c[0] - here[0], c[1] - here[1])) for j, c in free.items()}
             near = min(ways, key=ways.__getitem__, default=None)
@@ -111,12 +114,34 @@ def link_ball(frames: dict[int, list[tuple[float, float, float, bool]]], patienc
                 k.missed += 1
                 continue
             _extend(k, f, free.pop(near))
-        done += [k for k in live if k.missed > patience]
-        live = [k for k in live if k.missed <= patience]
+        done = [k for k in self.live if k.missed > self.patience]
+        self.live = [k for k in self.live if k.missed <= self.patience]
         for c in list(free.values())[:8]:
-            live.append(_extend(Tracklet(count), f, c))
-            count += 1
-    return [k for k in done + live if k.usable]
+            self.live.append(_extend(Tracklet(self.used), f, c))
+            self.used += 1
+        return done
+
+    def close(self) -> list[Tracklet]:
+        """The tracklets that are still open."""
+        done, self.live = self.live, []
+        return done
+
+    def saved(self) -> str:
+        return json.dumps([self.patience, self.used, [vars(k) for k in self.live]])
+
+    @classmethod
+    def restored(cls, text: str) -> BallLinker:
+        patience, used, live = json.loads(text)
+        out = cls(patience)
+        out.used, out.live = used, [Tracklet(**k | {"xy": [(x, y) for x, y in k["xy"]]}) for k in live]
+        return out
+
+
+def link_ball(frames: dict[int, list[tuple[float, float, float, bool]]], patience: int) -> list[Tracklet]:
+    """The usable tracklets of all frames."""
+    linker = BallLinker(patience)
+    done = [k for f in sorted(frames) for k in linker.frame(f, frames[f])]
+    return [k for k in done + linker.close() if k.usable]
 
 
 def _extend(k: Tracklet, frame: int, c: tuple[float, float, float, bool]) -> Tracklet:
