@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rallyplan.operators.relational import difference, merged_maps
@@ -56,3 +58,24 @@ def merge_document(old: Column, new: Column) -> Column:
 def as_json(df: DataFrame, path: str) -> None:
     """Rows as gzipped JSON lines."""
     df.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+#: Seconds of a slice.
+SLICE_S = 10.0
+
+
+def write_slices(df: DataFrame, path: str, video: str = "video_id", time: str = "t") -> None:
+    """Rows as one file for each video and slice of SLICE_S seconds, in order of time.
+
+    A table of few seconds a video is better left whole: this is for tables that are
+    served by stretches again and again.
+    """
+    rows = df.withColumn("slice", F.floor(F.col(time) / SLICE_S).cast("long"))
+    rows.repartition(video, "slice").sortWithinPartitions(video, "slice", time).write.partitionBy(video, "slice").parquet(path)
+
+
+def read_slices(spark: SparkSession, path: str, videos: Column, start: float, end: float, time: str = "t") -> DataFrame:
+    """Rows of some videos (a condition on the video's column) with start <= time < end; the slices they can be in are the only folders read."""
+    first, last = math.floor(start / SLICE_S), math.floor(end / SLICE_S)
+    rows = spark.read.parquet(path).where(videos & F.col("slice").between(first, last))
+    return rows.where((F.col(time) >= start) & (F.col(time) < end)).drop("slice")
