@@ -299,12 +299,11 @@ INSIGHT_COLUMNS = """round_even(avg(speed_kmh) FILTER (stroke = 'forehand'), 1)
   count(knee_bend_deg) AS knee_n, round_even(median(knee_bend_deg), 6) AS knee, count(shoulder_turn) AS turn_n, round_even(median(shoulder_turn), 6) AS turn, count(split_step) AS split_n, round_even(avg(split_step), 6) AS split, count(recovery_m) AS rec_n, round_even(median(recovery_m), 6) AS rec"""
 
 
-@query(f"WITH {SHOTS_SQL}, I AS (SELECT player_id, {INSIGHT_COLUMNS} FROM S GROUP BY 1) " + " UNION ALL ".join(f"SELECT player_id, {i} AS place, '{text}' AS text, '{level}' AS level FROM I WHERE {c}" for i, (c, text, level) in enumerate(RULES)))
-def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a profile's numbers say: each rule that holds, in the order of the report."""
+def rules_that_hold(shots: DataFrame) -> DataFrame:
+    """player_id, place, text, level of each rule that holds for a player; shots with the metrics as columns."""
     on = lambda stroke, c: F.when(F.col("stroke") == stroke, F.col(c))
     landed = F.col("in_court").cast("double")
-    p = shots(spark, sf_dir).groupBy("player_id").agg(
+    p = shots.groupBy("player_id").agg(
         half_even(F.avg(on("forehand", "speed_kmh")), 1).alias("fs"), half_even(F.avg(on("backhand", "speed_kmh")), 1).alias("bs"), half_even(F.avg(on("serve", "speed_kmh")), 1).alias("sv"),
         F.count(on("forehand", "in_court")).alias("fh_n_in"), half_even(F.avg(F.when(F.col("stroke") == "forehand", landed)), 3).alias("fh_in"), F.count(on("forehand", "net_clearance_m")).alias("fh_n_clear"), half_even(F.avg(on("forehand", "net_clearance_m")), 2).alias("fh_clear"),
         *[x for c, n in (("knee_bend_deg", "knee"), ("shoulder_turn", "turn"), ("recovery_m", "rec")) for x in (F.count(c).alias(f"{n}_n"), half_even(F.median(c), 6).alias(n))], F.count("split_step").alias("split_n"), half_even(F.avg("split_step"), 6).alias("split"),
@@ -313,6 +312,12 @@ def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("player_id", F.explode(F.array_compact(F.array(*said))).alias("x")).select("player_id", "x.*")
 
 
+@query(f"WITH {SHOTS_SQL}, I AS (SELECT player_id, {INSIGHT_COLUMNS} FROM S GROUP BY 1) " + " UNION ALL ".join(f"SELECT player_id, {i} AS place, '{text}' AS text, '{level}' AS level FROM I WHERE {c}" for i, (c, text, level) in enumerate(RULES)))
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a profile's numbers say: each rule that holds, in the order of the report."""
+    return rules_that_hold(shots(spark, sf_dir))
+
+
 @query(f"""WITH {SHOTS_SQL}, SEC AS (SELECT session_id, side, t, hit_x, hit_y, ROW_NUMBER() OVER (PARTITION BY session_id, side, floor(t) ORDER BY t, hit_x, hit_y) AS k FROM S), ST AS (SELECT session_id, side, t - LAG(t) OVER w AS gap, sqrt((hit_x - LAG(hit_x) OVER w) ** 2 + (hit_y - LAG(hit_y) OVER w) ** 2) AS step FROM SEC WHERE k = 1 WINDOW w AS (PARTITION BY session_id, side ORDER BY t))
 SELECT session_id, side, round_even(COALESCE(sum(step) FILTER (step < 1.5 * gap AND gap <= 2), 0), 1) AS distance_m FROM ST GROUP BY 1, 2""")
 def distance_run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written as gzipped JSON and read with their schema."""
     c, path = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch(spark, "json")
     sinks.as_json(c, path)
-    return spark.read.schema(c.schema).json(path)
+    return files.json_rows(spark, path, c.schema)
 
 
 @query("SELECT event_id, round_even(CAST(event_id % 7200 AS DOUBLE) / 4, 2) AS t, event_type AS label FROM events WHERE event_id % 3 <> 0")
@@ -108,8 +108,8 @@ def summary_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: text(c) for c in out.columns if c.startswith("by_")})
 
 
-@query(f"""WITH {SHOTS_SQL} SELECT player_id, stroke, count(*) AS n, round_even(avg(speed_kmh), 1) AS speed_avg, round_even(max(speed_kmh), 1) AS speed_max, count(in_court) AS n_in,
-  CASE WHEN count(in_court) >= 5 THEN round_even(avg(CASE WHEN in_court THEN 1e0 WHEN NOT in_court THEN 0e0 END), 3) END AS in_pct, round_even(avg(net_clearance_m), 2) AS net_clearance_avg
+@query(f"""WITH {SHOTS_SQL} SELECT player_id, stroke, count(*) AS n, round_even(avg(speed_kmh), 1) AS speed_avg, round_even(max(speed_kmh), 1) AS speed_max, count(speed_kmh) AS n_speed, count(in_court) AS n_in,
+  round_even(avg(CASE WHEN in_court THEN 1e0 WHEN NOT in_court THEN 0e0 END), 3) AS in_pct, round_even(avg(net_clearance_m), 2) AS net_clearance_avg, count(net_clearance_m) AS n_clear, round_even(median(contact_height_m), 2) AS contact_height_m
   FROM S WHERE stroke IN ('serve', 'forehand', 'backhand', 'volley_forehand', 'volley_backhand', 'overhead') GROUP BY 1, 2""")
 def profile_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stage of profiles across sessions."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rallyplan.functions import geometry as G
 from rallyplan.operators import gaps, hitcues, identity, sequence, timejoin
-from rallyplan.operators.robust import half_even, least_support
+from rallyplan.operators.robust import half_even
 from rallyplan.plans.rally_queries import kind_evidence
 from rallyplan.schema import LIMITS, STROKES
 from rallyplan.sources.tracking import points, rallies
@@ -122,6 +122,6 @@ def summaries(shots: DataFrame) -> DataFrame:
 def profiles(shots: DataFrame) -> DataFrame:
     """Rows (player_id, stroke, ...) of profiles across sessions, for the strokes of the report."""
     return shots.where(F.col("stroke").isin(*STROKES)).groupBy("player_id", "stroke").agg(
-        F.count("*").alias("n"), half_even(F.avg("speed_kmh"), 1).alias("speed_avg"), half_even(F.max("speed_kmh"), 1).alias("speed_max"), F.count("in_court").alias("n_in"),
-        least_support(5, "in_court", half_even(F.avg(F.col("in_court").cast("double")), 3)).alias("in_pct"), half_even(F.avg("net_clearance_m"), 2).alias("net_clearance_avg"),
+        F.count("*").alias("n"), half_even(F.avg("speed_kmh"), 1).alias("speed_avg"), half_even(F.max("speed_kmh"), 1).alias("speed_max"), F.count("speed_kmh").alias("n_speed"), F.count("in_court").alias("n_in"),
+        half_even(F.avg(F.col("in_court").cast("double")), 3).alias("in_pct"), half_even(F.avg("net_clearance_m"), 2).alias("net_clearance_avg"), F.count("net_clearance_m").alias("n_clear"), half_even(F.median("contact_height_m"), 2).alias("contact_height_m"),
     )

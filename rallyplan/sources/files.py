@@ -32,6 +32,11 @@ def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
+def json_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """JSON rows, one a line, also gzipped, with a declared schema."""
+    return spark.read.schema(schema).json(path)
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """A label file: CSV with a header, ``#`` comments and blank lines skipped, clock times as seconds in ``t``."""
     df = spark.read.csv(path, header=True, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)

@@ -110,3 +110,21 @@ def test_evaluation(spark):
 def test_contracts_name_each_column_once():
     for s in (schema.PEOPLE, schema.SHOT, schema.HITS, schema.RALLY):
         assert len(set(s.names)) == len(s.names)
+
+
+def test_whole_profiles_of_a_few_shots(spark):
+    """Least support, sessions without a date first, technique as a map, rules."""
+    from rallyplan.plans.profile_stage import player_profiles
+
+    rows = [(s, 10 * s + i, 7, "forehand" if i % 2 else "serve", 100.0 + i, i % 3 > 0, 0.5, 1.0) for s in (1, 2, 3) for i in range(8 if s < 3 else 2)]
+    shots = spark.createDataFrame(rows, "session_id long, shot_id long, player_id long, stroke string, speed_kmh double, in_court boolean, net_clearance_m double, contact_height_m double")
+    metrics = spark.createDataFrame([(r[1], n, v) for r in rows if r[0] < 3 for n, v in (("knee_bend_deg", 120.0 + r[1]), ("elbow_contact_deg", 150.0))], "shot_id long, name string, value double")
+    sessions = spark.createDataFrame([(1, 50.0, "match"), (2, None, None), (3, 20.0, "practice"), (4, 1.0, "match")], "session_id long, recorded_s double, kind string")
+    of = {k: v.collect() for k, v in player_profiles(shots, metrics, sessions).items()}
+    assert [(r.session_id, r.kind) for r in sorted(of["trend"], key=lambda r: r.place)] == [(2, None), (3, "practice"), (1, "match")]
+    first = {r.session_id: r for r in of["trend"]}
+    assert first[1].forehand_kmh == 104.0 and first[3].forehand_kmh is None and first[1].in_pct == 0.625 and first[3].in_pct is None and first[3].knee_bend_deg is None
+    assert {r.name: (r.n, r.median) for r in of["technique"]} == {"knee_bend_deg": (16, 138.5), "elbow_contact_deg": (16, 150.0)}
+    strokes = {r.stroke: r for r in of["strokes"]}
+    assert strokes["forehand"].technique == {"elbow_contact_deg": 150.0, "knee_bend_deg": 139.0} and strokes["serve"].n == 9 and strokes["serve"].n_in == 9
+    assert {r.text for r in of["insights"]} >= {"Serve speed"} and all(r.player_id == 7 for r in of["insights"])
