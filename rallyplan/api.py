@@ -1,7 +1,9 @@
 """What a user asks of stored sessions: every read of the application, as a DataFrame.
 
 A library is a folder with one Parquet table for each relational contract of
-``rallyplan.schema``, and one for each columnar one with a column video_id.
+``rallyplan.schema``, and one for each columnar one with a column video_id. Tables that
+are committed together (``sources.versions``) are read from their store, in the version
+that was the newest when the library was opened, so that all reads fit each other.
 """
 
 from __future__ import annotations
@@ -13,14 +15,20 @@ from rallyplan import schema
 from rallyplan.functions.text import clock_seconds, games
 from rallyplan.operators import relational, sequence, timejoin
 from rallyplan.sources import files
+from rallyplan.sources.versions import Store
 
 
 class Library:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: str, store: Store | None = None):
+        self.spark, self.root, self.store = spark, root, store
+        self.version = store.version() if store else 0
+        self.stored = set(store.manifest(self.version)["tables"]) if store else set()
 
     def _table(self, name: str) -> DataFrame:
-        return files.contract(self.spark, f"{self.root}/{name}", getattr(schema, name.upper()))
+        kind = getattr(schema, name.upper())
+        if name in self.stored:
+            return files.fitted(self.store.read(name, self.version), kind)
+        return files.contract(self.spark, f"{self.root}/{name}", kind)
 
     def _columnar(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")

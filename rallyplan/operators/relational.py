@@ -30,21 +30,21 @@ def chase(df: DataFrame, key: str, pointer: str) -> DataFrame:
     hop = df.select(F.col(key).alias("id"), F.coalesce(pointer, key).alias("root"))
     while True:
         done, first = hop.where("id = root"), checkpointed(hop.where("id <> root"))
-        last, before = first, -1
+        # on: the root points on itself; that is carried along, so a round is one join
+        moving = first.select(F.col("id").alias("root"), F.lit(True).alias("on"))
+        last, before = checkpointed(first.join(moving, "root", "left").select("id", "root", F.coalesce("on", F.lit(False)).alias("on"))), -1
         while True:
-            # those that aren't at an end: their root points on
-            on = last.select(F.col("root").alias("id")).distinct().join(first.select("id"), "id", "left_semi")
-            size = on.count()
+            size = last.where("on").agg(F.countDistinct("root")).first()[0]
             if size in (0, before):
                 break
-            onward, before = last.select(F.col("id").alias("root"), F.col("root").alias("next")), size
-            last = checkpointed(last.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+            onward, before = last.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("on").alias("next_on")), size
+            last = checkpointed(last.drop("on").join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.coalesce("next_on", F.lit(False)).alias("on")))
         if not size:
-            found = done.unionByName(last)
+            found = done.unionByName(last.drop("on"))
             known = df.select(F.col(key).alias("root"), F.lit(True).alias("known"))
             return found.join(known, "root", "left").select("id", F.when(F.col("known"), F.col("root")).otherwise(F.col("id")).alias("root"))
         # as many keys as half as many steps on are still pointed at, so the steps only turn them round: they are keys of loops and become ends
-        loops = on.withColumn("loop", F.lit(True))
+        loops = last.where("on").select(F.col("root").alias("id")).distinct().withColumn("loop", F.lit(True))
         hop = checkpointed(hop.join(loops, "id", "left").select("id", F.when(F.col("loop"), F.col("id")).otherwise(F.col("root")).alias("root")))
 
 

@@ -22,6 +22,11 @@ def contract(spark: SparkSession, path: str, schema: T.StructType, columns: list
     return df.select(*columns) if columns else df
 
 
+def fitted(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of a contract, in its types; those that df lacks are null."""
+    return df.select(*[(F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def time_slice(df: DataFrame, start: float, end: float, time: str = "t") -> DataFrame:
     """Rows of [start, end), at most SLICE_S long; the bounds are pushed into the scan."""
     return df.where((F.col(time) >= start) & (F.col(time) < min(end, start + SLICE_S)))

@@ -109,3 +109,23 @@ def test_save_analysis(spark, store):
     save_analysis(store, shots, metrics, rallies, sessions)
     save_analysis(store, shots.limit(0), metrics.limit(0), rallies.limit(0), sessions.where("session_id = 2"))
     assert told(store, "shots") == [(1, 10)] and store.read("metrics").select("session_id", "value").collect() == [(1, 1.0)]
+
+
+def test_a_library_reads_one_version(spark, store):
+    """Rallies and shots that are committed together are seen together, also by a library that was opened before."""
+    from rallyplan import api
+
+    shot = lambda i, stroke: (1, i, 5, float(i), stroke)
+    commit = lambda rows: store.commit({
+        "shot": spark.createDataFrame(rows, "session_id long, id long, player_id long, t double, stroke string"),
+        "rally": spark.createDataFrame([(1, 0, len(rows))], "session_id long, index long, shot_count long"),
+        "shot_metric": spark.createDataFrame([(1, r[1], "knee", 1.0) for r in rows], "session_id long, shot_id long, name string, value double"),
+    })
+    commit([shot(1, "serve"), shot(2, "lob")])
+    before = api.Library(spark, "/nowhere", store)
+    commit([shot(3, "serve")])
+    after = api.Library(spark, "/nowhere", store)
+    for lib, ids in ((before, [1, 2]), (after, [3])):
+        rows = lib.shots(1).collect()
+        assert [r.id for r in rows] == ids and all(r.metrics == {"knee": 1.0} and r.speed_kmh is None for r in rows)
+        assert lib.rallies(1).first().shot_count == len(ids)
