@@ -66,7 +66,7 @@ def build_shots(hits: DataFrame, people: DataFrame, labels: DataFrame, players:
 
 def with_flights(shots: DataFrame, flights: DataFrame | None) -> DataFrame:
     """The shots with what their flights (hit_id, ...) measured, and where they landed."""
-    kinds = {c: "double" for c in ("bounce_x", "bounce_y", "speed_kmh", "net_clearance_m")} | {"crosses_net": "boolean"}
+    kinds = {c: "double" for c in ("bounce_x", "bounce_y", "speed_kmh", "net_clearance_m", "contact_height_m")} | {"crosses_net": "boolean"}
     measured = [c for c in flights.columns if c != "hit_id"] if flights is not None else []
     s = shots.drop("in_court", "depth", "direction", *kinds, *measured)
     if flights is not None:
