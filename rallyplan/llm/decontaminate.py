@@ -22,8 +22,9 @@ hold ``LEAST_SCORE`` of the item's mass, and both parts in order (longest common
 subsequence) to ``LEAST_QUESTION`` and ``LEAST_ANSWER`` of their words.
 
 Items are held by blocks of at most ``BLOCK_BYTES`` of text, with a pass over the
-documents for each, so that what a task holds is bounded; the results don't depend
-on the number of blocks.
+documents for each. A block is broadcast, and its result is written before the next
+block is read, so that the driver and a task hold one block at a time, however many
+items there are; the results don't depend on the number of blocks.
 
 Defined results: null and empty texts match nothing, null and empty items aren't
 items; equal items each match; ids may be of any type, null ones are carried along;
@@ -35,18 +36,21 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from rallyplan.llm.common import cut, folded_words, raw_texts, slices
+from rallyplan.llm.common import cut, folded_words, raw_texts, slices, unmatched
 
 K1, B = 1.2, 0.75
 #: Share of an item's BM25 mass from which on it is retrieved.
@@ -281,20 +285,35 @@ class Index:
         return [(self.ids[d], *x[:3], -x[3]) for d, x in sorted(best.items())]
 
 
-_built: dict[int, Index] = {}
+_built: dict[str, Index] = {}
 
 
-def index_of(block: list[tuple], of_all: Statistics) -> Index:
-    """The index of a block of items; a worker process builds it once."""
-    key = hash((tuple(t for _, t in block), of_all.items, of_all.mean, of_all.largest, frozenset(of_all.held.items())))
-    if key not in _built:
-        _built.clear()
-        _built[key] = Index([(i, t) for i, (_, t) in enumerate(block)], of_all)
-    return _built[key]
+@dataclass(frozen=True)
+class Block:
+    """Some of the items with the statistics of their words, broadcast: neither the driver nor a plan holds them.
+
+    Rows of ``value`` are (id, text); ids are told by place. The size is bounded by ``BLOCK_BYTES``.
+    """
+
+    name: str
+    value: Broadcast
+
+    @property
+    def index(self) -> Index:
+        """A worker process builds it once and holds one."""
+        if self.name not in _built:
+            _built.clear()
+            items, of_all = self.value.value
+            _built[self.name] = Index([(i, t) for i, (_, t) in enumerate(items)], of_all)
+        return _built[self.name]
 
+    def ids(self, kind: pa.DataType) -> pa.Array:
+        """Of the items, by place."""
+        return pa.array([i for i, _ in self.value.value[0]], kind)
 
-def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list[tuple], Statistics]]:
-    """The items by blocks of bounded size, rows (id, text), each with the statistics over all items of its words."""
+
+def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[Block, bool]]:
+    """The items by blocks of bounded size, each made when it is asked for; and whether it is the last one."""
     some = items.select(F.col(f"`{key}`").alias("i"), F.col(f"`{text}`").alias("t")).where(F.col("t").isNotNull())
     blocks = -(-(some.agg(F.sum(F.octet_length("t")).alias("n")).first().n or 0) // BLOCK_BYTES)
     if not blocks:
@@ -315,7 +334,8 @@ def item_blocks(items: DataFrame, key: str, text: str) -> Iterator[tuple[list[tu
     for b in range(blocks):
         own = held.join(words.where(F.col("b") == b).select("w").distinct(), "w")
         of_all = Statistics(total["items"], float(total["mean"]), total["largest"], {bytes(r.w): r.n for r in own.collect()})  # the words of a block
-        yield sorted(((r.i, r.t) for r in some.where(F.col("b") == b).collect()), key=lambda x: (x[1], x[0] is None, str(x[0]))), of_all
+        rows = sorted(((r.i, r.t) for r in some.where(F.col("b") == b).collect()), key=lambda x: (x[1], x[0] is None, str(x[0])))
+        yield Block(uuid.uuid4().hex, items.sparkSession.sparkContext.broadcast((rows, of_all))), b == blocks - 1
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -323,12 +343,11 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType
     arrow_kind = to_arrow_type(item_kind)
     schema = f"`{key}` {kind}, item_id {item_kind.simpleString()}, score double, question_overlap double, answer_overlap double, passage_word long"
-    spark = docs.sparkSession
-    found = [spark.createDataFrame([], schema)]
-    for block, of_all in item_blocks(items, item_key, item_text):
+    found = [docs.sparkSession.createDataFrame([], schema)]
+    for block, last in item_blocks(items, item_key, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, of_all=of_all) -> Iterator[pa.RecordBatch]:
-            index, ids = index_of(block, of_all), pa.array([i for i, _ in block], arrow_kind)
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index, ids = block.index, block.ids(arrow_kind)
             for batch in slices(batches):
                 rows, out = [], []
                 for i, raw in enumerate(raw_texts(batch.column(1))):
@@ -339,19 +358,38 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                     item, *rest = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), ids.take(pa.array(item)), *map(pa.array, rest)], [key, "item_id", "score", "question_overlap", "answer_overlap", "passage_word"])
 
-        found.append(docs.select(key, text).mapInArrow(run, schema))
+        rows = docs.select(key, text).mapInArrow(run, schema)
+        if not last:
+            rows = cut(rows)
+            block.value.destroy()
+        found.append(rows)
     return reduce(DataFrame.unionByName, found[1:] or found)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows, with all their columns, that hold no item."""
+    """The rows, with all their columns, that hold no item.
+
+    Digests of the texts that hold an item of a block are written, and their rows go by an
+    anti join before the next block; the last block is looked for in the pass that returns the rows.
+    """
     at = docs.columns.index(text)
-    for block, of_all in item_blocks(items, item_key, item_text):
+    for block, last in item_blocks(items, item_key, item_text):
+        if last:
+
+            def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+                index = block.index
+                for batch in slices(batches):
+                    yield batch.filter(pa.array([not index.matches(x) for x in raw_texts(batch.column(at))], pa.bool_()))
+
+            return docs.mapInArrow(keep, docs.schema)
 
-        def run(batches: Iterator[pa.RecordBatch], block=block, of_all=of_all) -> Iterator[pa.RecordBatch]:
-            index = index_of(block, of_all)
+        def held(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            index = block.index
             for batch in slices(batches):
-                yield batch.filter(pa.array([not index.matches(x) for x in raw_texts(batch.column(at))], pa.bool_()))
+                digests = {sha256(x).hexdigest() for x in raw_texts(batch.column(0)) if index.matches(x)}
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(digests), pa.string())], ["digest"])
 
-        docs = docs.mapInArrow(run, docs.schema)
+        digests = cut(docs.select(text).mapInArrow(held, "digest string").distinct())
+        block.value.destroy()
+        docs = unmatched(docs, digests, lambda rows, few: F.sha2(F.encode(rows[f"`{text}`"], "UTF-8"), 256) == few["digest"])
     return docs

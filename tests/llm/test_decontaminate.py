@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from rallyplan.llm import decontaminate as D, queries
+from rallyplan.llm import common, decontaminate as D, queries
 
 
 def items_and_texts(seed=2, items=150):
@@ -161,3 +161,29 @@ def test_few_postings_at_once_find_the_same(monkeypatch):
     many = [list(index.passages(x)) for x in numbers]
     monkeypatch.setattr(D, "EXPANDED", 5)
     assert [list(index.passages(x)) for x in numbers] == many and sum(map(len, many)) > 20
+
+
+def test_the_clean_rows_dont_depend_on_the_number_of_blocks(spark, monkeypatch):
+    """Also with null and repeated texts, a column named like the digests', and by a shuffle in place of a broadcast; a block is gone when the next one is read."""
+    bench, texts = items_and_texts(11)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    rows = [*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts[:20])), (200, None), (201, ""), (None, bench[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS digest", "2 AS item_id")
+    size = sum(len(t) for _, t in bench)
+    index = D.Index(bench)
+    expected = sorted(((i, t) for i, t in rows if not index.matches((t or "").encode())), key=str)
+    alive, most = [], []
+    made, destroy = D.Block, D.Broadcast.destroy
+    monkeypatch.setattr(D, "Block", lambda *x: (alive.append(x[0]), most.append(len(alive)), made(*x))[-1])
+    monkeypatch.setattr(D.Broadcast, "destroy", lambda self: (alive.pop(), destroy(self))[-1])
+    for blocks, few in ((1, 10), (2, 0), (9, 1_000_000)):
+        alive.clear(), most.clear()
+        monkeypatch.setattr(D, "BLOCK_BYTES", -(-size // blocks))
+        monkeypatch.setattr(common, "FEW", few)
+        clean = D.keep_clean(docs, items)
+        assert clean.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == expected
+        assert len(most) == blocks and max(most) == 1
+        alive.clear(), most.clear()
+        assert {r.doc_id for r in D.contaminated(docs, items).collect()} == {i for i, t in rows if (i, t) not in expected} and max(most) == 1
+    assert 20 < len(expected) < len(rows) - 20
