@@ -105,15 +105,15 @@ class Forest:
     """Union-find over 0..n-1."""
 
     def __init__(self, n: int):
-        self.up = np.arange(n)
+        self.up, self.flat = np.arange(n), True
 
     def roots(self) -> np.ndarray:
-        up = self.up
-        while True:
-            higher = up[up]
-            if (higher == up).all():
-                return up
-            up = self.up = higher
+        """Of all; looked up anew only after links."""
+        while not self.flat:
+            higher = self.up[self.up]
+            self.flat = bool((higher == self.up).all())
+            self.up = higher
+        return self.up
 
     def top(self, a: int) -> int:
         up = self.up
@@ -126,7 +126,7 @@ class Forest:
         a, b, up = self.top(a), self.top(b), self.up
         if a == b:
             return False
-        up[max(a, b)] = min(a, b)
+        up[max(a, b)], self.flat = min(a, b), False
         return True
 
 
@@ -168,9 +168,11 @@ class GrayIndex:
                 if apart.any():
                     yield a[apart], b[apart]
                 continue
-            at = np.arange(0, n, FANOUT**level)
-            low, high = np.minimum.reduceat(root, at), np.maximum.reduceat(root, at)
-            several = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+            # smallest and largest root below the nodes of these pairs alone
+            nodes, of = np.unique(np.concatenate((a, b)), return_inverse=True)
+            own = root[np.minimum(nodes[:, None] * FANOUT**level + np.arange(min(n, FANOUT**level)), n - 1)]
+            low, high = own.min(axis=1)[of].reshape(2, -1), own.max(axis=1)[of].reshape(2, -1)
+            several = (low != high).any(axis=0) | (low[0] != low[1])
             a, b = a[several], b[several]
             children, size = np.arange(FANOUT), len(self.levels[level - 1][0])
             left = np.repeat(a[:, None] * FANOUT + children, FANOUT, axis=1).ravel()
