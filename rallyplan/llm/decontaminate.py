@@ -37,11 +37,13 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from hashlib import sha256
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -194,54 +196,56 @@ class Index:
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
         """All (item, score) with score >= LEAST_SCORE for the distinct terms: block-max WAND."""
         least = LEAST_SCORE - 1e-9
-        lists = [[int(self.docs[t][0]), 0, t] for t in terms]
+        # a cursor a term: item, place, term, then views on its items, impacts, largest impacts by block, and its largest one
+        cursors = []
+        for t in terms:
+            items = memoryview(self.docs[t])
+            cursors.append([items[0], 0, t, items, memoryview(self.impact[t]), memoryview(self.block_most[t]), float(self.most[t])])
         out = []
-        lists.sort()
-        while lists:
-            # pivot: the first list at which the sum of the lists' largest impacts reaches the threshold
+        cursors.sort()
+        while cursors:
+            # pivot: the first cursor at which the sum of the terms' largest impacts reaches the threshold
             total, pivot = 0.0, -1
-            for i, (_, _, t) in enumerate(lists):
-                total += self.most[t]
+            for i, x in enumerate(cursors):
+                total += x[6]
                 if total >= least:
                     pivot = i
                     break
             if pivot < 0:
                 break
-            item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
+            item = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             # the same sum by the blocks that the item would lie in
-            total, last = 0.0, None
-            for x in lists[: pivot + 1]:
-                at = x[1] + int(np.searchsorted(self.docs[x[2]][x[1] :], item)) if x[0] < item else x[1]
-                if at < len(self.docs[x[2]]):
-                    total += self.block_most[x[2]][at // POSTINGS]
-                    end = min(len(self.docs[x[2]]), (at // POSTINGS + 1) * POSTINGS) - 1
-                    edge = int(self.docs[x[2]][end])
+            total, last, held = 0.0, None, []
+            for x in cursors[: pivot + 1]:
+                items = x[3]
+                at = bisect_left(items, item, x[1])
+                if at < len(items):
+                    block = at // POSTINGS
+                    total += x[5][block]
+                    edge = items[min(len(items), (block + 1) * POSTINGS) - 1]
                     last = edge if last is None else min(last, edge)
+                    if items[at] == item:
+                        held.append(x[4][at])
             if total >= least:
-                score = 0.0
-                for x in lists[: pivot + 1]:
-                    at = x[1] + int(np.searchsorted(self.docs[x[2]][x[1] :], item))
-                    if at < len(self.docs[x[2]]) and self.docs[x[2]][at] == item:
-                        score += float(self.impact[x[2]][at])
+                score = sum(held)
                 if score >= least:
                     out.append((item, score))
                 beyond = item + 1
             else:
-                # no item up to the nearest block end can reach it, nor before the next list's item
+                # no item up to the nearest block end can reach it, nor before the next cursor's item
                 beyond = max(item + 1, last + 1 if last is not None else 0)
-                if pivot + 1 < len(lists):
-                    beyond = max(item + 1, min(beyond, lists[pivot + 1][0]))
+                if pivot + 1 < len(cursors):
+                    beyond = max(item + 1, min(beyond, cursors[pivot + 1][0]))
             moved = []
-            for i, x in enumerate(lists):
-                if i <= pivot and x[0] < beyond:
-                    x[1] += int(np.searchsorted(self.docs[x[2]][x[1] :], beyond))
-                    if x[1] >= len(self.docs[x[2]]):
-                        continue
-                    x[0] = int(self.docs[x[2]][x[1]])
-                moved.append(x)
-            lists = sorted(moved)
+            for x in cursors[: pivot + 1]:  # all stand before ``beyond``
+                x[1] = bisect_left(x[3], beyond, x[1])
+                if x[1] < len(x[3]):
+                    x[0] = x[3][x[1]]
+                    moved.append(x)
+            cursors[: pivot + 1] = moved
+            cursors.sort()
         return out
 
     def windows(self, d: int, numbers: np.ndarray, places: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
@@ -266,8 +270,7 @@ class Index:
         words = folded_words(raw)
         if not words or not self.ids:
             return []
-        of = self.number.get
-        numbers = np.array([of(w, 0) for w in words], np.int64)
+        numbers = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
         best: dict[int, tuple] = {}
         for first, end in self.passages(numbers):
             order = np.argsort(numbers[first:end], kind="stable")
