@@ -1,7 +1,7 @@
 """SimHash near-duplicates by a Gray-order hierarchical index (operator 10).
 
-1. Fingerprints: one pass over the texts; the table (doc_id, fingerprint) is cut
-   into the shared checkpoint folder.
+1. Fingerprints: one pass over the texts, in batches of bounded size; the table
+   (doc_id, fingerprint) is cut into the shared checkpoint folder.
 2. Distinct fingerprints with their smallest doc_id; however many copies share a
    fingerprint, they are one row from here on (partial aggregation first).
 3. Ranges of Gray rank. The top of the index is dealt over the cluster: equal
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyplan.llm.common import cut, groups, matched, per_text, raw_texts, slices, spread_join, unmatched
+from rallyplan.llm.common import cut, groups, matched, per_text, raw_texts, short_batches, slices, spread_join, unmatched
 
 MAX_BITS = 2
 #: Distinct fingerprints that a range of Gray rank is to hold, and from how many on it is dealt further.
@@ -53,8 +53,8 @@ SHINGLE = 3
 SEED = 42
 #: Children of an index node.
 FANOUT = 8
-#: Node pairs that are expanded at once.
-CHUNK = 1 << 15
+#: Node pairs that are expanded at once, into FANOUT ** 2 times as many.
+CHUNK = 1 << 12
 
 UPPER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
@@ -343,7 +343,8 @@ def fingerprint_components(marked: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fingerprint (16 hex digits), component_id of every whole text."""
-    marked = cut(fingerprints(docs, key, text))
+    with short_batches(docs.sparkSession):
+        marked = cut(fingerprints(docs, key, text))
     out = spread_join(marked, fingerprint_components(marked, key), "fp")
     return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -393,7 +394,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             codes = pa.array([fingerprint(x) for x in raw_texts(batch.column(2))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes], ["k", "content", "fp"])
 
-    marked = cut(docs.select(F.col(f"`{key}`").alias("k"), row_code(docs).alias("content"), F.col(f"`{text}`")).mapInArrow(run, f"k {kind}, content long, fp long"))
+    with short_batches(docs.sparkSession):
+        marked = cut(docs.select(F.col(f"`{key}`").alias("k"), row_code(docs).alias("content"), F.col(f"`{text}`")).mapInArrow(run, f"k {kind}, content long, fp long"))
     of = fingerprint_components(marked.select("k", "fp"), "k")
     rooted = cut(spread_join(marked, of.select("fp", "root"), "fp").select(F.col("k").alias(key), "content", "root"))
     return keep_first(docs, rooted, key)

@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 
 from rallyplan.llm import queries, simhash as S
@@ -161,6 +164,43 @@ def test_pairs_go_down_only_where_they_may_be_near():
         seen += len(a)
     assert 500 <= seen < 600
 
+
+def test_dense_groups_are_expanded_in_little_memory():
+    """The pairs that the index looks at in one step are few, however dense a group is."""
+    pick = np.random.default_rng(7)
+    bits = np.uint64(1) << pick.integers(0, 64, (3, 20_000), dtype=np.uint64)
+    codes = np.unique(np.uint64(1 << 62) ^ bits[0] ^ bits[1] ^ bits[2])
+    tracemalloc.start()
+    pairs = S.linked_pairs(codes)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(pairs) == len(codes) - 1
+    assert most < 30e6
+
+
+def test_texts_come_in_short_batches(spark, monkeypatch):
+    """The pass over the texts hands Python a bounded number of rows and bytes at once; the session's settings stay."""
+    from rallyplan.llm.common import SHORT
+
+    def sizes(docs, key, text):
+        def run(batches):
+            for b in batches:
+                n, size = b.num_rows, pa.compute.sum(pa.compute.binary_length(b.column(1))).as_py()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n << 40 | size] * n, pa.int64())], ["doc_id", "fp"])
+
+        return docs.select(key, text).mapInArrow(run, "doc_id long, fp long")
+
+    monkeypatch.setattr(S, "fingerprints", sizes)
+    before = {k: spark.conf.get(k) for k in SHORT}
+    for rows, length in ((5000, 10), (200, 200_000)):
+        docs = spark.range(0, rows, 1, 1).selectExpr("id AS doc_id", f"repeat('x', {length}) AS text")
+        got = [int(r.fingerprint, 16) for r in S.near_duplicates(docs).collect()]
+        assert len(got) == rows
+        assert max(x >> 40 for x in got) <= 512
+        assert max(x & (1 << 40) - 1 for x in got) <= 4 * 2**20 + length
+    assert {k: spark.conf.get(k) for k in SHORT} == before
+
+
 def test_sample_documents(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
