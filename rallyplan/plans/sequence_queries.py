@@ -349,7 +349,12 @@ def grouped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {HITS_SQL}, TK AS (SELECT session_id, side, CAST(floor(t / 20) AS BIGINT) AS k, count(*) AS n, avg(hit_score) AS score, avg(CASE WHEN bounce_x IS NULL THEN 1.0 ELSE 0.0 END) AS inside FROM H GROUP BY 1, 2, 3), US AS (SELECT * FROM TK WHERE n >= 4 AND inside < 0.7 AND score > 0.15) SELECT session_id, k, arg_max(side, {{'s': round_even(n * score, 6), 'd': side}}) AS side FROM US GROUP BY 1, 2""")
 def strongest_tracklet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Usable tracklets (20 s of a side stand in), and the strongest at each time."""
-    t = hits(spark, sf_dir).groupBy("session_id", "side", F.floor(F.col("t") / 20).alias("k")).agg(F.count("*").alias("n"), F.avg("hit_score").alias("score"), F.avg(F.col("bounce_x").isNull().cast("double")).alias("inside"))
-    good = t.where("n >= 4 AND inside < 0.7D AND score > 0.15D")
+    """Usable tracklets (20 s of a side stand in), and the strongest at each time.
+
+    Scores are added in order of shot_id: where their mean is 0.15, the last bit of the sum decides.
+    """
+    scores = F.array_sort(F.collect_list(F.struct("shot_id", "hit_score"))).alias("scores")
+    t = hits(spark, sf_dir).groupBy("session_id", "side", F.floor(F.col("t") / 20).alias("k")).agg(F.count("*").alias("n"), scores, F.avg(F.col("bounce_x").isNull().cast("double")).alias("inside"))
+    long = t.where("n >= 4 AND inside < 0.7D").withColumn("score", F.aggregate("scores", F.lit(0.0), lambda s, x: s + x["hit_score"]) / F.col("n"))
+    good = long.where("score > 0.15D")
     return good.groupBy("session_id", "k").agg(F.max_by("side", F.struct(half_even(F.col("n") * F.col("score"), 6), "side")).alias("side"))
