@@ -1,7 +1,9 @@
 """One clock for the videos of a session: lags between sound envelopes, and offsets out of lags.
 
-``pair_lags`` compares the envelopes of each two videos of a session, one pair a row,
-so that the pairs of all sessions spread over all tasks. ``place`` grows each session's
+``pair_lags`` compares the envelopes of each two videos of a session: ``gathered`` brings
+the sound of a session into one row (of one with over BLOCK videos: of each two blocks),
+so an envelope isn't copied for every pair that it is in, and ``lags_within`` compares
+within rows; sound that comes by session goes there without a shuffle. ``place`` grows each session's
 clock by rounds, all sessions at once: the first video (by time of recording, unknown
 last, then id) is at 0; each next one hangs on the video placed before it to which its
 lag is clearest, or, without a clear lag, on its time of recording, or else follows the
@@ -15,14 +17,13 @@ to four digits; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rallyplan.functions.signals import find_lag
+from rallyplan.functions.signals import Recording, lag
 from rallyplan.operators.robust import half_even
 from rallyplan.session import checkpointed
 
@@ -33,28 +34,63 @@ def ordered(videos: DataFrame) -> DataFrame:
     return videos.select("id", "session_id", F.col("recorded_s").cast("double").alias("recorded_s"), F.col("duration_s").cast("double").alias("duration_s")).withColumn("place", F.row_number().over(w) - 1)
 
 
-def pair_lags(videos: DataFrame, envelopes: DataFrame, most: float | None = None) -> DataFrame:
-    """session_id, earlier, later (ids), lag_s (to add to the later one's times), confidence (0: not clear), for each two videos of a session.
+#: Fixed value: videos of a session that are compared in one row (of two blocks, if there are more).
+BLOCK = 4
+#: Columns of what was heard in the videos of a row, arrays in one order.
+SOUND = ("ids", "places", "rates", "starts", "envelopes")
+
+
+def gathered(videos: DataFrame, envelopes: DataFrame) -> DataFrame:
+    """session_id, first, last (blocks) and ids, places, rates, starts, envelopes of their videos: a row for each two blocks of a session's videos.
 
     envelopes: video_id, rate, start_s (of the sound on the video's clock), envelope.
     """
-    v = ordered(videos).join(envelopes, F.col("id") == F.col("video_id")).select("session_id", "id", "place", "rate", F.coalesce("start_s", F.lit(0.0)).alias("start_s"), F.col("envelope").cast("array<float>").alias("envelope"))
-    side = lambda s: v.select("session_id", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "place", "rate", "start_s", "envelope")))
-    pairs = side("a").join(side("b"), "session_id").where("place_a < place_b AND abs(rate_a - rate_b) <= 1e-6 AND rate_a > 0")
+    block = F.floor(F.col("place") / BLOCK)
+    last = F.max(block).over(Window.partitionBy("session_id"))
+    known = ordered(videos).select("session_id", "id", "place", block.alias("block"), last.alias("blocks"))
+    v = envelopes.where("envelope IS NOT NULL").join(known.hint("shuffle_hash"), F.col("id") == F.col("video_id"))  # without a sort of envelopes
+    sound = F.struct("id", "place", "rate", F.coalesce(F.col("start_s").cast("double"), F.lit(0.0)).alias("start_s"), F.col("envelope").cast("array<float>").alias("envelope"))
+    both = v.select("session_id", sound.alias("sound"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks"))).alias("other"))
+    keyed = both.select("session_id", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("last"), "sound")
+    rows = keyed.groupBy("session_id", "first", "last").agg(F.collect_list("sound").alias("s"))
+    return rows.select("session_id", "first", "last", *(F.col(f"s.{c}").alias(n) for c, n in zip(("id", "place", "rate", "start_s", "envelope"), SOUND, strict=True)))
+
+
+def lags_within(sessions: DataFrame, most: float | None = None) -> DataFrame:
+    """session_id, earlier, later (ids), lag_s, confidence for each two videos in one row, the earlier of block ``first``, the later of ``last``.
+
+    sessions: session_id, first, last, ids, places, rates, starts, envelopes (``gathered``).
+    """
+
+    def told(first: int, last: int, ids: list, places: list, rates: list, starts: list, envelopes: pa.Array) -> Iterator[tuple]:
+        heard = [Recording(x.values.to_numpy(zero_copy_only=False), r) for x, r in zip(envelopes, rates, strict=True)]
+        known = [k for k, r in enumerate(rates) if r is not None and r > 0]
+        for i, j in product(known, known):
+            if places[i] < places[j] and (places[i] // BLOCK, places[j] // BLOCK) == (first, last) and abs(rates[i] - rates[j]) <= 1e-6:
+                by, sure = lag(heard[i], heard[j], most)
+                yield ids[i], ids[j], by + (starts[i] - starts[j]), sure if sure > 0 else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lags = []
-            for rate, a, b in zip(batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True):
-                lags.append(find_lag(*(np.asarray(x.values.to_numpy(zero_copy_only=False), float) for x in (a, b)), rate, most))
-            start = pc.subtract(batch.column(3), batch.column(4))
-            columns = [*batch.columns[:3], pc.add(pa.array([x[0] for x in lags], pa.float64()), start), pa.array([x[1] if x[1] > 0 else 0.0 for x in lags], pa.float64())]
+            session, *narrow, envelopes = batch.columns
+            rows = zip(*(c.to_pylist() for c in narrow), (x.values for x in envelopes), strict=True)
+            found = [[*x, k] for k, row in enumerate(rows) for x in told(*row)]
+            earlier, later, by, sure, at = zip(*found, strict=True) if found else [()] * 5
+            id_type = narrow[2].type.value_type
+            columns = [session.take(pa.array(at, pa.int32())), pa.array(earlier, id_type), pa.array(later, id_type), pa.array(by, pa.float64()), pa.array(sure, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["session_id", "earlier", "later", "lag_s", "confidence"])
 
-    kind = dict(v.dtypes)
-    told = pairs.select("session_id", F.col("id_a").alias("earlier"), F.col("id_b").alias("later"), "start_s_a", "start_s_b", "rate_a", "envelope_a", "envelope_b")
-    spread = told.repartition("session_id", "earlier", "later")  # a session's pairs aren't one task's
-    return spread.mapInArrow(run, f"session_id {kind['session_id']}, earlier {kind['id']}, later {kind['id']}, lag_s double, confidence double")
+    rows = sessions.select("session_id", "first", "last", *SOUND)
+    kind = rows.schema["ids"].dataType.elementType.simpleString()
+    return rows.mapInArrow(run, f"session_id {dict(rows.dtypes)['session_id']}, earlier {kind}, later {kind}, lag_s double, confidence double")
+
+
+def pair_lags(videos: DataFrame, envelopes: DataFrame, most: float | None = None) -> DataFrame:
+    """session_id, earlier, later (ids), lag_s (to add to the later one's times), confidence (0: not clear), for each two videos of a session.
+
+    envelopes: video_id, rate, start_s (of the sound on the video's clock), envelope.
+    """
+    return lags_within(gathered(videos, envelopes), most)
 
 
 def place(videos: DataFrame, lags: DataFrame, least: float = 1.6) -> DataFrame:
@@ -80,5 +116,10 @@ def place(videos: DataFrame, lags: DataFrame, least: float = 1.6) -> DataFrame:
 
 def one_clock(videos: DataFrame, envelopes: DataFrame) -> DataFrame:
     """The videos with offset_s and sync_method as their sound and times of recording tell them."""
-    found = place(videos, checkpointed(pair_lags(videos, envelopes))).select("id", "offset_s", "sync_method")
+    return by_lags(videos, pair_lags(videos, envelopes))
+
+
+def by_lags(videos: DataFrame, lags: DataFrame) -> DataFrame:
+    """The videos with offset_s and sync_method as these lags and their times of recording tell them."""
+    found = place(videos, checkpointed(lags)).select("id", "offset_s", "sync_method")
     return videos.drop("offset_s", "sync_method").join(found, "id")

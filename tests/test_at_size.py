@@ -1,11 +1,17 @@
 """What showed up only on larger tables: sums whose order decides, folders, shuffles, files."""
 
 import datetime
+from pathlib import Path
 
+import numpy as np
 import oracle
 import pytest
 
+from rallyplan.functions.signals import find_lag
+from rallyplan.operators import clock
 from rallyplan.plans import registry
+from rallyplan.plans.clock_queries import made_up_sound
+from rallyplan.session import checkpoint_folder
 from rallyplan.sources import tracking
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
@@ -28,3 +34,32 @@ def test_a_mean_at_the_limit_is_that_of_the_sum_in_order(spark, tmp_path, monkey
     con = oracle.connection("/root/testdata/sf0.001")
     con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{sf}/events.parquet/*.parquet'")
     assert oracle.compare("strongest_tracklet", registry.QUERIES["strongest_tracklet"](spark, sf), con, registry.ORACLES["strongest_tracklet"]) == 1
+
+
+def written(folder):
+    return sum(p.stat().st_size for p in Path(folder.removeprefix("file:")).rglob("*") if p.is_file())
+
+
+def test_sound_is_neither_written_nor_copied_for_each_pair(spark):
+    """45 envelopes of 60 KB: none in the checkpoint folder, none behind a shuffle; in the operator one row of three for three videos."""
+    before = written(checkpoint_folder(spark))
+    registry.QUERIES["session_clock"](spark, "/root/testdata/sf0.001").collect()
+    assert written(checkpoint_folder(spark)) - before < 500_000
+    lags = clock.lags_within(made_up_sound(spark, "/root/testdata/sf0.001"))
+    assert lags._jdf.queryExecution().executedPlan().toString().split("HashAggregate")[0].count("Exchange") == 0
+    videos = spark.createDataFrame([(i, i // 3, float(i), 10.0) for i in range(6)], "id long, session_id long, recorded_s double, duration_s double")
+    envelopes = spark.createDataFrame([(i, 50.0, 0.0, [0.0] * 10) for i in range(6)], "video_id long, rate double, start_s double, envelope array<float>")
+    assert sorted(sorted(r.ids) for r in clock.gathered(videos, envelopes).collect()) == [[0, 1, 2], [3, 4, 5]]
+
+
+def test_lags_of_many_videos_are_those_of_each_pair(spark):
+    """Nine videos are three blocks: every pair comes once, as find_lag has it; other rates and missing sound have none."""
+    pick, rate = np.random.default_rng(8), 20.0
+    full = (pick.random(4000) < 0.03) + pick.random(4000) * 0.05
+    sound = {i: (full[150 * i : 150 * i + 1500] + pick.random(1500) * 0.05).astype(np.float32) for i in range(9)}
+    videos = spark.createDataFrame([(i, 5, float(i), 75.0) for i in range(12)], "id long, session_id long, recorded_s double, duration_s double")
+    rows = [(i, rate, i / 4, e.tolist()) for i, e in sound.items()] + [(9, 30.0, 0.0, [0.0] * 1500), (10, rate, 0.0, None), (11, None, 0.0, [0.0] * 9)]
+    got = clock.pair_lags(videos, spark.createDataFrame(rows, "video_id long, rate double, start_s double, envelope array<float>")).collect()
+    want = {(a, b): find_lag(sound[a], sound[b], rate) for a in range(9) for b in range(a + 1, 9)}
+    assert len(got) == len(want) and sum(x[1] > 0 for x in want.values()) > 20
+    assert {(r.earlier, r.later): (r.lag_s, r.confidence) for r in got} == {(a, b): (by + (a / 4 - b / 4), sure) for (a, b), (by, sure) in want.items()}
