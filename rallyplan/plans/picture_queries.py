@@ -40,7 +40,7 @@ def clothing_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HITS_SQL} SELECT session_id, shot_id, t, hit_x, hit_y FROM H WHERE session_id % 3 = 1 AND t >= 12.5e0 AND t < 37.25e0")
 def sliced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stretch of some videos out of a table that is laid out by video and slice of ten seconds: only the folders of those slices are opened."""
+    """A stretch of some videos out of a table that is laid out by slice of ten seconds (and video, if there are few): only the folders of those slices are opened."""
     path = scratch(spark, "slices")
     sinks.write_slices(hits(spark, sf_dir).select("session_id", "shot_id", "t", "hit_x", "hit_y"), path, "session_id")
     return sinks.read_slices(spark, path, F.col("session_id") % 3 == 1, 12.5, 37.25).select(F.col("session_id").cast("long").alias("session_id"), "shot_id", "t", "hit_x", "hit_y")

@@ -11,7 +11,10 @@ from rallyplan.operators.relational import difference, merged_maps
 
 
 def replace_partitions(df: DataFrame, path: str, by: str = "session_id") -> None:
-    """Put df's partitions in place of those with the same key; other sessions stay. The commit protocol makes it whole or not at all."""
+    """Put df's partitions in place of those with the same key; other sessions stay. The commit protocol makes it whole or not at all.
+
+    Every session has a folder of its own: for many thousands of them there is ``versions.Store``, whose files don't grow with sessions.
+    """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
@@ -60,18 +63,23 @@ def as_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "gzip").json(path)
 
 
-#: Seconds of a slice.
-SLICE_S = 10.0
+#: Seconds of a slice; most folders of one video and slice each.
+SLICE_S, FOLDERS = 10.0, 1000
 
 
 def write_slices(df: DataFrame, path: str, video: str = "video_id", time: str = "t") -> None:
     """Rows as one file for each video and slice of SLICE_S seconds, in order of time.
 
-    A table of few seconds a video is better left whole: this is for tables that are
-    served by stretches again and again.
+    A table with more than FOLDERS of them has a folder for each slice only, so that folders
+    don't grow with videos; its files each hold a range of videos, in order of video and time,
+    so a condition on the video still skips by minimum and maximum. df is read for the
+    count, for the ranges and for the rows.
     """
     rows = df.withColumn("slice", F.floor(F.col(time) / SLICE_S).cast("long"))
-    rows.repartition(video, "slice").sortWithinPartitions(video, "slice", time).write.partitionBy(video, "slice").parquet(path)
+    if rows.select(video, "slice").distinct().limit(FOLDERS + 1).count() > FOLDERS:
+        rows.repartitionByRange("slice", video).sortWithinPartitions("slice", video, time).write.partitionBy("slice").parquet(path)
+    else:
+        rows.repartition(video, "slice").sortWithinPartitions(video, "slice", time).write.partitionBy(video, "slice").parquet(path)
 
 
 def read_slices(spark: SparkSession, path: str, videos: Column, start: float, end: float, time: str = "t") -> DataFrame:

@@ -6,13 +6,14 @@ from pathlib import Path
 import numpy as np
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from rallyplan.functions.signals import find_lag
 from rallyplan.operators import clock
 from rallyplan.plans import registry
 from rallyplan.plans.clock_queries import made_up_sound
 from rallyplan.session import checkpoint_folder
-from rallyplan.sources import tracking
+from rallyplan.sources import sinks, tracking
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
 
@@ -63,3 +64,14 @@ def test_lags_of_many_videos_are_those_of_each_pair(spark):
     want = {(a, b): find_lag(sound[a], sound[b], rate) for a in range(9) for b in range(a + 1, 9)}
     assert len(got) == len(want) and sum(x[1] > 0 for x in want.values()) > 20
     assert {(r.earlier, r.later): (r.lag_s, r.confidence) for r in got} == {(a, b): (by + (a / 4 - b / 4), sure) for (a, b), (by, sure) in want.items()}
+
+
+def test_slices_of_many_videos_have_a_folder_for_each_slice(spark, tmp_path, monkeypatch):
+    """40 videos with six slices: 240 folders before."""
+    monkeypatch.setattr(sinks, "FOLDERS", 100, raising=False)
+    rows = [(v, t * 2.5, v * t) for v in range(40) for t in range(24)]
+    sinks.write_slices(spark.createDataFrame(rows, "video_id long, t double, x long"), str(tmp_path / "s"))
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir()) == [f"slice={k}" for k in range(6)]
+    part = sinks.read_slices(spark, str(tmp_path / "s"), F.col("video_id") % 3 == 1, 12.5, 37.25)
+    assert sorted((r.video_id, r.t, r.x) for r in part.collect()) == [x for x in rows if x[0] % 3 == 1 and 12.5 <= x[1] < 37.25]
+    assert {r.f.split("slice=")[1][0] for r in part.select(F.input_file_name().alias("f")).distinct().collect()} == {"1", "2", "3"}
