@@ -46,12 +46,12 @@ def label_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {HITS_SQL} SELECT session_id, shot_id, CASE WHEN session_id % 2 = 0 THEN 'new' ELSE 'old' END AS state FROM H WHERE session_id % 2 = 1 OR stroke <> 'serve'")
 def replaced_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as partitions; the even ones are put in place anew, without serves, the others stay."""
-    h, path = hits(spark, sf_dir).select("session_id", "shot_id", "stroke"), scratch(spark, "sessions")
+    """All sessions are put in place; then the even ones anew, without serves, and the others stay."""
+    h, store = hits(spark, sf_dir).select("session_id", "shot_id", "stroke"), versions.Store(spark, scratch(spark, "sessions"))
     state = lambda rows, s: rows.select("session_id", "shot_id", F.lit(s).alias("state"))
-    sinks.replace_partitions(state(h, "old"), path)
-    sinks.replace_partitions(state(h.where("session_id % 2 = 0 AND stroke <> 'serve'"), "new"), path)
-    return spark.read.parquet(path).select(F.col("session_id").cast("long").alias("session_id"), "shot_id", "state")
+    store.commit({"shots": state(h, "old")})
+    store.commit({"shots": state(h.where("session_id % 2 = 0 AND stroke <> 'serve'"), "new")})
+    return store.read("shots")
 
 
 @query(f"""WITH {SHOTS_SQL}, LV AS (SELECT *, session_id % 2 = 0 OR session_id % 5 = 0 AS anew FROM S)

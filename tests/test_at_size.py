@@ -75,3 +75,13 @@ def test_slices_of_many_videos_have_a_folder_for_each_slice(spark, tmp_path, mon
     part = sinks.read_slices(spark, str(tmp_path / "s"), F.col("video_id") % 3 == 1, 12.5, 37.25)
     assert sorted((r.video_id, r.t, r.x) for r in part.collect()) == [x for x in rows if x[0] % 3 == 1 and 12.5 <= x[1] < 37.25]
     assert {r.f.split("slice=")[1][0] for r in part.select(F.input_file_name().alias("f")).distinct().collect()} == {"1", "2", "3"}
+
+
+def test_replaced_sessions_have_no_folder_each(spark, tmp_path):
+    """60 sessions: 90 folders before."""
+    folder = Path(checkpoint_folder(spark).removeprefix("file:"))
+    before = set(folder.rglob("*"))
+    sf = events(spark, tmp_path, range(240), lambda i: i // 4)
+    rows = registry.QUERIES["replaced_sessions"](spark, sf).collect()
+    assert sorted((r.session_id, r.shot_id, r.state) for r in rows) == [(i // 4, i, "new" if i // 4 % 2 == 0 else "old") for i in range(240)]
+    assert sum(p.is_dir() for p in set(folder.rglob("*")) - before) < 20
