@@ -2,17 +2,18 @@
 
 A swing sample is (hit_id, rel: seconds after the hit, kp_x, kp_y, kp_c). Every cue
 is an aggregate over a stretch of rel, so all swings of all videos are judged by
-one window (wrist steps) and one aggregate, both by hit.
+one pass by hit (``stretches``).
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rallyplan.operators import timejoin
+from rallyplan.operators import stretches, timejoin
+from rallyplan.operators.stretches import Mean, Pace, Top
 from rallyplan.schema import KEYPOINTS, LIMITS
 
 # Surety of a keypoint; seconds around the hit (before, after) in which things are looked at.
@@ -50,43 +51,67 @@ def _middle(a: Column, b: Column) -> Column:
     return F.coalesce((a + b) / 2, a, b)
 
 
-def hand_vote() -> Column:
-    """``left`` or ``right``: the one hand that is above the head at an overhead hit; an aggregate over a swing."""
+class Cues:
+    """Cues as columns over what ``stretches`` tells; ``values`` and ``wanted`` take down what that has to be asked."""
 
-    def at(moment: float) -> Column:
-        y = lambda n: mean_of("y", n, moment, 0.02)
-        head, feet = F.least(y("nose"), y("l_eye"), y("r_eye")), F.greatest(y("l_ankle"), y("r_ankle"))
-        left, right = y("l_wrist"), y("r_wrist")
-        height = feet - head
-        clear = (F.least(left, right) < head - 0.05 * height) & (F.abs(left - right) > 0.2 * height)
-        return F.when(left.isNotNull() & right.isNotNull() & clear, F.when(left < right, "left").otherwise("right"))
+    def __init__(self) -> None:
+        self.values: dict[str, Column] = {}
+        self.wanted: dict[str, stretches.Wanted] = {}
 
-    return F.coalesce(*map(at, HAND_AT))
+    def value(self, axis: str, name: str) -> str:
+        self.values[f"{name}_{axis}"] = _cell(axis, name)
+        return f"{name}_{axis}"
+
+    def ask(self, wanted: stretches.Wanted) -> Column:
+        """The column that a wanted aggregate (of one column) comes in."""
+        known = {x: n for n, x in self.wanted.items()}
+        name = known.get(wanted, f"told_{len(known)}")
+        self.wanted[name] = wanted
+        return F.col(name)
+
+    def mean(self, axis: str, name: str, at: float, within: float) -> Column:
+        """Mean of a keypoint's coordinate around a moment; null where it wasn't seen."""
+        return self.ask(Mean(self.value(axis, name), at, within))
+
+    def body(self) -> Column:
+        """Height in pixels."""
+        edge = lambda f, *names: f(*[self.mean("y", n, 0.0, 0.2) for n in names])
+        return (edge(F.greatest, "l_ankle", "r_ankle", "l_knee", "r_knee") - edge(F.least, "nose", "l_shoulder", "r_shoulder")) * 1.15
+
+    def speed(self, s: str) -> Column:
+        """Speed of a wrist, from step to step between samples in which it was seen."""
+        return self.ask(Pace(self.value("x", f"{s}_wrist"), self.value("y", f"{s}_wrist"), *FAST_S, 0.9, 3))
+
+    def hand_vote(self) -> Column:
+        """``left`` or ``right``: the one hand that is above the head at an overhead hit."""
+
+        def at(moment: float) -> Column:
+            y = lambda n: self.mean("y", n, moment, 0.02)
+            head, feet = F.least(y("nose"), y("l_eye"), y("r_eye")), F.greatest(y("l_ankle"), y("r_ankle"))
+            left, right = y("l_wrist"), y("r_wrist")
+            height = feet - head
+            clear = (F.least(left, right) < head - 0.05 * height) & (F.abs(left - right) > 0.2 * height)
+            return F.when(left.isNotNull() & right.isNotNull() & clear, F.when(left < right, "left").otherwise("right"))
+
+        return F.coalesce(*map(at, HAND_AT))
+
+    def told(self, samples: DataFrame) -> DataFrame:
+        return stretches.by_swing(samples, self.values, self.wanted)
 
 
 def cues(samples: DataFrame) -> DataFrame:
     """One row a swing: seen (a sample near the hit), body (height in pixels), lift (wrist over head at most), wrist_y and wrist speeds, hands before and after, vote."""
-    w = Window.partitionBy("hit_id").orderBy("rel").rowsBetween(Window.unboundedPreceding, -1)
-    fast = F.col("rel").between(*FAST_S)
-    rows = samples
-    for s in "lr":  # steps of the wrist between samples in which it was seen
-        here = F.when(fast & _cell("x", f"{s}_wrist").isNotNull(), F.struct(F.col("rel").alias("t"), _cell("x", f"{s}_wrist").alias("x"), _cell("y", f"{s}_wrist").alias("y")))
-        rows = rows.withColumn(f"{s}_at", here).withColumn(f"{s}_was", F.last(f"{s}_at", ignorenulls=True).over(w))
-        step = F.sqrt((F.col(f"{s}_at.x") - F.col(f"{s}_was.x")) ** 2 + (F.col(f"{s}_at.y") - F.col(f"{s}_was.y")) ** 2)
-        rows = rows.withColumn(f"{s}_pace", step / F.greatest(F.col(f"{s}_at.t") - F.col(f"{s}_was.t"), F.lit(1e-3)))
-    edge = lambda f, *names: f(*[mean_of("y", n, 0.0, 0.2) for n in names])
-    lift = F.least(*[_cell("y", n) for n in ("nose", "l_eye", "r_eye")]) - F.least(_cell("y", "l_wrist"), _cell("y", "r_wrist"))
+    c = Cues()
+    c.values["here"], c.values["lift"] = F.lit(1.0), F.least(*[_cell("y", n) for n in ("nose", "l_eye", "r_eye")]) - F.least(_cell("y", "l_wrist"), _cell("y", "r_wrist"))
     hands = [
-        (_middle(mean_of(a, "l_wrist", at, 0.05), mean_of(a, "r_wrist", at, 0.05)) - _middle(mean_of(a, "l_hip", at, 0.05), mean_of(a, "r_hip", at, 0.05))).alias(f"{when}_{a}")
+        (_middle(c.mean(a, "l_wrist", at, 0.05), c.mean(a, "r_wrist", at, 0.05)) - _middle(c.mean(a, "l_hip", at, 0.05), c.mean(a, "r_hip", at, 0.05))).alias(f"{when}_{a}")
         for when, at in (("before", -SWING_S), ("after", SWING_S)) for a in "xy"
     ]
-    wrists = [F.when(mean_of("x", f"{s}_wrist", at, within).isNotNull(), mean_of("y", f"{s}_wrist", at, within)).alias(f"{s}_{when}") for s in "lr" for when, at, within in (("drawn", -0.2, 0.05), ("met", 0.0, 0.03))]
-    paces = [F.when(F.count(f"{s}_at") >= 3, F.percentile(f"{s}_pace", F.lit(0.9))).otherwise(0.0).alias(f"{s}_speed") for s in "lr"]
-    return rows.groupBy("hit_id").agg(
-        F.bool_or(F.abs("rel") <= 0.1).alias("seen"),
-        ((edge(F.greatest, "l_ankle", "r_ankle", "l_knee", "r_knee") - edge(F.least, "nose", "l_shoulder", "r_shoulder")) * 1.15).alias("body"),
-        F.max(F.when(F.col("rel").between(*OVERHEAD_S), lift)).alias("lift"), *hands, *wrists, *paces, hand_vote().alias("vote"),
-    )
+    wrists = [F.when(c.mean("x", f"{s}_wrist", at, within).isNotNull(), c.mean("y", f"{s}_wrist", at, within)).alias(f"{s}_{when}") for s in "lr" for when, at, within in (("drawn", -0.2, 0.05), ("met", 0.0, 0.03))]
+    paces = [c.speed(s).alias(f"{s}_speed") for s in "lr"]
+    seen, lift = c.ask(Mean("here", 0.0, 0.1)).isNotNull().alias("seen"), c.ask(Top("lift", *OVERHEAD_S)).alias("lift")
+    out = ["hit_id", seen, c.body().alias("body"), lift, *hands, *wrists, *paces, c.hand_vote().alias("vote")]
+    return c.told(samples).select(*out)
 
 
 def racket_hands(votes: DataFrame, by: list[str]) -> DataFrame:

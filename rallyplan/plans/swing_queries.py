@@ -17,17 +17,25 @@ FIGURE_Y = [-90, -92, -92, -90, -90, -80, -80, -60, -60, -45, -45, -50, -50, -25
 FRAMES = (-21, 9)
 
 
+#: Fixed value: swings that a task sorts the samples of.
+SWINGS = 20_000
+
+
 def made_up_swings(h: DataFrame) -> DataFrame:
-    """Swing samples of each hit: every keypoint moves steadily, some wrists are up, some keypoints unsure."""
-    frames = h.select("shot_id", F.explode(F.sequence(F.lit(FRAMES[0]), F.lit(FRAMES[1]))).alias("k"))
+    """Swing samples of each hit: every keypoint moves steadily, some wrists are up, some keypoints unsure.
+
+    Hits are dealt out by their id before they become samples, so those need no shuffle.
+    """
+    tasks = max(int(h.sparkSession.conf.get("spark.sql.shuffle.partitions")), h.count() // SWINGS + 1)
+    frames = h.select("shot_id").repartition(tasks, "shot_id").select("shot_id", F.explode(F.sequence(F.lit(FRAMES[0]), F.lit(FRAMES[1]))).alias("k"))
     i, k = F.col("shot_id"), F.col("k")
-    every = F.sequence(F.lit(0), F.lit(16))
-    figure = lambda of: F.array(*map(F.lit, of))
-    x = lambda j: F.get(figure(FIGURE_X), j) + ((i * 7 + j * 13) % 31 - 15) * k / 10.0 + (i % 97 + 1) * k * 0.013
-    up = lambda j: F.when((i % 4 == 0) & (j == F.when(i % 8 == 0, 9).otherwise(10)), -60.0).otherwise(0.0)
-    y = lambda j: F.get(figure(FIGURE_Y), j) + ((i * 11 + j * 17) % 29 - 14) * k / 5.0 + up(j)
+    raised = {9: (i % 4 == 0) & (i % 8 == 0), 10: (i % 4 == 0) & (i % 8 != 0)}
+    x = lambda j: F.lit(FIGURE_X[j]) + ((i * 7 + j * 13) % 31 - 15) * k / 10.0 + (i % 97 + 1) * k * 0.013
+    up = lambda j: F.when(raised[j], -60.0).otherwise(0.0) if j in raised else F.lit(0.0)
+    y = lambda j: F.lit(FIGURE_Y[j]) + ((i * 11 + j * 17) % 29 - 14) * k / 5.0 + up(j)
     c = lambda j: ((i + j * 3 + (k + 30) * 5) % 10) / 10.0
-    return frames.select(i.alias("hit_id"), (k / 30.0).alias("rel"), *[F.transform(every, f).alias(n) for n, f in (("kp_x", x), ("kp_y", y), ("kp_c", c))])
+    rel = F.get(F.transform(F.array(k), lambda x: x / 30.0), 0)  # transform has no generated code: so all of this stays out of one long method that the JVM wouldn't compile
+    return frames.select(i.alias("hit_id"), rel.alias("rel"), *[F.array(*map(f, range(17))).alias(n) for n, f in (("kp_x", x), ("kp_y", y), ("kp_c", c))])
 
 
 def _at(j: int, axis: str, at: float, within: float) -> str:

@@ -1,15 +1,19 @@
 """What showed up only on larger tables: sums whose order decides, folders, shuffles, files."""
 
 import datetime
+import random
 from pathlib import Path
 
 import numpy as np
 import oracle
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rallyplan.functions import geometry as G
 from rallyplan.functions.signals import find_lag
 from rallyplan.operators import clock
+from rallyplan.operators import stretches as S
 from rallyplan.plans import registry
 from rallyplan.plans.clock_queries import made_up_sound
 from rallyplan.session import checkpoint_folder
@@ -85,3 +89,46 @@ def test_replaced_sessions_have_no_folder_each(spark, tmp_path):
     rows = registry.QUERIES["replaced_sessions"](spark, sf).collect()
     assert sorted((r.session_id, r.shot_id, r.state) for r in rows) == [(i // 4, i, "new" if i // 4 % 2 == 0 else "old") for i in range(240)]
     assert sum(p.is_dir() for p in set(folder.rglob("*")) - before) < 20
+
+
+@pytest.mark.parametrize("name, explodes", [("stroke_classes", 1)])
+def test_swing_samples_are_made_once_and_not_shuffled(spark, name, explodes):
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == explodes and "ObjectHashAggregate" not in plan
+    above = plan.split("MapInArrow")[1].split("Generate")[0]
+    assert "Window" in above and "Exchange" not in above
+
+
+@pytest.mark.parametrize("rows_a_batch", ["7", "10000"])
+def test_stretches_are_as_sparks_own_aggregates(spark, rows_a_batch):
+    """Random samples with null and NaN, a swing of nulls and one of a single sample; batches that end within swings."""
+    pick = random.Random(11)
+    number = lambda: pick.choice([None, float("nan"), *[pick.uniform(-50, 50)] * 30])
+    rows = [(h, k / 30.0, *(None if h == 5 else number() for _ in range(6))) for h in range(20) for k in range(-21, 10 if h != 6 else -20)]
+    pick.shuffle(rows)
+    s = spark.createDataFrame([*rows, (None, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0)], "hit_id long, rel double, ax double, ay double, bx double, by double, cx double, cy double")
+    names = ["ax", "ay", "bx", "by", "cx", "cy"]
+    moments = (-0.5, -0.3, 0.15, 0.25)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+    try:
+        wanted = {"m": S.Mean("ax", -0.2, 0.05), "t": S.Top("by", -0.3, 0.15), "b": S.Bend((tuple(names),), -0.45, 0.0, 0.1, 4), "p": S.Pace("ax", "ay", -0.35, 0.05, 0.9, 3), "w": S.Turn("ax", "ay", "bx", "by", moments, 0.03, -0.05, 0.1)}
+        got = {r.hit_id: r for r in S.by_swing(s, {n: F.col(n) for n in names}, wanted).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    w = Window.partitionBy("hit_id").orderBy("rel").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("rel").between(-0.35, 0.05) & F.col("ax").isNotNull(), F.struct(F.col("rel").alias("t"), "ax", "ay"))
+    r = s.withColumn("at", at).withColumn("was", F.last("at", ignorenulls=True).over(w))
+    r = r.withColumn("pace", F.sqrt((F.col("at.ax") - F.col("was.ax")) ** 2 + (F.col("at.ay") - F.col("was.ay")) ** 2) / F.greatest(F.col("at.t") - F.col("was.t"), F.lit(1e-3)))
+    angle = F.when(F.col("rel").between(-0.45, 0.0), G.angle(*map(F.col, names)))
+    width = lambda m: F.hypot(*[F.avg(F.when(F.abs(F.col("rel") - m) <= 0.03, F.col(f"b{a}"))) - F.avg(F.when(F.abs(F.col("rel") - m) <= 0.03, F.col(f"a{a}"))) for a in "xy"])
+    want = r.groupBy("hit_id").agg(
+        F.avg(F.when(F.abs(F.col("rel") + 0.2) <= 0.05, F.col("ax"))).alias("m"), F.max(F.when(F.col("rel").between(-0.3, 0.15), F.col("by"))).alias("t"),
+        F.when(F.count(angle) >= 4, F.percentile(angle, F.lit(0.1))).alias("b"), F.when(F.count("at") >= 3, F.percentile("pace", F.lit(0.9))).otherwise(0.0).alias("p"), *[width(m).alias(f"w{i}") for i, m in enumerate(moments)],
+    )
+    early = [f"w{i}" for i in (0, 1)]
+    want = want.withColumns({"w_n": F.size(F.array_compact(F.array(*early))).cast("double"), "w_drawn": F.least(*early), "w_turned": F.greatest("w2", "w3")}).collect()
+    assert len(got) == len(want) == 21
+    for x in want:
+        for c in ("m", "t", "b", "p", "w_n", "w_drawn", "w_turned"):
+            a, b = got[x.hit_id][c], x[c]
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, nan_ok=True, abs=1e-9)), (x.hit_id, c, a, b)
