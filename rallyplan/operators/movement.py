@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from rallyplan.functions import geometry as G
 from rallyplan.operators import swings, timejoin
 from rallyplan.operators.robust import half_even
+from rallyplan.operators.stretches import Bend, Turn
 from rallyplan.schema import KEYPOINTS
 
 # Surety of keypoints (movement, height); knees are looked at so many seconds around the hit, at least so many angles.
@@ -47,29 +48,24 @@ def technique(samples: DataFrame) -> DataFrame:
 
     samples: hit_id, rel, kp_x, kp_y, kp_c (``swings.around_hits``).
     """
-    bent = [G.angle(*_point(f"{s}_hip"), *_point(f"{s}_knee"), *_point(f"{s}_ankle")) for s in "lr"]
-    knees = samples.where(F.col("rel").between(*KNEE_S)).select("hit_id", F.explode(F.array(*bent)).alias("knee"))
-    knees = knees.groupBy("hit_id").agg(F.when(F.count("knee") >= LEAST_KNEES, half_even(F.percentile("knee", F.lit(KNEE_SHARE)), 1)).alias("knee_bend_deg"))
+    c = swings.Cues()
+    corners = tuple(tuple(c.value(a, f"{s}_{j}") for j in ("hip", "knee", "ankle") for a in "xy") for s in "lr")
+    knee = half_even(c.ask(Bend(corners, *KNEE_S, KNEE_SHARE, LEAST_KNEES)), 1)
 
-    joints = {f"{s}_{j}_{a}": swings.mean_of(a, f"{s}_{j}", 0.0, 0.04) for s in "lr" for j in ("shoulder", "elbow", "wrist") for a in "xy"}
-    arms = samples.groupBy("hit_id").agg(*[c.alias(k) for k, c in joints.items()])
-    cues = swings.cues(samples).select("hit_id", "body", "l_speed", "r_speed")
+    body, left, right = c.body(), c.speed("l"), c.speed("r")
+    own = lambda j, a: F.when(right >= left, c.mean(a, f"r_{j}", 0.0, 0.04)).otherwise(c.mean(a, f"l_{j}", 0.0, 0.04))
+    elbow = G.angle(*[own(j, a) for j in ("shoulder", "elbow", "wrist") for a in "xy"])
+    speed = F.when(body > 0, half_even(F.greatest(left, right) / body, 3))
 
     # a sample counts for the moments that it is near to; of each moment the mean places of the shoulders, of those the widths
-    moments = F.filter(F.array(*[F.lit(float(m)) for m in np.arange(*TURN_AT)]), lambda m: F.abs(F.col("rel") - m) <= TURN_WITHIN)
-    (lx, ly), (rx, ry) = _point("l_shoulder"), _point("r_shoulder")
-    places = samples.select("hit_id", F.explode(moments).alias("m"), lx.alias("lx"), ly.alias("ly"), rx.alias("rx"), ry.alias("ry")).groupBy("hit_id", "m").agg(F.hypot(F.avg("rx") - F.avg("lx"), F.avg("ry") - F.avg("ly")).alias("width"))
-    drawn, turned = (F.col("m") < DRAWN) & F.col("width").isNotNull(), F.max(F.when(F.col("m") > TURNED, F.col("width")))
-    turn = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.min(F.when(drawn, F.col("width"))) / turned))
-    turns = places.groupBy("hit_id").agg(F.when((F.count_if(drawn) >= LEAST_DRAWN) & (turned > 0), half_even(turn, 3)).alias("shoulder_turn"))
-
-    own = lambda j, a: F.when(F.col("r_speed") >= F.col("l_speed"), F.col(f"r_{j}_{a}")).otherwise(F.col(f"l_{j}_{a}"))
-    elbow = G.angle(*[own(j, a) for j in ("shoulder", "elbow", "wrist") for a in "xy"])
-    speed = F.when(F.col("body") > 0, half_even(F.greatest("l_speed", "r_speed") / F.col("body"), 3))
-    all_ = cues.join(arms, "hit_id").join(turns, "hit_id", "left").join(knees, "hit_id", "left")
-    all_ = all_.withColumns({"elbow_contact_deg": half_even(elbow, 1), "racket_arm_speed": speed})
-    names = ["knee_bend_deg", "elbow_contact_deg", "shoulder_turn", "racket_arm_speed"]
-    return all_.select(F.col("hit_id").alias("shot_id"), F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n))])).alias("name", "value")).where("value IS NOT NULL")
+    shoulders = [c.value(a, f"{s}_shoulder") for s in "lr" for a in "xy"]
+    c.wanted["turn"] = Turn(*shoulders, tuple(map(float, np.arange(*TURN_AT))), TURN_WITHIN, DRAWN, TURNED)
+    turn = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("turn_drawn") / F.col("turn_turned")))
+    turn = F.when((F.col("turn_n") >= LEAST_DRAWN) & (F.col("turn_turned") > 0), half_even(turn, 3))
+
+    measures = {"knee_bend_deg": knee, "elbow_contact_deg": half_even(elbow, 1), "shoulder_turn": turn, "racket_arm_speed": speed}
+    told = c.told(samples).select(F.col("hit_id").alias("shot_id"), *[x.alias(n) for n, x in measures.items()])
+    return told.select("shot_id", F.explode(F.create_map(*[x for n in measures for x in (F.lit(n), F.col(n))])).alias("name", "value")).where("value IS NOT NULL")
 
 
 def split_steps(shots: DataFrame, motion: DataFrame, labels: DataFrame) -> DataFrame:

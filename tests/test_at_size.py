@@ -91,7 +91,7 @@ def test_replaced_sessions_have_no_folder_each(spark, tmp_path):
     assert sum(p.is_dir() for p in set(folder.rglob("*")) - before) < 20
 
 
-@pytest.mark.parametrize("name, explodes", [("stroke_classes", 1)])
+@pytest.mark.parametrize("name, explodes", [("stroke_classes", 1), ("technique_measures", 2)])
 def test_swing_samples_are_made_once_and_not_shuffled(spark, name, explodes):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate") == explodes and "ObjectHashAggregate" not in plan
