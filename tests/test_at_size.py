@@ -82,7 +82,7 @@ def test_slices_of_many_videos_have_a_folder_for_each_slice(spark, tmp_path, mon
 
 
 def test_replaced_sessions_have_no_folder_each(spark, tmp_path):
-    """60 sessions: 90 folders before."""
+    """60 sessions: 61 folders before."""
     folder = Path(checkpoint_folder(spark).removeprefix("file:"))
     before = set(folder.rglob("*"))
     sf = events(spark, tmp_path, range(240), lambda i: i // 4)
